@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 # The token delimiters, written for use inside a character class.
 DELIMITERS = ' \\t\\n\\r,|;\\[\\]_+=:@#\\\\"{}()'
 
+DELIMITER_TEXT = ' \t\n\r,|;[]_+=:@#\\"{}()'
+
 DELIMITER_RUN = f"[{DELIMITERS}]+"
 TOKEN_RUN = f"[^{DELIMITERS}]+"
 RUNS = f"{DELIMITER_RUN}|{TOKEN_RUN}"
 # A token of letters only; '<' and '>' count as letters.
-STATIC_TOKEN = f"(?<![^{DELIMITERS}])[A-Za-z<>]+(?![^{DELIMITERS}])"
-# Zero-width: a position where a letters-only token begins.
-STATIC_START = f"(?<![^{DELIMITERS}])(?=[A-Za-z<>]+(?![^{DELIMITERS}]))"
+_STATIC = f"[A-Za-z<>]++(?![^{DELIMITERS}])"
+# Any other token. Repetitions are possessive, so long lines do not backtrack.
+VARIABLE = f"(?<![^{DELIMITERS}])(?!{_STATIC})[^{DELIMITERS}]++"
+# The last word of a static text.
+LAST_WORD = f"([A-Za-z<>]++)[{DELIMITERS}]*+$"
+# A number whose tag names its place in the line.
+LONG_NUMBER = f"(?<![^{DELIMITERS}])[0-9]{{3,}}+(?![^{DELIMITERS}])"
 
 
 def col(c: Column | str) -> Column:
@@ -31,7 +37,7 @@ def tokens(line: Column | str) -> Column:
 
 
 def is_delimiter_run(piece: Column) -> Column:
-    return piece.rlike(f"^[{DELIMITERS}]")
+    return F.instr(F.lit(DELIMITER_TEXT), F.substring(piece, 1, 1)) > 0
 
 
 def has_digit(token: Column) -> Column:

@@ -44,38 +44,25 @@ class Encoded:
         }
 
 
-def template_key(pieces: Column) -> Column:
-    """A string that is equal exactly for lines of the same template."""
-
-    def part(p: Column) -> Column:
-        body = F.when(p["tag"] == "", p["text"]).otherwise(p["tag"])
-        kind = F.when(p["tag"] == "", F.lit("t")).otherwise(F.lit("v"))
-        return F.concat(kind, F.length(body).cast("string"), F.lit(":"), body)
-
-    return F.array_join(F.transform(pieces, part), "")
-
-
 def number_templates(tagged: DataFrame) -> DataFrame:
     """Adds ``template_id``: 1, 2, .. in first-seen order within the chunk, 0 for an empty line."""
-    by_key = W.partitionBy("chunk_id", "template_key")
+    template = [F.col("parts.statics"), F.col("parts.tags")]
     by_chunk = W.partitionBy("chunk_id").orderBy("first_line_no")
-    empty = F.col("template_key") == ""
-    keyed = tagged.withColumn("template_key", template_key(F.col("pieces")))
+    empty = F.col("parts.statics") == F.array(F.lit(""))
     return (
-        keyed.withColumn(
-            "first_line_no", F.when(~empty, F.min("line_no").over(by_key))
+        tagged.withColumn("empty", empty)
+        .withColumn(
+            "first_line_no",
+            F.when(~F.col("empty"), F.min("line_no").over(W.partitionBy("chunk_id", *template))),
         )
         # an empty line has no first line and sorts in front, as rank 1
         .withColumn("rank", F.dense_rank().over(by_chunk))
-        .withColumn(
-            "any_empty",
-            F.max(empty.cast("int")).over(W.partitionBy("chunk_id")),
-        )
+        .withColumn("any_empty", F.max(F.col("empty").cast("int")).over(W.partitionBy("chunk_id")))
         .withColumn(
             "template_id",
-            F.when(empty, 0).otherwise(F.col("rank") - F.col("any_empty")).cast("bigint"),
+            F.when(F.col("empty"), 0).otherwise(F.col("rank") - F.col("any_empty")).cast("bigint"),
         )
-        .drop("rank", "any_empty", "template_key")
+        .drop("rank", "any_empty", "empty")
     )
 
 
@@ -86,24 +73,10 @@ def template_table(numbered: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("n_lines"),
             F.min("line_no").alias("first_line_no"),
-            F.min_by(tg.template_pieces(F.col("pieces")), "line_no").alias("pieces"),
-        )
-        .withColumn("template", tg.template_text(F.col("pieces")))
-    )
-
-
-def value_rows(tagged: DataFrame) -> DataFrame:
-    """``(chunk_id, tag, line_no, pos, value)``: one row per variable."""
-    return (
-        tagged.select("chunk_id", "line_no", F.posexplode("pieces").alias("pos", "p"))
-        .filter(F.col("p.tag") != "")
-        .select(
-            "chunk_id",
-            F.col("p.tag").alias("tag"),
-            "line_no",
-            F.col("pos").cast("bigint").alias("pos"),
-            F.col("p.text").alias("value"),
+            F.first("parts.statics").alias("statics"),
+            F.first("parts.tags").alias("tags"),
         )
+        .withColumn("template", tg.template_text(F.col("statics"), F.col("tags")))
     )
 
 
@@ -147,7 +120,7 @@ def encode_values(
     """
     group = W.partitionBy("chunk_id", "tag")
     by_value = W.partitionBy("chunk_id", "tag", "stored")
-    in_order = group.orderBy("line_no", "pos")
+    in_order = group.orderBy("line_no", "var_no")
     tag, value = F.col("tag"), F.col("value")
 
     if mode == "fast":
@@ -187,7 +160,7 @@ def encode_values(
                 "chunk_id",
                 "tag",
                 "line_no",
-                "pos",
+                "var_no",
                 F.when(F.col("uniform"), F.col("form")).otherwise(value).alias("stored"),
                 F.when(F.col("uniform"), F.col("own_cut")).alias("cut"),
                 F.when(F.col("uniform"), F.col("own_layout")).alias("layout"),
@@ -197,7 +170,7 @@ def encode_values(
     number_text = F.col("stored").rlike(f"^[0-9]{{1,{MAX_NUMBER_DIGITS}}}$")
     ranked = (
         prepared.withColumn("is_num", number_text)
-        .withColumn("first_at", F.min(F.struct("line_no", "pos")).over(by_value))
+        .withColumn("first_at", F.min(F.struct("line_no", "var_no")).over(by_value))
         .withColumn("dict_rank", F.dense_rank().over(group.orderBy("first_at")))
         .withColumn("n", F.count(F.lit(1)).over(group))
         .withColumn("n_distinct", F.max("dict_rank").over(group))
@@ -278,14 +251,16 @@ def dictionary_table(encoded_values: DataFrame) -> DataFrame:
 def encode(
     tagged: DataFrame, mode: str = "normal", handlers: Mapping[str, tuple] | None = None
 ) -> Encoded:
-    """All tables of an encoded data set from ``(chunk_id, line_no, pieces)``."""
-    numbered = number_templates(tagged.select("chunk_id", "line_no", "pieces"))
-    values = encode_values(value_rows(tagged), mode, handlers)
+    """All tables of an encoded data set from ``(chunk_id, line_no, parts)``."""
+    # One shuffle, by chunk: it serves every window below, and all tables read it.
+    tagged = tagged.select("chunk_id", "line_no", "parts").repartition("chunk_id")
+    numbered = number_templates(tagged)
+    values = encode_values(tg.variable_rows(tagged), mode, handlers)
     return Encoded(
         templates=template_table(numbered),
         line_map=numbered.select("chunk_id", "line_no", "template_id"),
         tags=tag_table(values),
-        values=values.select("chunk_id", "tag", "line_no", "pos", "num", "dict_id", "width"),
+        values=values.select("chunk_id", "tag", "line_no", "var_no", "num", "dict_id", "width"),
         dictionary=dictionary_table(values),
     )
 

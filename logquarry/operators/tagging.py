@@ -1,8 +1,8 @@
 """Lines to pieces: static text and tagged variables.
 
-A line becomes ``pieces array<struct<text, tag>>`` in one projection without a
-shuffle. ``tag`` is empty for static text; the texts of all pieces, joined, are
-the line. Work per line is linear in its length.
+A line becomes ``parts struct<statics, vars, tags>`` in one projection without a
+shuffle: the texts between the variables, the variables, and their tags. Most
+characters are handled by one pass of a regex; arrays hold only the variables.
 """
 
 from __future__ import annotations
@@ -53,127 +53,173 @@ def _cutter(tag: str, regex: str) -> Callable[[Column], Column]:
     return cut
 
 
-def _gap_pieces(text: Column, before: Column, use_context: bool) -> Column:
-    """Runs of a gap with their context and their token number inside the gap."""
-    runs = tk.runs(text)
-    # number of the token at run i: runs alternate between delimiters and tokens
-    first = F.when(tk.is_delimiter_run(text), 1).otherwise(2)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    def number(i: Column) -> Column:
-        return F.shiftright(i + first, 1)
 
-    if not use_context:
-        return F.transform(
-            runs,
-            lambda r, i: F.struct(r.alias("text"), F.lit("").alias("ctx"), number(i).alias("idx")),
-        )
-    # every part after the first begins with a letters-only token, its context
-    parts = F.split(text, tk.STATIC_START, -1)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    def contexts(part: Column) -> Column:
-        word = F.regexp_extract(part, f"^[A-Za-z<>]+(?![^{tk.DELIMITERS}])", 0)
-        return F.array_repeat(
-            F.when(word != "", word).otherwise(before), F.regexp_count(part, F.lit(tk.RUNS))
-        )
 
-    zipped = F.arrays_zip(
-        runs.alias("text"), F.flatten(F.transform(parts, contexts)).alias("ctx")
+# Up to this many variables in a line, counting words in front of the few numbers
+# that need it is cheaper than numbering all tokens; beyond it, it would be quadratic.
+_SHORT_LINE = 64
+
+
+def _contexts(statics: Column, n: Column, before: Column) -> Column:
+    """Context of each variable: the last word in front of it, else that of the one before."""
+    words = F.transform(
+        F.slice(statics, F.lit(1), n),
+        lambda s, i: F.when(s.rlike("[A-Za-z<>]"), F.regexp_extract(s, tk.LAST_WORD, 1)).when(i == 0, before),
     )
-    return F.transform(
-        zipped,
-        lambda z, i: F.struct(z["text"].alias("text"), z["ctx"].alias("ctx"), number(i).alias("idx")),
+
+    def filled(w: Column) -> Column:
+        # positions that set a context, and how far each one reaches
+        at = F.filter(
+            F.transform(w, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull()
+        )
+        return let(
+            at,
+            lambda a: F.flatten(
+                F.zip_with(
+                    a,
+                    F.slice(F.concat(a, F.array(F.size(w))), F.lit(2), F.size(a)),
+                    lambda lo, hi: F.array_repeat(F.get(w, lo), hi - lo),
+                )
+            ),
+        )
+
+    return let(words, lambda w: F.when(F.exists(w, lambda x: x.isNull()), filled(w)).otherwise(w))
+
+
+def _token_numbers(text: Column, n: Column) -> Column:
+    """Numbers of the variables among the tokens, for lines with many variables."""
+    counted = F.filter(
+        F.transform(tk.tokens(text), lambda t, i: F.when(tk.is_variable(t), i + 1)),
+        lambda i: i.isNotNull(),
     )
+    return F.when((n > _SHORT_LINE) & text.rlike(tk.LONG_NUMBER), counted)
+
+
+def _token_number(statics: Column, numbers: Column, k: Column) -> Column:
+    """Number of variable ``k``: the variables up to it and the words in front."""
+    words = F.regexp_count(F.array_join(F.slice(statics, F.lit(1), k + 1), " "), F.lit("[A-Za-z<>]+"))
+    return F.when(numbers.isNull(), k + 1 + words).otherwise(F.get(numbers, k))
 
 
-def raw_pieces(
-    line: Column, patterns: Patterns = (), use_context: bool = True, context: Column | None = None
+def gap_parts(
+    text: Column,
+    before: Column,
+    base: Column,
+    style: str = "structured",
+    use_context: bool = True,
+    shape_mixed_digits: bool = True,
 ) -> Column:
-    """``array<struct<text, hit, ctx, idx>>``; ``hit`` is the tag of a pattern match."""
-    start = F.lit("") if context is None else context
-
-    def spread(text: Column, before: Column, base: Column) -> Column:
-        return F.transform(
-            _gap_pieces(text, before, use_context),
-            lambda p: F.struct(
-                p["text"].alias("text"),
-                F.lit("").alias("hit"),
-                p["ctx"].alias("ctx"),
-                (p["idx"] + base).alias("idx"),
-            ),
-        )
+    """``struct<statics, vars, tags>`` of a text without pattern matches.
 
+    ``statics`` has one element more than ``vars``; joined in turn they are the text.
+    """
+    variables = F.regexp_extract_all(text, F.lit(tk.VARIABLE), F.lit(0))
+    statics = F.split(text, tk.VARIABLE, -1)
+
+    def tagged(z: Column) -> Column:
+        n = F.size(z["vars"])
+        if style == "generic":
+            tags = F.array_repeat(F.lit("<*>"), n)
+        else:
+            extra = let(
+                F.struct(
+                    (_contexts(z["statics"], n, before) if use_context else F.array_repeat(F.lit(""), n)).alias("ctx"),
+                    _token_numbers(text, n).alias("idx"),
+                ),
+                lambda e: F.transform(
+                    z["vars"],
+                    lambda v, k: variable_tag(
+                        v,
+                        F.get(e["ctx"], k),
+                        base + _token_number(z["statics"], e["idx"], k),
+                        shape_mixed_digits,
+                    ),
+                ),
+            )
+            tags = F.when(n == 0, F.expr("cast(array() as array<string>)")).otherwise(extra)
+        return F.struct(z["statics"].alias("statics"), z["vars"].alias("vars"), tags.alias("tags"))
+
+    return let(F.struct(variables.alias("vars"), statics.alias("statics")), tagged)
+
+
+def line_parts(
+    line: Column,
+    patterns: Patterns = (),
+    style: str = "structured",
+    use_context: bool = True,
+    shape_mixed_digits: bool = True,
+) -> Column:
+    """``struct<statics, vars, tags>`` of a line."""
+    options = (style, use_context, shape_mixed_digits)
+    whole = gap_parts(line, F.lit(""), F.lit(0), *options)
     if not patterns:
-        return spread(line, start, F.lit(0))
-
-    segs = segments(line, patterns)
-    # token number at the start of each segment
-    bases = F.aggregate(
-        segs,
-        F.array(F.lit(0)),
-        lambda acc, s: F.concat(
-            acc,
-            F.array(
-                F.element_at(acc, -1)
-                + F.when(s["tag"] != "", 0).otherwise(F.regexp_count(s["text"], F.lit(tk.TOKEN_RUN)))
+        return whole
+
+    def part(s: Column, base: Column) -> Column:
+        hit = F.struct(
+            F.expr("cast(array() as array<string>)").alias("statics"),
+            F.array(s["text"]).alias("vars"),
+            F.array(s["tag"]).alias("tags"),
+        )
+        before = s["before"] if use_context else F.lit("")
+        return F.when(s["tag"] != "", hit).otherwise(gap_parts(s["text"], before, base, *options))
+
+    # tokens in front of each segment; quadratic only in the number of matches of a line
+    def bases(segs: Column) -> Column:
+        counts = F.transform(
+            segs,
+            lambda s: F.when(s["tag"] != "", 0).otherwise(F.regexp_count(s["text"], F.lit(tk.TOKEN_RUN))),
+        )
+        running = let(
+            counts,
+            lambda c: F.transform(
+                c, lambda _, i: F.aggregate(F.slice(c, F.lit(1), i), F.lit(0), lambda a, x: a + x)
             ),
-        ),
-    )
+        )
+        zeros = F.array_repeat(F.lit(0), F.size(segs))
+        return F.when(line.rlike("[0-9]{3}"), running).otherwise(zeros)
 
-    def one(z: Column) -> Column:
-        s = z["seg"]
-        hit = F.array(
-            F.struct(
-                s["text"].alias("text"),
-                s["tag"].alias("hit"),
-                F.lit("").alias("ctx"),
-                F.lit(0).alias("idx"),
-            )
+    def joined(parts: Column) -> Column:
+        fields = ("statics", "vars", "tags")
+        return F.struct(
+            *[F.flatten(F.transform(parts, (lambda f: lambda p: p[f])(f))).alias(f) for f in fields]
         )
-        before = F.when(s["before"] == "", start).otherwise(s["before"])
-        return F.when(s["tag"] != "", hit).otherwise(spread(s["text"], before, z["base"]))
 
-    zipped = F.filter(
-        F.arrays_zip(segs.alias("seg"), bases.alias("base")), lambda z: z["seg"].isNotNull()
+    def cut(segs: Column) -> Column:
+        return let(F.zip_with(segs, bases(segs), part), joined)
+
+    return let(
+        segments(line, patterns), lambda segs: F.when(F.size(segs) > 1, cut(segs)).otherwise(whole)
     )
-    return F.flatten(F.transform(zipped, one))
 
 
 def structured_tag(context: Column, structure: Column, index: Column | None = None) -> Column:
     """``<IDX=..|CTX=..|STR=..>`` with empty parts left out."""
-    parts = [] if index is None else [F.concat(F.lit("IDX="), index.cast("string"))]
-    parts.append(F.when(context != "", F.concat(F.lit("CTX="), context)))
-    parts.append(F.concat(F.lit("STR="), structure))
-    return F.concat(F.lit("<"), F.concat_ws("|", *parts), F.lit(">"))
+    place = [] if index is None else [F.lit("IDX="), index.cast("string"), F.lit("|")]
+    word = F.when(context == "", context).otherwise(F.concat(F.lit("CTX="), context, F.lit("|")))
+    return F.concat(F.lit("<"), *place, word, F.lit("STR="), structure, F.lit(">"))
 
 
-def piece_tag(
-    text: Column,
-    hit: Column,
-    ctx: Column,
-    idx: Column,
-    style: str = "structured",
-    shape_mixed_digits: bool = True,
-) -> Column:
-    """Tag of a piece, empty for static text."""
-    if style == "generic":
-        variable = F.lit("<*>")
-    else:
-        n = F.length(text).cast("string")
-        digits_tag = F.when(
-            F.length(text) <= 2, F.concat(F.lit("<LEN="), n, F.lit(">"))
-        ).otherwise(structured_tag(ctx, F.concat(F.lit("\\d{"), n, F.lit("}")), idx))
-        mark_tag = structured_tag(ctx, F.concat(F.lit("_"), tk.specials(text)))
-        variable = F.when(tk.is_number(text), digits_tag)
-        if shape_mixed_digits:
-            variable = variable.when(
-                tk.has_digit(text) & ~tk.has_alpha(text), structured_tag(ctx, tk.shape(text))
-            )
-        variable = variable.otherwise(mark_tag)
-    return (
-        F.when(hit != "", hit)
-        .when(tk.is_delimiter_run(text) | ~tk.is_variable(text), F.lit(""))
-        .otherwise(variable)
+def variable_tag(token: Column, ctx: Column, idx: Column, shape_mixed_digits: bool = True) -> Column:
+    """Tag of a variable token."""
+    n = F.length(token).cast("string")
+    number = F.when(F.length(token) <= 2, F.concat(F.lit("<LEN="), n, F.lit(">"))).otherwise(
+        structured_tag(ctx, F.concat(F.lit("\\d{"), n, F.lit("}")), idx)
     )
+    tag = F.when(tk.is_number(token), number)
+    if shape_mixed_digits:
+        tag = tag.when(
+            tk.has_digit(token) & ~tk.has_alpha(token), structured_tag(ctx, tk.shape(token))
+        )
+    return tag.otherwise(structured_tag(ctx, F.concat(F.lit("_"), tk.specials(token))))
 
 
 def parse_tag(tag: Column) -> Column:
@@ -198,99 +244,118 @@ def tag_lines(
     use_context: bool = True,
     shape_mixed_digits: bool = True,
 ) -> DataFrame:
-    """Single pass: adds ``pieces`` and drops nothing."""
-    raw = raw_pieces(F.col("line"), patterns, use_context)
-    pieces = F.transform(
-        raw,
-        lambda p: F.struct(
-            p["text"].alias("text"),
-            piece_tag(p["text"], p["hit"], p["ctx"], p["idx"], style, shape_mixed_digits).alias("tag"),
-        ),
-    )
-    return lines.withColumn("pieces", pieces)
-
-
-def piece_rows(
-    lines: DataFrame,
-    patterns: Patterns = (),
-    style: str = "structured",
-    use_context: bool = True,
-    shape_mixed_digits: bool = True,
-) -> DataFrame:
-    """``(chunk_id, line_no, pos, text, tag)``, one row per piece.
-
-    The tag is computed after the explode, where its expressions are compiled.
-    """
-    raw = raw_pieces(F.col("line"), patterns, use_context)
-    exploded = lines.select("chunk_id", "line_no", F.posexplode(raw).alias("pos", "p"))
-    tag = piece_tag(
-        F.col("p.text"), F.col("p.hit"), F.col("p.ctx"), F.col("p.idx"), style, shape_mixed_digits
-    )
-    return exploded.select(
-        "chunk_id", "line_no", F.col("pos").cast("bigint").alias("pos"), F.col("p.text").alias("text"), tag.alias("tag")
+    """Single pass: adds ``parts`` and drops nothing."""
+    return lines.withColumn(
+        "parts", line_parts(F.col("line"), patterns, style, use_context, shape_mixed_digits)
     )
 
 
-def template_pieces(pieces: Column) -> Column:
-    """Pieces with the text of variables removed: equal for lines of one template."""
-    return F.transform(
-        pieces,
-        lambda p: F.struct(
-            F.when(p["tag"] == "", p["text"]).otherwise(F.lit("")).alias("text"), p["tag"].alias("tag")
-        ),
+def variable_rows(tagged: DataFrame) -> DataFrame:
+    """``(chunk_id, line_no, var_no, tag, value)``; variables are numbered from 1 in their line."""
+    zipped = F.arrays_zip(F.col("parts.tags").alias("tag"), F.col("parts.vars").alias("value"))
+    return tagged.select("chunk_id", "line_no", F.posexplode(zipped).alias("pos", "v")).select(
+        "chunk_id",
+        "line_no",
+        (F.col("pos") + 1).cast("bigint").alias("var_no"),
+        F.col("v.tag").alias("tag"),
+        F.col("v.value").alias("value"),
     )
 
 
-def template_text(pieces: Column) -> Column:
+def template_text(statics: Column, tags: Column) -> Column:
     """Template as text for reports; variables appear as their tag."""
     return F.array_join(
-        F.transform(pieces, lambda p: F.when(p["tag"] == "", p["text"]).otherwise(p["tag"])), ""
+        F.zip_with(statics, F.concat(tags, F.array(F.lit(""))), lambda s, t: F.concat(s, t)), ""
     )
 
 
-def tag_counts(pieces: DataFrame) -> DataFrame:
+def parts_template(parts: Column) -> Column:
+    return template_text(parts["statics"], parts["tags"])
+
+
+def tag_counts(tagged: DataFrame) -> DataFrame:
     """Occurrences of every tag in every chunk."""
     return (
-        pieces.filter(F.col("tag") != "")
+        tagged.select("chunk_id", F.explode("parts.tags").alias("tag"))
         .groupBy("chunk_id", "tag")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def apply_threshold(pieces: DataFrame, threshold: int, patterns: Patterns = ()) -> DataFrame:
+def apply_threshold(tagged: DataFrame, threshold: int, patterns: Patterns = ()) -> DataFrame:
     """Second pass: a tag stays if a pattern gives it or it occurs more than ``threshold`` times.
 
-    Counts are joined back to the pieces. They hold one row per chunk and tag, so
-    they are far smaller than the pieces, but they grow with the data: the join
-    strategy is left to the optimizer.
+    The rare tags of a chunk form one array, bounded by the chunk; it joins the
+    chunk's lines, and their variables go back into the text inside the row.
     """
     fixed = [tag for tag, _ in patterns]
     rare = (
-        tag_counts(pieces)
+        tag_counts(tagged)
         .filter((F.col("n") <= threshold) & ~F.col("tag").isin(fixed))
-        .select("chunk_id", "tag", F.lit(True).alias("rare"))
+        .groupBy("chunk_id")
+        .agg(F.collect_set("tag").alias("rare"))
+    )
+    demoted = F.transform(
+        F.col("parts.tags"), lambda t: F.when(F.array_contains(F.col("rare"), t), F.lit("")).otherwise(t)
     )
+    touched = F.coalesce(F.arrays_overlap(F.col("parts.tags"), F.col("rare")), F.lit(False))
     return (
-        pieces.join(rare, ["chunk_id", "tag"], "left")
-        .withColumn("tag", F.when(F.col("rare"), F.lit("")).otherwise(F.col("tag")))
-        .select("chunk_id", "line_no", "pos", "text", "tag")
+        tagged.join(rare, "chunk_id", "left")
+        .withColumn(
+            "parts",
+            F.when(
+                touched,
+                parts_of_pieces(_alternate(F.col("parts.statics"), F.col("parts.vars"), demoted)),
+            ).otherwise(F.col("parts")),
+        )
+        .drop("rare")
     )
 
 
-def lines_from_pieces(pieces: DataFrame) -> DataFrame:
-    """Gather piece rows into one array per line; neighbouring static pieces are merged by text."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "text", "tag")))
-    return (
-        pieces.groupBy("chunk_id", "line_no")
-        .agg(ordered.alias("p"))
-        .select(
-            "chunk_id",
-            "line_no",
-            F.transform("p", lambda p: F.struct(p["text"].alias("text"), p["tag"].alias("tag"))).alias("pieces"),
-        )
+def _alternate(statics: Column, variables: Column, tags: Column) -> Column:
+    """Static and variable pieces in the order of the line."""
+    zipped = F.arrays_zip(statics.alias("s"), variables.alias("v"), tags.alias("t"))
+    return F.filter(
+        F.flatten(
+            F.transform(
+                zipped,
+                lambda z: F.array(
+                    F.struct(z["s"].alias("text"), F.lit("").alias("tag")),
+                    F.struct(z["v"].alias("text"), z["t"].alias("tag")),
+                ),
+            )
+        ),
+        lambda p: p["text"].isNotNull(),
     )
 
 
+def parts_of_pieces(pieces: Column) -> Column:
+    """``struct<statics, vars, tags>`` of ``array<struct<text, tag>>``; runs of static pieces are joined."""
+
+    def build(p: Column) -> Column:
+        at = F.filter(
+            F.transform(p, lambda x, i: F.when(x["tag"] != "", i + 1)), lambda i: i.isNotNull()
+        )
+
+        def cut(a: Column) -> Column:
+            begin = F.concat(F.array(F.lit(1)), F.transform(a, lambda i: i + 1))
+            end = F.concat(a, F.array(F.size(p) + 1))
+            kept = F.filter(p, lambda x: x["tag"] != "")
+            return F.struct(
+                F.zip_with(
+                    begin,
+                    end,
+                    lambda lo, hi: F.array_join(F.transform(F.slice(p, lo, hi - lo), lambda x: x["text"]), ""),
+                ).alias("statics"),
+                F.transform(kept, lambda x: x["text"]).alias("vars"),
+                F.transform(kept, lambda x: x["tag"]).alias("tags"),
+            )
+
+        return let(at, cut)
+
+    return let(pieces, build)
+
+
 # A JSON string body, and a nested object or array up to a fixed depth; what lies
 # deeper stays static text.
 _JSON_STRING = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
@@ -344,12 +409,9 @@ def tag_json_lines(
                 m["value"].alias("text"), F.concat(F.lit("<json:"), m["key"], F.lit(">")).alias("tag")
             )
         )
-        cut = F.transform(
-            raw_pieces(m["value"], (), True, m["key"]),
-            lambda p: F.struct(
-                p["text"].alias("text"),
-                piece_tag(p["text"], p["hit"], p["ctx"], p["idx"], style, shape_mixed_digits).alias("tag"),
-            ),
+        cut = let(
+            gap_parts(m["value"], m["key"], F.lit(0), style, True, shape_mixed_digits),
+            lambda g: _alternate(g["statics"], g["vars"], g["tags"]),
         )
         is_cut = (m["tail"] != "") & m["value"].rlike(f"[{tk.DELIMITERS}]")
         body = F.when(is_cut, cut).otherwise(whole)
@@ -366,7 +428,7 @@ def tag_json_lines(
     )
     is_object = line.rlike(r"(?s)^\{.*\}$")
     all_pieces = F.when(is_object, members).otherwise(F.array(static(line)))
-    return lines.withColumn("pieces", F.filter(all_pieces, lambda s: (s["text"] != "") | (s["tag"] != "")))
+    return lines.withColumn("parts", parts_of_pieces(all_pieces))
 
 
 Handler = tuple[Callable[[Column], Column], Callable[[Column], Column]]

@@ -2,6 +2,7 @@
 
 from logquarry.plans import (  # noqa: F401
     encoding,
+    mining,
     profiling,
     tagging,
 )

@@ -14,9 +14,9 @@ from logquarry.plans.registry import query, with_
 EVENT_VALUES = (
     inp.EVENT_LINES,
     inp.pieces_sql("event_lines", inp.TIME_PATTERN),
-    r"""vals AS (SELECT chunk_id, tag, line_no, pos, text AS value,
-  CASE WHEN regexp_matches(text, '[0-9]') AND NOT regexp_matches(text, '[A-Za-z<>]') THEN regexp_replace(text, '[^0-9]', '', 'g') ELSE text END AS stored
-  FROM pieces WHERE tag <> '')""",
+    r"""vals AS (SELECT chunk_id, tag, line_no, var_no, value,
+  CASE WHEN regexp_matches(value, '[0-9]') AND NOT regexp_matches(value, '[A-Za-z<>]') THEN regexp_replace(value, '[^0-9]', '', 'g') ELSE value END AS stored
+  FROM pieces_vars)""",
     r"""stats AS (SELECT chunk_id, tag, count(*) AS n, count(DISTINCT stored) AS n_distinct, min(length(stored)) AS min_len, max(length(stored)) AS max_len,
   bool_and(regexp_full_match(stored, '[0-9]{1,18}')) AS num, count(DISTINCT length(CAST(TRY_CAST(stored AS BIGINT) AS VARCHAR))) AS n_len
   FROM vals GROUP BY chunk_id, tag)""",
@@ -30,7 +30,7 @@ def tagged_events(spark, sf):
 
 
 def event_values(spark, sf, mode="normal"):
-    return en.encode_values(en.value_rows(tagged_events(spark, sf)), mode)
+    return en.encode_values(tg.variable_rows(tagged_events(spark, sf)), mode)
 
 
 @query(
@@ -55,21 +55,21 @@ def storage_types_fast(spark, sf):
     "delta_values",
     with_(
         *EVENT_VALUES,
-        """d AS (SELECT v.chunk_id, v.tag, v.line_no, v.pos, storage_type, CAST(stored AS BIGINT) AS x
+        """d AS (SELECT v.chunk_id, v.tag, v.line_no, v.var_no, storage_type, CAST(stored AS BIGINT) AS x
   FROM vals v JOIN kinds k ON v.chunk_id = k.chunk_id AND v.tag = k.tag WHERE storage_type <> 'MAPPING')""",
-        select="""SELECT chunk_id, tag, line_no, pos, CASE WHEN storage_type = 'NUMERIC_DELTA'
-  THEN x - coalesce(lag(x) OVER (PARTITION BY chunk_id, tag ORDER BY line_no, pos), 0) ELSE x END AS num FROM d""",
+        select="""SELECT chunk_id, tag, line_no, var_no, CASE WHEN storage_type = 'NUMERIC_DELTA'
+  THEN x - coalesce(lag(x) OVER (PARTITION BY chunk_id, tag ORDER BY line_no, var_no), 0) ELSE x END AS num FROM d""",
     ),
 )
 def delta_values(spark, sf):
-    return event_values(spark, sf).filter("num is not null").select("chunk_id", "tag", "line_no", "pos", "num")
+    return event_values(spark, sf).filter("num is not null").select("chunk_id", "tag", "line_no", "var_no", "num")
 
 
 @query(
     "dictionary",
     with_(
         *EVENT_VALUES,
-        "f AS (SELECT chunk_id, tag, value, count(*) AS n, min(line_no * 1000 + pos) AS first_at FROM vals GROUP BY chunk_id, tag, value)",
+        "f AS (SELECT chunk_id, tag, value, count(*) AS n, min(line_no * 1000 + var_no) AS first_at FROM vals GROUP BY chunk_id, tag, value)",
         select="SELECT chunk_id, tag, row_number() OVER (PARTITION BY chunk_id, tag ORDER BY first_at) AS dict_id, value, n FROM f",
     ),
 )
@@ -84,10 +84,10 @@ VARINT = "greatest(1, ceil(length(ltrim(bin(CASE WHEN {0} >= 0 THEN 2 * {0} ELSE
     "encoded_bytes",
     with_(
         *EVENT_VALUES,
-        """f AS (SELECT v.*, storage_type, min(line_no * 1000 + pos) OVER (PARTITION BY v.chunk_id, v.tag, stored) AS first_at
+        """f AS (SELECT v.*, storage_type, min(line_no * 1000 + var_no) OVER (PARTITION BY v.chunk_id, v.tag, stored) AS first_at
   FROM vals v JOIN kinds k ON v.chunk_id = k.chunk_id AND v.tag = k.tag)""",
         """e AS (SELECT chunk_id, tag, storage_type, CASE WHEN storage_type = 'MAPPING' THEN dense_rank() OVER (PARTITION BY chunk_id, tag ORDER BY first_at)
-  WHEN storage_type = 'NUMERIC_DELTA' THEN TRY_CAST(stored AS BIGINT) - coalesce(lag(TRY_CAST(stored AS BIGINT)) OVER (PARTITION BY chunk_id, tag ORDER BY line_no, pos), 0)
+  WHEN storage_type = 'NUMERIC_DELTA' THEN TRY_CAST(stored AS BIGINT) - coalesce(lag(TRY_CAST(stored AS BIGINT)) OVER (PARTITION BY chunk_id, tag ORDER BY line_no, var_no), 0)
   ELSE TRY_CAST(stored AS BIGINT) END AS x FROM f)""",
         select=f"""SELECT tag, storage_type, count(DISTINCT chunk_id) AS n_chunks, CAST(sum({VARINT.format('x')}) AS BIGINT) AS id_bytes
 FROM e GROUP BY tag, storage_type""",
@@ -112,7 +112,7 @@ UNION ALL SELECT chunk_id, line_no, 0 FROM doc_lines WHERE line = ''""",
 )
 def template_ids(spark, sf):
     tagged = tg.tag_lines(inp.doc_lines(spark, sf))
-    return en.number_templates(tagged.select("chunk_id", "line_no", "pieces")).select(
+    return en.number_templates(tagged.select("chunk_id", "line_no", "parts")).select(
         "chunk_id", "line_no", "template_id"
     )
 

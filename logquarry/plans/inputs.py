@@ -6,11 +6,13 @@ large the table is, and no query needs a global line number.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
-from logquarry.sources.lines import lines_of_text
+from logquarry.sources.lines import lines_of_text, spread
 
 EVENT_CHUNK = 1000
 DOC_CHUNK = 64
@@ -25,7 +27,7 @@ EVENT_FORMAT = "<Date> <Time> <Level> user=<User> value=<Value> props=<Content>"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def _money(c: str) -> F.Column:
@@ -40,7 +42,7 @@ def event_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(
             F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
             F.lit(" "),
-            F.upper("event_type"),
+            F.translate("event_type", ascii_lowercase, ascii_uppercase),
             F.lit(" user="),
             F.col("user_id").cast("string"),
             F.lit(" value="),
@@ -189,4 +191,7 @@ def pieces_sql(lines: str, pattern: str | None = None, tag: str = TIME_TAG, out:
          {shaped_rule}
          ELSE '<' || CASE WHEN ctx <> '' THEN 'CTX=' || ctx || '|' ELSE '' END || 'STR=_' || regexp_replace(text, '[A-Za-z0-9\\s]|[^\\x00-\\x7F]', '', 'g') || '>'
     END AS tag
-  FROM {out}_ctx)"""
+  FROM {out}_ctx),
+{out}_vars AS (
+  SELECT chunk_id, line_no, row_number() OVER (PARTITION BY chunk_id, line_no ORDER BY pos) AS var_no, tag, text AS value
+  FROM {out} WHERE tag <> '')"""

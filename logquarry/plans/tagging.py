@@ -13,29 +13,32 @@ EVENT_PIECES = inp.pieces_sql("event_lines", inp.TIME_PATTERN)
 DOC_PIECES = inp.pieces_sql("doc_lines")
 
 
-def event_pieces(spark, sf):
-    return tg.piece_rows(inp.event_lines(spark, sf), inp.EVENT_PATTERNS)
+def tagged_events(spark, sf):
+    return tg.tag_lines(inp.event_lines(spark, sf), inp.EVENT_PATTERNS)
 
 
-@query("tag_pieces", with_(inp.EVENT_LINES, EVENT_PIECES, select="SELECT chunk_id, line_no, pos, text, tag FROM pieces"))
-def tag_pieces(spark, sf):
-    return event_pieces(spark, sf)
+@query(
+    "tagged_variables",
+    with_(inp.EVENT_LINES, EVENT_PIECES, select="SELECT chunk_id, line_no, var_no, tag, value FROM pieces_vars"),
+)
+def tagged_variables(spark, sf):
+    return tg.variable_rows(tagged_events(spark, sf))
 
 
 @query(
-    "tag_counts",
-    with_(inp.EVENT_LINES, EVENT_PIECES, select="SELECT chunk_id, tag, count(*) AS n FROM pieces WHERE tag <> '' GROUP BY chunk_id, tag"),
+    "tagged_variables_documents",
+    with_(inp.DOC_LINES, DOC_PIECES, select="SELECT chunk_id, line_no, var_no, tag, value FROM pieces_vars"),
 )
-def tag_counts(spark, sf):
-    return tg.tag_counts(event_pieces(spark, sf))
+def tagged_variables_documents(spark, sf):
+    return tg.variable_rows(tg.tag_lines(inp.doc_lines(spark, sf)))
 
 
 @query(
-    "tag_counts_documents",
-    with_(inp.DOC_LINES, DOC_PIECES, select="SELECT chunk_id, tag, count(*) AS n FROM pieces WHERE tag <> '' GROUP BY chunk_id, tag"),
+    "tag_counts",
+    with_(inp.EVENT_LINES, EVENT_PIECES, select="SELECT chunk_id, tag, count(*) AS n FROM pieces WHERE tag <> '' GROUP BY chunk_id, tag"),
 )
-def tag_counts_documents(spark, sf):
-    return tg.tag_counts(tg.piece_rows(inp.doc_lines(spark, sf)))
+def tag_counts(spark, sf):
+    return tg.tag_counts(tagged_events(spark, sf))
 
 
 @query(
@@ -50,9 +53,8 @@ def tag_counts_documents(spark, sf):
     ),
 )
 def tag_threshold(spark, sf):
-    kept = tg.apply_threshold(event_pieces(spark, sf), 150, inp.EVENT_PATTERNS)
-    lines = tg.lines_from_pieces(kept)
-    return lines.groupBy("chunk_id", tg.template_text(F.col("pieces")).alias("template")).agg(
+    kept = tg.apply_threshold(tagged_events(spark, sf), 150, inp.EVENT_PATTERNS)
+    return kept.groupBy("chunk_id", tg.parts_template(F.col("parts")).alias("template")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -67,9 +69,9 @@ FROM pieces WHERE tag <> '' GROUP BY 1, 2""",
     ),
 )
 def tags_without_context(spark, sf):
-    p = tg.piece_rows(inp.order_lines(spark, sf), inp.EVENT_PATTERNS, use_context=False)
-    # without context a match leaves none behind
-    return tg.tag_counts(p)
+    return tg.tag_counts(
+        tg.tag_lines(inp.order_lines(spark, sf), inp.EVENT_PATTERNS, use_context=False)
+    )
 
 
 @query(
@@ -81,8 +83,8 @@ def tags_without_context(spark, sf):
     ),
 )
 def tags_single_pass_rule(spark, sf):
-    p = tg.piece_rows(inp.order_lines(spark, sf), inp.EVENT_PATTERNS, shape_mixed_digits=False)
-    return p.filter("tag <> ''").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    t = tg.tag_lines(inp.order_lines(spark, sf), inp.EVENT_PATTERNS, shape_mixed_digits=False)
+    return t.select(F.explode("parts.tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -96,7 +98,7 @@ def tags_single_pass_rule(spark, sf):
 )
 def generic_templates(spark, sf):
     t = tg.tag_lines(inp.order_lines(spark, sf), inp.EVENT_PATTERNS, style="generic", use_context=False)
-    return t.groupBy(tg.template_text(F.col("pieces")).alias("template")).agg(F.count(F.lit(1)).alias("n"))
+    return t.groupBy(tg.parts_template(F.col("parts")).alias("template")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -110,7 +112,7 @@ def generic_templates(spark, sf):
 )
 def template_counts(spark, sf):
     t = tg.tag_lines(inp.doc_lines(spark, sf)).filter("line <> ''")
-    return t.groupBy(tg.template_text(F.col("pieces")).alias("template")).agg(
+    return t.groupBy(tg.parts_template(F.col("parts")).alias("template")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line_no")
     )
 
@@ -126,7 +128,7 @@ FROM pieces WHERE tag LIKE '%=%' GROUP BY 1, 2, 3, 4""",
     ),
 )
 def tag_parts(spark, sf):
-    counts = tg.tag_counts(event_pieces(spark, sf)).groupBy("tag").agg(F.sum("n").alias("n")).filter("tag like '%=%'")
+    counts = tg.tag_counts(tagged_events(spark, sf)).groupBy("tag").agg(F.sum("n").alias("n")).filter("tag like '%=%'")
     parts = tg.parse_tag(F.col("tag"))
     pick = lambda k: F.coalesce(parts[k], F.lit(""))
     return counts.groupBy(
@@ -147,9 +149,7 @@ def tag_parts(spark, sf):
     ),
 )
 def json_tags(spark, sf):
-    t = tg.tag_json_lines(inp.event_json(spark, sf))
-    p = t.select("chunk_id", F.explode("pieces").alias("p")).select("chunk_id", F.col("p.tag").alias("tag"))
-    return tg.tag_counts(p)
+    return tg.tag_counts(tg.tag_json_lines(inp.event_json(spark, sf)))
 
 
 @query(
@@ -164,7 +164,7 @@ def json_tags(spark, sf):
 )
 def json_templates(spark, sf):
     t = tg.tag_json_lines(inp.event_json(spark, sf))
-    return t.groupBy(tg.template_text(F.col("pieces")).alias("template")).agg(F.count(F.lit(1)).alias("n"))
+    return t.groupBy(tg.parts_template(F.col("parts")).alias("template")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from logquarry.functions.ranks import running_count, running_sum
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a source with fewer splits than there are cores.
+
+    A small file is one split, and the work per row is heavy. A source with enough
+    splits, as on a cluster, is left alone and pays no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_lines(spark: SparkSession, path: str, chunk_lines: int = 100_000) -> DataFrame:
     """``(source, chunk_id, line_no, line)`` of text files, numbered from 1 per file.
 
