@@ -71,8 +71,10 @@ def cumulative_counts(
     counts = df.groupBy(*keys, F.col(value)).agg(F.sum(w).alias("n"))
     # cut points are one bounded array, read as a scalar
     bounds = bucket_bounds(counts, value, buckets).scalar()
-    spread = counts.withColumn(
-        "bucket", F.size(F.filter(F.coalesce(bounds, F.array()), lambda b: b < F.col(value)))
+    spread = (
+        counts.withColumn("bounds", bounds)
+        .withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col(value))))
+        .drop("bounds")
     )
     totals = spread.groupBy(*keys, "bucket").agg(F.sum("n").alias("bucket_n"))
     # at most `buckets` rows per key

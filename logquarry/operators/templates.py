@@ -123,7 +123,8 @@ def damage_template(
         .filter(F.col("w") == WILDCARD)
     )
     pick = wild.agg(F.min_by(F.struct(template, "pos"), F.xxhash64(F.lit(seed), template, "pos")).alias("p"))
-    chosen = pick.scalar()
+    df = df.withColumn("chosen", pick.scalar())
+    chosen = F.col("chosen")
     hit = (F.col(template) == chosen[template]) & (F.size(words(text)) == F.size(words(template)))
     changed = F.array_join(
         F.transform(

@@ -3,6 +3,8 @@
 from logquarry.plans import (  # noqa: F401
     encoding,
     mining,
+    relations,
+    sequences,
     profiling,
     tagging,
 )

@@ -228,7 +228,7 @@ def event_fallback(spark, sf):
     with_(
         inp.ORDER_LINES,
         "r AS (SELECT chunk_id, unnest(regexp_extract_all(line, '[0-9]+')) AS x FROM order_lines)",
-        select="""SELECT chunk_id, '<' || chr(96 + length(x)) || CASE WHEN length(x) >= 4 THEN chr(CAST(97 + CAST(x[1] AS BIGINT) AS INTEGER)) ELSE '' END || '>' AS grp,
+        select="""SELECT chunk_id, '<' || chr(CAST(96 + length(x) AS INTEGER)) || CASE WHEN length(x) >= 4 THEN chr(CAST(97 + CAST(x[1] AS BIGINT) AS INTEGER)) ELSE '' END || '>' AS grp,
   count(*) AS n, CAST(sum(CAST(x AS BIGINT)) AS BIGINT) AS total FROM r WHERE length(x) < 15 GROUP BY ALL""",
     ),
 )
@@ -243,7 +243,7 @@ def number_groups(spark, sf):
         inp.ORDER_LINES,
         "r AS (SELECT chunk_id, line_no, unnest(regexp_extract_all(line, '[0-9]+')) AS x, generate_subscripts(regexp_extract_all(line, '[0-9]+'), 1) - 1 AS seq FROM order_lines)",
         """g AS (SELECT chunk_id, line_no, seq, CAST(x AS BIGINT) AS v,
-  '<' || chr(96 + length(x)) || CASE WHEN length(x) >= 4 THEN chr(CAST(97 + CAST(x[1] AS BIGINT) AS INTEGER)) ELSE '' END || '>' AS grp FROM r)""",
+  '<' || chr(CAST(96 + length(x) AS INTEGER)) || CASE WHEN length(x) >= 4 THEN chr(CAST(97 + CAST(x[1] AS BIGINT) AS INTEGER)) ELSE '' END || '>' AS grp FROM r)""",
         select="""SELECT chunk_id, line_no, CAST(seq AS BIGINT) AS seq, grp, CASE WHEN grp IN ('<a>', '<b>', '<c>') THEN v
   ELSE v - coalesce(lag(v) OVER (PARTITION BY chunk_id, grp ORDER BY line_no, seq), 0) END AS stored FROM g""",
     ),
@@ -341,10 +341,6 @@ def partition_templates(spark, sf):
 
 # order keys as two-word lines, where step 3 always picks positions 0 and 1
 
-RELATION_SQL = """WITH l AS (SELECT CAST(c_nationkey AS VARCHAR) AS t1, c_mktsegment AS t2 FROM customer WHERE c_custkey >= 0),
-{edges}"""
-
-
 @query(
     "relation_split",
     """WITH l AS (SELECT 'k' || (p_partkey % 40 // 4) AS t1, 's' || (CASE WHEN p_partkey % 40 < 12 THEN p_partkey % 40 // 4 WHEN p_partkey % 40 < 20 THEN p_partkey % 40
@@ -522,12 +518,12 @@ def common_cluster_words(spark, sf):
     "outlier_lines",
     with_(
         *WORD_ROWS,
-        select="SELECT e.chunk_id, e.line_no, e.line FROM event_lines e LEFT JOIN c ON e.chunk_id = c.chunk_id AND e.line_no = c.line_no LEFT JOIN cand k ON c.words = k.words AND k.n >= 100 WHERE k.words IS NULL",
+        select="SELECT e.chunk_id, e.line_no, e.line FROM event_lines e LEFT JOIN c ON e.chunk_id = c.chunk_id AND e.line_no = c.line_no LEFT JOIN cand k ON c.words = k.words AND k.n >= 60 WHERE k.words IS NULL",
     ),
 )
 def outlier_lines(spark, sf):
     per_line = _per_line(spark, sf)
-    frequent = wc.frequent_candidates(wc.candidates(per_line), 100)
+    frequent = wc.frequent_candidates(wc.candidates(per_line), 60)
     return wc.outliers(inp.event_lines(spark, sf), per_line, frequent, KEYS)
 
 
