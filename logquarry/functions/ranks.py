@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logquarry.session import cut_lineage
+
 
 def running_count(
     df: DataFrame, keys: Sequence[str], block: str, within: str, out: str = "line_no"
@@ -68,7 +70,8 @@ def cumulative_counts(
     of the rows is one row here, as counting comes first.
     """
     w = F.lit(1) if weight is None else F.col(weight)
-    counts = df.groupBy(*keys, F.col(value)).agg(F.sum(w).alias("n"))
+    # read three times below: for the cut points, the totals and the rows
+    counts = cut_lineage(df.groupBy(*keys, F.col(value)).agg(F.sum(w).alias("n")))
     # cut points are one bounded array, read as a scalar
     bounds = bucket_bounds(counts, value, buckets).scalar()
     spread = (

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
+from logquarry.functions.arrays import posexplode_rows
 from logquarry.operators import tagging as tg
 
 # Delimiters to choose from, and the groups stored without delta.
@@ -28,9 +29,9 @@ def number_groups(lines: DataFrame, patterns: tg.Patterns = ()) -> DataFrame:
         hit = F.array(F.struct(s["tag"].alias("grp"), digits.alias("digits")))
         return F.when(s["tag"] != "", hit).otherwise(F.filter(free, lambda f: f["grp"].isNotNull()))
 
+    found = F.flatten(F.transform(segs, numbers))
     return (
-        lines.filter("line <> ''")
-        .select("chunk_id", "line_no", F.posexplode(F.flatten(F.transform(segs, numbers))).alias("seq", "g"))
+        posexplode_rows(lines.filter("line <> ''"), ["chunk_id", "line_no"], found, "seq", "g")
         .select(
             "chunk_id",
             "line_no",

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
+from logquarry.session import cut_lineage
 
 OUTLIER = "outlier"
 
@@ -204,11 +205,13 @@ def step3(
     min_share: float = 0.0,
 ) -> DataFrame:
     """Split by the relation of the words at two positions: 1-1, 1-M, M-1 or M-M."""
+    # the steps below read the partitions and the edges several times
+    parts = cut_lineage(parts)
     pairs = position_pairs(parts, constant_share)
     placed = parts.join(pairs, "part", "left").withColumn(
         "t1", F.when(F.col("p1").isNotNull(), F.get(F.col("words"), F.col("p1")))
     ).withColumn("t2", F.when(F.col("p2").isNotNull(), F.get(F.col("words"), F.col("p2"))))
-    edges = (
+    edges = cut_lineage(
         placed.filter("t1 is not null")
         .groupBy("part", "t1", "t2")
         .agg(F.sum("n").alias("edge_n"), F.first("step").alias("step"))
@@ -216,7 +219,7 @@ def step3(
     # degrees by two joins on aggregated edges: a hot word is one row there
     d1 = edges.groupBy("part", "t1").agg(F.count(F.lit(1)).alias("deg1"), F.sum("edge_n").alias("n1"))
     d2 = edges.groupBy("part", "t2").agg(F.count(F.lit(1)).alias("deg2"), F.sum("edge_n").alias("n2"))
-    e = edges.join(d1, ["part", "t1"]).join(d2, ["part", "t2"])
+    e = cut_lineage(edges.join(d1, ["part", "t1"]).join(d2, ["part", "t2"]))
     # the greatest degree on the other side decides whether a word fans out cleanly
     m1 = e.groupBy("part", "t1").agg(F.max("deg2").alias("far2"))
     m2 = e.groupBy("part", "t2").agg(F.max("deg1").alias("far1"))
@@ -227,7 +230,7 @@ def step3(
         .when((F.col("deg2") > 1) & (F.col("far1") == 1), "M-1")
         .otherwise("M-M")
     )
-    e = e.withColumn("kind", kind)
+    e = cut_lineage(e.withColumn("kind", kind))
     # words left over on each side decide which side splits an M-M relation
     left = (
         e.filter("kind = 'M-M'").select("part", "t1").distinct().groupBy("part").agg(F.count(F.lit(1)).alias("left1"))

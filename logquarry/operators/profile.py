@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
+from logquarry.functions.arrays import explode_rows
 
 
 def line_profile(lines: DataFrame, keys: Sequence[str] = (), text: str = "line") -> DataFrame:
@@ -61,7 +62,7 @@ def token_types(lines: DataFrame, text: str = "line") -> DataFrame:
     """Tokens by the kinds of characters they hold."""
     token = F.col("token")
     return (
-        lines.select(F.explode(tk.tokens(text)).alias("token"))
+        explode_rows(lines, [], tk.tokens(text), "token")
         .select(
             tk.has_alpha(token).alias("has_alpha"),
             tk.has_digit(token).alias("has_digit"),
@@ -77,7 +78,7 @@ def token_shapes(lines: DataFrame, text: str = "line") -> DataFrame:
     """Shapes of tokens with a digit. Tokens are counted first, so each is shaped once."""
     token = F.col("token")
     distinct = (
-        lines.select(F.explode(tk.tokens(text)).alias("token"))
+        explode_rows(lines, [], tk.tokens(text), "token")
         .filter(tk.has_digit(token))
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logquarry.session import cut_lineage
+
 
 def align(truth: DataFrame, parsed: DataFrame, keys: list[str], value: str = "template") -> DataFrame:
     """Lines present on both sides with a known truth: ``(keys, truth, parsed)``."""
@@ -13,8 +15,8 @@ def align(truth: DataFrame, parsed: DataFrame, keys: list[str], value: str = "te
 
 
 def cells(aligned: DataFrame) -> DataFrame:
-    """Line counts per (truth, parsed). Every score below works on this small table."""
-    return aligned.groupBy("truth", "parsed").agg(F.count(F.lit(1)).alias("n"))
+    """Line counts per (truth, parsed), written once: every score below reads this small table."""
+    return cut_lineage(aligned.groupBy("truth", "parsed").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _pairs(n):

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logquarry.functions.ranks import cumulative_counts
+from logquarry.session import cut_lineage
 
 
 def pearson(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -22,17 +23,19 @@ def pearson(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     return wide.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.x", "c.y", "c.r")
 
 
-def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """``(keys, value, rank)``: ranks from 1, ties share their mean."""
-    c = cumulative_counts(df, value, None, keys)
+def average_ranks(
+    df: DataFrame, value: str, keys: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """``(keys, value, rank)``: ranks from 1, ties share their mean; ``weight`` counts equal rows."""
+    c = cumulative_counts(df, value, weight, keys)
     return c.select(*keys, value, (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """``(keys, rho)``. Ranks are looked up per distinct value, for cells of equal pairs."""
-    cells = df.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("n"))
-    rx = average_ranks(df, x, keys).withColumnRenamed("rank", "rx")
-    ry = average_ranks(df, y, keys).withColumnRenamed("rank", "ry")
+    cells = cut_lineage(df.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("n")))
+    rx = average_ranks(cells, x, keys, "n").withColumnRenamed("rank", "rx")
+    ry = average_ranks(cells, y, keys, "n").withColumnRenamed("rank", "ry")
     j = cells.join(rx, [*keys, x]).join(ry, [*keys, y])
     n = F.sum("n")
     s = lambda c: F.sum(F.col("n") * c)
@@ -66,15 +69,21 @@ def kendall(df: DataFrame, x: str, y: str, bits: int = 40, buckets: int = 256) -
     with a 1. So per bit and shared prefix it is enough to count, in the order of
     ``x``, the zeros in front of each one and the ones in front of each zero.
     """
-    cells = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    rank_x = cumulative_counts(df, x, None, (), buckets).select(
-        F.col(x).alias("x"), F.col("below").alias("rx"), F.col("n").alias("tx")
+    cells = cut_lineage(
+        df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
     )
-    rank_y = cumulative_counts(df, y, None, (), buckets).select(
-        F.col(y).alias("y"), F.col("below").alias("ry"), F.col("n").alias("ty")
+    rank_x = cut_lineage(
+        cumulative_counts(cells, "x", "n", (), buckets).select(
+            "x", F.col("below").alias("rx"), F.col("n").alias("tx")
+        )
+    )
+    rank_y = cut_lineage(
+        cumulative_counts(cells, "y", "n", (), buckets).select(
+            "y", F.col("below").alias("ry"), F.col("n").alias("ty")
+        )
     )
     placed = cells.join(rank_x, "x").join(rank_y, "y")
-    total = df.agg(F.count(F.lit(1))).scalar()
+    total = cells.agg(F.sum("n")).scalar()
     levels = (
         placed.select("rx", "ry", "n", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("b"))
         # prefixes of one cell group only form no pair, but for the top bits they cost little
@@ -88,6 +97,7 @@ def kendall(df: DataFrame, x: str, y: str, bits: int = 40, buckets: int = 256) -
         .withColumn("total_n", total)
         .withColumn("bucket", F.floor(F.col("rx") * buckets / F.col("total_n")))
     )
+    levels = cut_lineage(levels)
     sums = levels.groupBy("b", "prefix", "bucket").agg(F.sum("zeros").alias("bz"), F.sum("ones").alias("bo"))
     # at most `buckets` rows per bit and prefix
     before = W.partitionBy("b", "prefix").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

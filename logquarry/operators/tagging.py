@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
+from logquarry.functions.arrays import explode_rows, posexplode_rows
 
 Patterns = Sequence[tuple[str, str]]
 
@@ -253,7 +254,7 @@ def tag_lines(
 def variable_rows(tagged: DataFrame) -> DataFrame:
     """``(chunk_id, line_no, var_no, tag, value)``; variables are numbered from 1 in their line."""
     zipped = F.arrays_zip(F.col("parts.tags").alias("tag"), F.col("parts.vars").alias("value"))
-    return tagged.select("chunk_id", "line_no", F.posexplode(zipped).alias("pos", "v")).select(
+    return posexplode_rows(tagged, ["chunk_id", "line_no"], zipped, "pos", "v").select(
         "chunk_id",
         "line_no",
         (F.col("pos") + 1).cast("bigint").alias("var_no"),
@@ -276,7 +277,7 @@ def parts_template(parts: Column) -> Column:
 def tag_counts(tagged: DataFrame) -> DataFrame:
     """Occurrences of every tag in every chunk."""
     return (
-        tagged.select("chunk_id", F.explode("parts.tags").alias("tag"))
+        explode_rows(tagged, ["chunk_id"], F.col("parts.tags"), "tag")
         .groupBy("chunk_id", "tag")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logquarry.functions.arrays import posexplode_rows
+
 WILDCARD = "<*>"
 # A template set below this many bytes may be sent to every executor.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -89,9 +91,9 @@ def variable_columns(df: DataFrame, keys: list[str], text: str = "line", templat
     A line with another number of words than its template gives no variables.
     """
     zipped = F.arrays_zip(words(template).alias("t"), words(text).alias("w"))
+    same = df.filter(F.size(words(template)) == F.size(words(text)))
     return (
-        df.filter(F.size(words(template)) == F.size(words(text)))
-        .select(*keys, template, F.posexplode(zipped).alias("pos", "z"))
+        posexplode_rows(same, [*keys, template], zipped, "pos", "z")
         .filter(F.col("z.t").contains(WILDCARD))
         .select(*keys, template, (F.col("pos") + 1).cast("bigint").alias("position"), F.col("z.w").alias("value"))
     )

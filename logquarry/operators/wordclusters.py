@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from logquarry.functions.arrays import explode_rows, posexplode_rows
 from logquarry.operators.tagging import let
 from logquarry.operators.templates import checked_broadcast
 
@@ -53,7 +54,7 @@ def frequent_words(
     if options is not None:
         words = F.flatten(F.transform(words, lambda w: _choices(w, options)))
     counts = (
-        lines.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        explode_rows(lines, [], words, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
     if support is not None:
         return counts.filter(F.col("n") >= support)
@@ -75,8 +76,9 @@ def line_candidates(
     lines. It is broadcast only if its measured size allows.
     """
     tokens = split_words(F.col(text), separator)
-    exploded = lines.select(*keys, F.size(tokens).alias("n_words"), F.posexplode(tokens).alias("pos", "raw")).select(
-        *keys, "n_words", "pos", F.posexplode(_choices(F.col("raw"), options)).alias("option", "word")
+    cut = lines.select(*keys, tokens.alias("tokens"))
+    exploded = posexplode_rows(cut, [*keys, F.size("tokens").alias("n_words")], F.col("tokens"), "pos", "raw").select(
+        *keys, "n_words", "pos", F.posexplode_outer(_choices(F.col("raw"), options)).alias("option", "word")
     )
     known = exploded.join(checked_broadcast(words.select("word"), "word"), "word")
     per_line = known.groupBy(*keys).agg(

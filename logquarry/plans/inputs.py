@@ -142,7 +142,7 @@ def chat_lines(spark: SparkSession, sf: str) -> DataFrame:
         "conv_id",
         F.expr(f"turn div {TURN_BLOCK}").alias("block"),
         "turn",
-        F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"),
+        F.posexplode_outer(F.split(text, "\n", -1)).alias("pos", "line"),
     ).select(
         "conv_id",
         "block",

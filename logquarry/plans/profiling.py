@@ -29,7 +29,7 @@ FROM d GROUP BY source, lang""",
 )
 def line_profile(spark, sf):
     d = inp.table(spark, sf, "documents").select(
-        "source", "lang", F.explode(F.split("text", "\n", -1)).alias("line")
+        "source", "lang", F.explode_outer(F.split("text", "\n", -1)).alias("line")
     )
     return _rounded(pf.line_profile(d, ["source", "lang"]), "avg_line_length")
 
@@ -41,7 +41,7 @@ c AS (SELECT lang, sum(length(regexp_replace(line, '\\P{Nd}', '', 'g'))) AS a, s
 SELECT lang, CAST(a AS BIGINT) AS n_digits, CAST(b - a AS BIGINT) AS n_other, round(a / b, 6) AS digit_ratio FROM c""",
 )
 def digit_ratio(spark, sf):
-    d = inp.table(spark, sf, "documents").select("lang", F.explode(F.split("text", "\n", -1)).alias("line"))
+    d = inp.table(spark, sf, "documents").select("lang", F.explode_outer(F.split("text", "\n", -1)).alias("line"))
     return _rounded(pf.digit_ratio(d, ["lang"]), "digit_ratio")
 
 

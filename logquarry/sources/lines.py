@@ -66,10 +66,10 @@ def lines_of_text(df: DataFrame, doc_id: str, text: str, chunk_docs: int) -> Dat
 
     ``line_no`` holds the document in its upper and the position in its lower 32 bits.
     """
-    return df.select(
+    return df.filter(F.col(text).isNotNull()).select(
         F.expr(f"{doc_id} div {chunk_docs}").alias("chunk_id"),
         F.col(doc_id),
-        F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"),
+        F.posexplode_outer(F.split(text, "\n", -1)).alias("pos", "line"),
     ).select(
         "chunk_id",
         (F.shiftleft(F.col(doc_id).cast("bigint"), 32) + F.col("pos")).alias("line_no"),
