@@ -98,15 +98,25 @@ def stored_form(tag: Column, value: Column, handlers: Mapping[str, tuple] | None
 def restored_form(
     tag: Column,
     stored: Column,
-    cut: Column,
-    layout: Column,
+    mask: Column,
     handlers: Mapping[str, tuple] | None = None,
 ) -> Column:
-    """Inverse of :func:`stored_form`, given the digit layout of the tag."""
-    form = F.when(layout.isNull(), stored).when(tag == "<I>", tk.ipv4_text(stored))
+    """Inverse of :func:`stored_form`, given the common mask of the tag's values, if any."""
+    form = F.when(mask.isNull(), stored).when(tag == "<I>", tk.ipv4_text(stored))
     for name, (_, decode) in (handlers or {}).items():
         form = form.when(tag == name, decode(stored))
-    return form.otherwise(tk.refill(stored, cut, layout))
+    return form.otherwise(tk.refill(stored, tk.refill_pattern(mask), tk.refill_layout(mask)))
+
+
+def digit_mask(tag: Column, value: Column, form: Column, handlers: Mapping[str, tuple] | None) -> Column:
+    """What the reduced form leaves out: the value with every digit as 0; null if nothing is.
+
+    Addresses and handled tags come back without a mask, so theirs is a constant.
+    """
+    mask = F.when(form == value, F.lit(None)).when(tag == "<I>", F.lit("ipv4"))
+    for name, (_, decode) in (handlers or {}).items():
+        mask = mask.when(tag == name, F.when(decode(form) == value, F.lit("handler")))
+    return mask.otherwise(F.regexp_replace(value, "[0-9]", "0"))
 
 
 def encode_values(
@@ -114,85 +124,73 @@ def encode_values(
 ) -> DataFrame:
     """Adds the storage decision and the encoded form to every value.
 
-    The reduced form of a tag (digits only, or a handler's) is used when every
-    value of the tag in the chunk comes back exactly from it; else values are kept
-    as written. ``layout`` is set where a reduced form is used.
+    The reduced form of a tag (digits only, or a handler's) is used when all values of
+    the tag in the chunk have one mask, so each comes back exactly; else values are
+    kept as written. ``mask`` is set where a reduced form is used.
+
+    Equal values of such a tag have equal reduced forms and the other way round, so
+    one sort by value serves both the first sight of a value and the tag's mask.
     """
     group = W.partitionBy("chunk_id", "tag")
-    by_value = W.partitionBy("chunk_id", "tag", "stored")
+    by_value = W.partitionBy("chunk_id", "tag", "value")
     in_order = group.orderBy("line_no", "var_no")
     tag, value = F.col("tag"), F.col("value")
 
-    if mode == "fast":
-        prepared = values.select(
-            "*",
-            value.alias("stored"),
-            F.lit(None).cast("string").alias("cut"),
-            F.lit(None).cast("string").alias("layout"),
+    base = values
+    if mode != "fast":
+        base = base.withColumn("form", stored_form(tag, value, handlers)).withColumn(
+            "own_mask", digit_mask(tag, value, F.col("form"), handlers)
         )
+    seen = base.withColumn("first_at", F.min(F.struct("line_no", "var_no")).over(by_value))
+    if mode == "fast":
+        prepared = seen.withColumn("stored", value).withColumn("mask", F.lit(None).cast("string"))
     else:
-        form = values.withColumn("form", stored_form(tag, value, handlers)).withColumn(
-            "own_layout",
-            F.when(F.col("form") == value, F.lit(None))
-            .when(tag == "<I>", F.lit("ipv4"))
-            .when(tag.isin(list(handlers or {})), F.lit("handler"))
-            .otherwise(tk.refill_layout(value)),
-        ).withColumn(
-            "own_cut",
-            F.when(F.col("own_layout").isin("ipv4", "handler"), F.lit("")).when(
-                F.col("own_layout").isNotNull(), tk.refill_pattern(value)
-            ),
-        )
-        exact = F.col("own_layout").isNotNull() & F.coalesce(
-            restored_form(tag, F.col("form"), F.col("own_cut"), F.col("own_layout"), handlers) == value,
-            F.lit(False),
+        n_masked = F.count("own_mask").over(group)
+        uniform = (n_masked == F.count(F.lit(1)).over(group)) & (
+            F.min("own_mask").over(group) == F.max("own_mask").over(group)
         )
-        shape_key = F.concat_ws("\n", "own_cut", "own_layout")
         prepared = (
-            form.withColumn("exact", exact)
-            .withColumn("shape_key", shape_key)
-            .withColumn(
-                "uniform",
-                F.min("exact").over(group)
-                & (F.min("shape_key").over(group) == F.max("shape_key").over(group)),
-            )
-            .select(
-                "chunk_id",
-                "tag",
-                "line_no",
-                "var_no",
-                F.when(F.col("uniform"), F.col("form")).otherwise(value).alias("stored"),
-                F.when(F.col("uniform"), F.col("own_cut")).alias("cut"),
-                F.when(F.col("uniform"), F.col("own_layout")).alias("layout"),
-            )
+            seen.withColumn("uniform", uniform)
+            .withColumn("stored", F.when(F.col("uniform"), F.col("form")).otherwise(value))
+            .withColumn("mask", F.when(F.col("uniform"), F.col("own_mask")))
         )
-
-    number_text = F.col("stored").rlike(f"^[0-9]{{1,{MAX_NUMBER_DIGITS}}}$")
+    number = F.col("stored").try_cast("bigint")
+    prepared = prepared.select(
+        "chunk_id",
+        "tag",
+        "line_no",
+        "var_no",
+        "stored",
+        "mask",
+        "first_at",
+        F.length("stored").alias("len"),
+        F.when(F.col("stored").rlike(f"^[0-9]{{1,{MAX_NUMBER_DIGITS}}}$"), number).alias("number"),
+    ).withColumn(
+        # one bit per number of digits without leading zeros
+        "len_bit", F.expr("shiftleft(1, length(cast(number as string)))")
+    )
     ranked = (
-        prepared.withColumn("is_num", number_text)
-        .withColumn("first_at", F.min(F.struct("line_no", "var_no")).over(by_value))
-        .withColumn("dict_rank", F.dense_rank().over(group.orderBy("first_at")))
-        .withColumn("n", F.count(F.lit(1)).over(group))
-        .withColumn("n_distinct", F.max("dict_rank").over(group))
-        .withColumn("all_num", F.min("is_num").over(group))
-        .withColumn(
-            "n_lengths",
-            F.size(
-                F.collect_set(
-                    F.when(F.col("is_num"), F.length(F.col("stored").try_cast("bigint").cast("string")))
-                ).over(group)
-            ),
+        prepared.withColumn("dict_rank", F.dense_rank().over(group.orderBy("first_at")))
+        .select(
+            "*",
+            F.count(F.lit(1)).over(group).alias("n"),
+            F.count("number").over(group).alias("n_num"),
+            F.max("dict_rank").over(group).alias("n_distinct"),
+            F.bit_or("len_bit").over(group).alias("len_bits"),
+            F.min("len").over(group).alias("min_len"),
+            F.max("len").over(group).alias("max_len"),
         )
-        .withColumn("min_len", F.min(F.length("stored")).over(group))
-        .withColumn("max_len", F.max(F.length("stored")).over(group))
     )
     if mode == "fast":
         storage = F.lit(MAPPING)
     else:
         storage = storage_type(
-            tag, F.col("n"), F.col("n_distinct"), F.col("all_num"), F.col("n_lengths")
+            tag,
+            F.col("n"),
+            F.col("n_distinct"),
+            F.col("n_num") == F.col("n"),
+            F.coalesce(F.bit_count("len_bits"), F.lit(0)),
         )
-    number = F.col("stored").try_cast("bigint")
     numeric = F.col("storage_type").isin(ALLSAME, DELTA, NODELTA)
     return (
         ranked.withColumn("storage_type", storage)
@@ -200,15 +198,15 @@ def encode_values(
             "num",
             F.when(
                 F.col("storage_type") == DELTA,
-                number - F.coalesce(F.lag(number).over(in_order), F.lit(0)),
-            ).when(numeric, number),
+                F.col("number") - F.coalesce(F.lag("number").over(in_order), F.lit(0)),
+            ).when(numeric, F.col("number")),
         )
         .withColumn("dict_id", F.when(~numeric, F.col("dict_rank")).cast("bigint"))
         .withColumn(
             "width",
-            F.when(numeric & (F.col("min_len") != F.col("max_len")), F.length("stored")).cast("bigint"),
+            F.when(numeric & (F.col("min_len") != F.col("max_len")), F.col("len")).cast("bigint"),
         )
-        .drop("is_num", "dict_rank", "first_at")
+        .drop("dict_rank", "first_at", "len", "len_bit", "len_bits", "n_num", "number")
     )
 
 
@@ -234,8 +232,7 @@ def tag_table(encoded_values: DataFrame) -> DataFrame:
         F.first("n_distinct").cast("bigint").alias("n_distinct"),
         F.first("min_len").cast("bigint").alias("min_len"),
         F.first("max_len").cast("bigint").alias("max_len"),
-        F.first("cut").alias("cut"),
-        F.first("layout").alias("layout"),
+        F.first("mask").alias("mask"),
         F.sum(tk.varint_size(F.coalesce("num", "dict_id"))).alias("id_bytes"),
     )
 

@@ -167,16 +167,15 @@ def pattern_sample(
 ) -> dict[int, list[str]]:
     """At least ``k`` texts grouped into patterns: near a centre joins it, far from all starts one."""
     pool = [r[0] for r in fixed_sample(df.select(text).distinct(), [text], k * candidates, seed).collect()]
-    groups: dict[int, list[str]] = {}
-    centres: list[str] = []
-    taken, r = 0, 0
+    if not pool:
+        return {}
+    groups: dict[int, list[str]] = {0: [pool[0]]}
+    centres = [pool[0]]
+    taken, r = 1, 0
     while taken < k and r * candidates < len(pool):
-        fresh = pool[r * candidates : (r + 1) * candidates]
+        fresh = [c for c in pool[r * candidates : (r + 1) * candidates] if c != pool[0]]
         r += 1
-        if not centres:
-            centres.append(fresh[0])
-            groups[0] = [fresh[0]]
-            taken += 1
+        if not fresh:
             continue
         # distances to the centres at the start of the round
         nearest = [min((distance(c, m), i) for i, m in enumerate(centres)) for c in fresh]

@@ -64,8 +64,23 @@ def write_encoded(encoded: Encoded, path: str, mode: str = "overwrite") -> None:
         ).parquet(f"{path}/{name}")
 
 
+ENCODED_SCHEMAS = {
+    "templates": "chunk_id bigint, template_id bigint, n_lines bigint, first_line_no bigint, "
+    "statics array<string>, tags array<string>, template string",
+    "line_map": "chunk_id bigint, line_no bigint, template_id bigint",
+    "tags": "chunk_id bigint, tag string, storage_type string, n bigint, n_distinct bigint, "
+    "min_len bigint, max_len bigint, mask string, id_bytes bigint",
+    "values": "chunk_id bigint, tag string, line_no bigint, var_no bigint, num bigint, "
+    "dict_id bigint, width bigint",
+    "dictionary": "chunk_id bigint, tag string, dict_id bigint, value string, n bigint",
+}
+
+
 def read_encoded(spark: SparkSession, path: str) -> Encoded:
-    return Encoded(*[spark.read.parquet(f"{path}/{n}") for n in ("templates", "line_map", "tags", "values", "dictionary")])
+    """Encoded tables, also where one of them has no rows and thus no files."""
+    return Encoded(
+        *[spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in ENCODED_SCHEMAS.items()]
+    )
 
 
 def append_result(df: DataFrame, path: str) -> None:
