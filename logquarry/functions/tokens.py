@@ -80,7 +80,14 @@ def shape(token: Column) -> Column:
             p.rlike("^[0-9]"), F.concat(F.lit("\\d{"), F.length(p).cast("string"), F.lit("}"))
         ).otherwise(F.regexp_replace(p, r"([.*+?()\[\]{}^$\\])", r"\\$1"))
 
-    return F.array_join(F.transform(parts, part), "")
+    # the commonest shape needs no array
+    run = lambda d: F.concat(F.lit("\\d{"), F.length(d).cast("string"), F.lit("}"))
+    decimal = F.concat(
+        run(F.substring_index(token, ".", 1)), F.lit("\\."), run(F.substring_index(token, ".", -1))
+    )
+    return F.when(token.rlike(r"^[0-9]+\.[0-9]+$"), decimal).otherwise(
+        F.array_join(F.transform(parts, part), "")
+    )
 
 
 def refill_pattern(value: Column) -> Column:

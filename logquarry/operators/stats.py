@@ -61,7 +61,7 @@ def _erfc(z: Column) -> Column:
     return poly * F.exp(-z * z)
 
 
-def kendall(df: DataFrame, x: str, y: str, bits: int = 40, buckets: int = 256) -> DataFrame:
+def kendall(df: DataFrame, x: str, y: str, buckets: int = 256) -> DataFrame:
     """Tau-b with its normal-approximation p-value, without forming pairs.
 
     Rows are counted per (x, y) first. Two different ``y`` ranks differ in a highest
@@ -83,10 +83,11 @@ def kendall(df: DataFrame, x: str, y: str, bits: int = 40, buckets: int = 256) -
         )
     )
     placed = cells.join(rank_x, "x").join(rank_y, "y")
-    total = cells.agg(F.sum("n")).scalar()
+    total = cells.agg(F.sum("n")).first()[0] or 0
+    # ranks are below the number of rows, so its bits tell them all apart
+    bits = max(int(total).bit_length(), 1)
     levels = (
         placed.select("rx", "ry", "n", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("b"))
-        # prefixes of one cell group only form no pair, but for the top bits they cost little
         .withColumn("prefix", F.expr("shiftright(ry, b + 1)"))
         .withColumn("one", F.expr("shiftright(ry, b) & 1"))
         .groupBy("b", "prefix", "rx")
@@ -94,8 +95,7 @@ def kendall(df: DataFrame, x: str, y: str, bits: int = 40, buckets: int = 256) -
             F.sum(F.when(F.col("one") == 0, F.col("n")).otherwise(0)).alias("zeros"),
             F.sum(F.when(F.col("one") == 1, F.col("n")).otherwise(0)).alias("ones"),
         )
-        .withColumn("total_n", total)
-        .withColumn("bucket", F.floor(F.col("rx") * buckets / F.col("total_n")))
+        .withColumn("bucket", F.floor(F.col("rx") * buckets / F.lit(max(int(total), 1))))
     )
     levels = cut_lineage(levels)
     sums = levels.groupBy("b", "prefix", "bucket").agg(F.sum("zeros").alias("bz"), F.sum("ones").alias("bo"))

@@ -154,27 +154,28 @@ def frequent_templates(df: DataFrame, min_lines: int = 2, template: str = "templ
     return df.groupBy(template).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_lines)
 
 
-def column_params_by_regex(df: DataFrame, text: str = "line", template: str = "template") -> DataFrame:
+def template_params_regex(df: DataFrame, text: str = "line", template: str = "template") -> DataFrame:
     """Adds ``params`` by matching the line against its template as a regex.
 
-    For templates whose words do not line up with the line's: the wildcard is lazy,
-    blanks match any white space, other characters match themselves. The regex is
-    built per row from the template column.
+    For templates whose words do not line up with the line's: a wildcard is lazy,
+    blanks match any white space, other characters match themselves. The array is
+    empty where the line does not match.
     """
-    escaped = F.regexp_replace(F.col(template), r"([^A-Za-z0-9\s<*>])", r"\\$1")
-    escaped = F.regexp_replace(escaped, r"(?<!<)\*|\*(?!>)", r"\\*")
-    pattern = F.concat(
-        F.lit("^"),
-        F.regexp_replace(F.regexp_replace(escaped, r"\s+", r"\\s+"), r"<\*>", "(.*?)"),
-        F.lit("$"),
+    fixed = F.split(F.col(template), r"<\*>", -1)
+    quoted = F.transform(
+        fixed,
+        lambda t: F.regexp_replace(F.regexp_replace(t, r"([^A-Za-z0-9\s])", r"\\$1"), r"\s+", r"\\s+"),
     )
-    n = F.size(F.split(F.col(template), r"<\*>", -1)) - 1
-    got = F.transform(
-        F.sequence(F.lit(1), n), lambda i: F.regexp_extract(F.col(text), pattern, i)
+    pattern = F.concat(F.lit("^"), F.array_join(quoted, "(.*?)"), F.lit("$"))
+    n = F.size(fixed) - 1
+    found = F.transform(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+        lambda i: F.call_function("regexp_extract", F.col(text), F.col("pattern"), i),
     )
-    return df.withColumn(
-        "params",
-        F.when((n > 0) & F.col(text).rlike(F.lit("(?s).*")), got).otherwise(
-            F.expr("cast(array() as array<string>)")
-        ),
+    none = F.expr("cast(array() as array<string>)")
+    matched = (n > 0) & F.call_function("rlike", F.col(text), F.col("pattern"))
+    return (
+        df.withColumn("pattern", pattern)
+        .withColumn("params", F.when(matched, found).otherwise(none))
+        .drop("pattern")
     )

@@ -158,6 +158,20 @@ def template_params(spark, sf):
     return tp.template_params(t).select("chunk_id", "line_no", F.array_join("params", "|").alias("params"))
 
 
+@query(
+    "template_params_regex",
+    with_(
+        inp.EVENT_LINES,
+        select=r"""SELECT chunk_id, line_no, regexp_extract(line, 'user=(\S+)', 1) || '|' || regexp_extract(line, 'value=(\S+)', 1) || '|' || regexp_extract(line, 'props=(.*)$', 1) AS params
+FROM event_lines""",
+    ),
+)
+def template_params_regex(spark, sf):
+    level = F.concat(F.split("line", " ")[0], F.lit(" "), F.split("line", " ")[1], F.lit(" "), F.split("line", " ")[2])
+    t = inp.event_lines(spark, sf).withColumn("template", F.concat(level, F.lit(" user=<*> value=<*> props=<*>")))
+    return tp.template_params_regex(t).select("chunk_id", "line_no", F.array_join("params", "|").alias("params"))
+
+
 @query(
     "variable_columns",
     with_(
