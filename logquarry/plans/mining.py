@@ -506,7 +506,26 @@ def _joined(spark, sf, wildcard):
     )
 
 
-@query("joined_clusters")
+JOINED = (
+    *WEIGHT_ROWS,
+    "wt AS (SELECT cx.words, cx.w2 AS word, sum(dep) / len(string_split(cx.words, ' ')) AS w FROM cx JOIN d2 ON cx.w1 = d2.w1 AND cx.w2 = d2.w2 WHERE n >= 20 GROUP BY cx.words, cx.w2)",
+    "ps AS (SELECT words, n, unnest(string_split(words, ' ')) AS word, generate_subscripts(string_split(words, ' '), 1) AS i FROM cand WHERE n >= 20)",
+    "pw AS (SELECT ps.*, w >= 0.45 AS heavy FROM ps JOIN wt ON ps.words = wt.words AND ps.word = wt.word)",
+    "ky AS (SELECT words, string_agg(CASE WHEN heavy THEN word ELSE '' END, ' ' ORDER BY i) AS key FROM pw GROUP BY words)",
+    """sg AS (SELECT key, sp.i, sum(sp.n) AS n, min(lo) AS lo, max(hi) AS hi, max(CASE WHEN heavy THEN word END) AS word,
+  list_sort(list_distinct(list(word) FILTER (NOT heavy))) AS alts FROM sp JOIN ky ON sp.words = ky.words LEFT JOIN pw ON pw.words = sp.words AND pw.i = sp.i GROUP BY key, sp.i)""",
+    """tx AS (SELECT key, i, n, CASE WHEN hi > 0 THEN '*{' || lo || ',' || hi || '}' END AS gap,
+  coalesce(word, CASE WHEN len(alts) > 1 THEN '(' || array_to_string(alts, '|') || ')' WHEN len(alts) = 1 THEN alts[1] END) AS body FROM sg)""",
+)
+
+
+@query(
+    "joined_clusters",
+    with_(
+        *JOINED,
+        select="SELECT string_agg(concat_ws(' ', gap, body), ' ' ORDER BY i) FILTER (gap IS NOT NULL OR body IS NOT NULL) AS cluster, CAST(any_value(n) AS BIGINT) AS n FROM tx GROUP BY key",
+    ),
+)
 def joined_clusters(spark, sf):
     return _joined(spark, sf, False)
 

@@ -67,41 +67,51 @@ def _entropies(select_rows: str) -> str:
     return f"""SELECT expr, round(sum(c) * ln(sum(c)) - sum(c * ln(c)), 3) AS score FROM (SELECT expr, v, count(*) AS c FROM ({select_rows}) GROUP BY expr, v) GROUP BY expr"""
 
 
-def _relation_sql() -> str:
-    names = []
-    windows = []
-    for c in ("okey", "cust"):
-        windows += [
-            f"{c}",
-            f"coalesce(lead({c}) OVER c - {c}, {c}) AS {c}_up",
-            f"{c} - coalesce(lag({c}) OVER c, 0) AS {c}_do",
-            f"coalesce(lead({c}) OVER s - {c}, {c}) AS {c}_up_status",
-            f"{c} - coalesce(lag({c}) OVER s, 0) AS {c}_do_status",
+def _relation_sql(columns: list[str], by: str | None, triples: bool) -> str:
+    windows, names = [], []
+    for c in columns:
+        own = [
+            (c, c),
+            (f"{c}_up", f"coalesce(lead({c}) OVER c - {c}, {c})"),
+            (f"{c}_do", f"{c} - coalesce(lag({c}) OVER c, 0)"),
         ]
-        names += [c, f"{c}_up", f"{c}_do", f"{c}_up_status", f"{c}_do_status"]
+        if by:
+            own += [
+                (f"{c}_up_{by}", f"coalesce(lead({c}) OVER s - {c}, {c})"),
+                (f"{c}_do_{by}", f"{c} - coalesce(lag({c}) OVER s, 0)"),
+            ]
+        windows += [f"{e} AS {n}" if e != n else n for n, e in own]
+        names += [n for n, _ in own]
+    source = lambda n: n.split("_")[0]
     rows = [f"SELECT '{n}' AS expr, {n} AS v FROM fr" for n in names]
     for i, b in enumerate(names):
         for a in names[i + 1 :]:
-            if a.split("_")[0] != b.split("_")[0]:
+            if source(a) != source(b):
                 rows.append(f"SELECT '{a}-{b}' AS expr, {a} - {b} AS v FROM fr")
+    if triples:
+        for a in names:
+            for k, c in enumerate(names):
+                for b in names[k + 1 :]:
+                    if len({source(a), source(b), source(c)}) == 3:
+                        rows.append(f"SELECT '{a}-{b}-{c}' AS expr, {a} - {b} - {c} AS v FROM fr")
+    ids = f", s AS (PARTITION BY chunk_id, {by} ORDER BY row_no)" if by else ""
     return with_(
         ORDER_TABLE,
-        "fr AS (SELECT chunk_id, row_no, "
-        + ", ".join(windows)
-        + " FROM ot WINDOW c AS (PARTITION BY chunk_id ORDER BY row_no), s AS (PARTITION BY chunk_id, status ORDER BY row_no))",
+        f"fr AS (SELECT chunk_id, row_no, {', '.join(windows)} FROM ot WINDOW c AS (PARTITION BY chunk_id ORDER BY row_no){ids})",
         select=_entropies(" UNION ALL ".join(rows)),
     )
 
 
-@query("relation_scores", _relation_sql())
+@query("relation_scores", _relation_sql(["okey", "cust"], "status", False))
 def relation_scores(spark, sf):
     s = rl.relation_scores(order_table(spark, sf), rl.forms(["okey", "cust"], ["status"]), "row_no")
     return s.withColumn("score", F.round("score", 3))
 
 
-@query("relation_scores_triples")
+@query("relation_scores_triples", _relation_sql(NUMERIC, None, True))
 def relation_scores_triples(spark, sf):
-    return rl.relation_scores(order_table(spark, sf), rl.forms(NUMERIC, []), "row_no")
+    s = rl.relation_scores(order_table(spark, sf), rl.forms(NUMERIC, []), "row_no")
+    return s.withColumn("score", F.round("score", 3))
 
 
 def _rules(spark, sf):

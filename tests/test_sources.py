@@ -60,8 +60,10 @@ def test_structured_tables(spark, tmp_path):
 def test_encoded_tables_round_trip(spark, lines, tmp_path):
     df = lines([f"job {i % 7} took 0.{i:03d}s" for i in range(50)])
     tb.write_encoded(en.encode(tg.tag_lines(df)), str(tmp_path / "e"))
-    back = rs.restore_lines(tb.read_encoded(spark, str(tmp_path / "e")))
-    assert rs.line_difference(df, back, ["chunk_id", "line_no"]).count() == 0
+    tb.encode_and_write(tg.tag_lines(df), str(tmp_path / "f"), "fast")
+    for name in "ef":
+        back = rs.restore_lines(tb.read_encoded(spark, str(tmp_path / name)))
+        assert rs.line_difference(df, back, ["chunk_id", "line_no"]).count() == 0
 
 
 def test_result_rows(spark, tmp_path):
