@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,10 +54,23 @@ def running_sum(
     )
 
 
+STRIDE = 16
+
+
 def bucket_bounds(df: DataFrame, value: str, buckets: int) -> DataFrame:
-    """One row: an ascending array of at most ``buckets`` cut points of a numeric column."""
+    """One row: ``fine``, at most ``buckets`` ascending cut points, and ``coarse``, every 16th of them."""
     shares = [i / buckets for i in range(1, buckets)]
-    return df.agg(F.percentile_approx(value, shares, 10 * buckets).alias("bounds"))
+    fine = df.agg(F.percentile_approx(value, shares, 10 * buckets).alias("fine"))
+    return fine.select(
+        F.struct("fine", F.filter("fine", lambda b, i: (i + 1) % STRIDE == 0).alias("coarse")).alias("bounds")
+    )
+
+
+def bucket_of(bounds: Column, value: Column) -> Column:
+    """How many cut points lie below the value, looked up in two short steps."""
+    skipped = STRIDE * F.size(F.filter(bounds["coarse"], lambda b: b < value))
+    near = F.slice(bounds["fine"], skipped + 1, F.lit(STRIDE))
+    return skipped + F.size(F.filter(near, lambda b: b < value))
 
 
 def cumulative_counts(
@@ -76,7 +89,7 @@ def cumulative_counts(
     bounds = bucket_bounds(counts, value, buckets).scalar()
     spread = (
         counts.withColumn("bounds", bounds)
-        .withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col(value))))
+        .withColumn("bucket", bucket_of(F.col("bounds"), F.col(value)))
         .drop("bounds")
     )
     totals = spread.groupBy(*keys, "bucket").agg(F.sum("n").alias("bucket_n"))

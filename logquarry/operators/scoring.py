@@ -9,14 +9,19 @@ from logquarry.session import cut_lineage
 
 
 def align(truth: DataFrame, parsed: DataFrame, keys: list[str], value: str = "template") -> DataFrame:
-    """Lines present on both sides with a known truth: ``(keys, truth, parsed)``."""
-    a = truth.select(*keys, F.col(value).alias("truth")).filter(F.col("truth").isNotNull())
+    """Lines present on both sides: ``(keys, truth, parsed)``."""
+    a = truth.select(*keys, F.col(value).alias("truth"))
     return a.join(parsed.select(*keys, F.col(value).alias("parsed")), keys)
 
 
 def cells(aligned: DataFrame) -> DataFrame:
-    """Line counts per (truth, parsed), written once: every score below reads this small table."""
-    return cut_lineage(aligned.groupBy("truth", "parsed").agg(F.count(F.lit(1)).alias("n")))
+    """Line counts per (truth, parsed) for a known truth.
+
+    Written once, as every score below reads this small table. Unknown truths are
+    dropped here: earlier, the filter would run the template expression a second time.
+    """
+    counts = cut_lineage(aligned.groupBy("truth", "parsed").agg(F.count(F.lit(1)).alias("n")))
+    return counts.filter(F.col("truth").isNotNull())
 
 
 def _pairs(n):
