@@ -79,6 +79,15 @@ def shingle_set(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(acc)
 
 
+def minwise_pair(text: bytes, width: int) -> tuple[int, int]:
+    """Two independent minwise hashes of a text's shingles; zeros without words."""
+    found = shingle_set(raw_words(text), width)
+    if not len(found):
+        return 0, 0
+    other = (found ^ (found >> np.uint64(31))) * _STEP
+    return int(found[0].view(np.int64)), int(other.min().view(np.int64))
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): rows (node, root), root the least node reached.
 
