@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import neardup, toxicity
+from logquarry.llm import decontam, neardup, toxicity
 from logquarry.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,31 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", held_out)
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op2_decontamination"] = r"""
+WITH doc_words AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+item_words AS (
+  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM doc_words),
+b AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM item_words),
+same AS (SELECT doc_id, item_id, n, i - k AS start, k FROM d JOIN b USING (word)),
+runs AS (
+  SELECT doc_id, item_id, n, start, k - row_number() OVER (PARTITION BY doc_id, item_id, start ORDER BY k) AS run FROM same),
+run_lengths AS (SELECT doc_id, item_id, n, start, run, count(*) AS c FROM runs GROUP BY ALL),
+rated AS (
+  SELECT doc_id, item_id, n, start, sum(c) AS matched, max(c) AS longest FROM run_lengths
+  GROUP BY doc_id, item_id, n, start HAVING sum(c) * 100 >= 80 * n OR max(c) >= 13)
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS item_words, CAST(start AS BIGINT) AS start,
+       CAST(matched AS BIGINT) AS matched, CAST(longest AS BIGINT) AS longest_run
+FROM rated QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) = 1
+"""
+
+
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), neardup.Settings(width=2))
