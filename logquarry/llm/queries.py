@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import decontam, neardup, toxicity
+from logquarry.llm import decontam, neardup, secret_tags, toxicity
 from logquarry.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,23 @@ FROM rated QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matc
 """
 
 
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = secret_tags.find_secrets(docs, secret_tags.fit(docs))
+    names = F.array(*map(F.lit, secret_tags.KINDS))
+    line = lambda c: F.array_join(
+        F.transform(c, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{secret_tags.KINDS[k]}") for k in range(3)],
+        F.sha2(line("base"), 256).alias("base_sha256"),
+        line("spans").alias("spans"),
+    )
+
+
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), neardup.Settings(width=2))
