@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import decontam, neardup, secret_tags, toxicity
+from logquarry.llm import decontam, neardup, pieces, secret_tags, toxicity
 from logquarry.llm.common import read_table
 
+TOKENIZER_DIR = "/opt/tokenizers"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -52,6 +53,12 @@ FROM rated QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matc
 """
 
 
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.load(f"{TOKENIZER_DIR}/piece_bpe_32k.model")
+    return pieces.with_decoded_crc(pieces.encode(read_table(spark, sf_dir, "documents"), model), model)
+
+
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
