@@ -24,16 +24,17 @@ from logquarry.llm.common import Scratch, arrow_batches, components, raw_texts,
 
 @dataclass(frozen=True)
 class Settings:
-    """``trees`` sets the recall: a pair at similarity 0.8 survives four branchings of one tree
-    with probability 0.58, so 16 trees miss it about once in a million times."""
+    """``trees`` sets the recall: a pair at similarity 0.8 survives five branchings of one tree
+    with probability 0.53, so 14 trees miss it about three times in 100,000. Nodes are
+    looked at after the first number of branchings in ``depths``; the members of a large node
+    are tried with one of them. Large nodes that stay unconnected branch on to the second
+    number; groups that are left then are compared in full, ``block`` by ``block`` members."""
 
     width: int = 5
     percent: int = 80
-    tokens: int = 64
-    trees: int = 16
-    first_depth: int = 3
-    star_depth: int = 4
-    max_depth: int = 10
+    tokens: int = 128
+    trees: int = 14
+    depths: tuple[int, int] = (5, 9)
     node_limit: int = 10
     block: int = 256
     seed: int = 7
@@ -45,7 +46,7 @@ def branches(s: Settings) -> list[list[tuple[int, int, int]]]:
     levels: list[list[tuple[int, int, int]]] = []
     used: dict[int, tuple[int, ...]] = {-1 - t: () for t in range(s.trees)}
     number = 0
-    for _ in range(s.max_depth):
+    for _ in range(max(s.depths)):
         level, after = [], {}
         for parent, taken in used.items():
             wanted = 100 / s.percent
@@ -96,35 +97,40 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
     )
 
 
-def _first_nodes(reps: DataFrame, s: Settings, levels: list) -> DataFrame:
-    """Nodes at the first depth, whose branchings are made at once."""
+def _first_nodes(reps: DataFrame, depth: int, levels: list) -> DataFrame:
+    """Nodes at the first depth that is looked at."""
     coords: dict[int, tuple[int, ...]] = {}
-    for level in levels[: s.first_depth]:
+    for level in levels[:depth]:
         coords |= {p: (*coords.get(parent, ()), c) for p, parent, c in level}
-    paths = [F.struct(F.lit(p).alias("path"), F.xxhash64(F.lit(p), *[F.col("sketch")[c] for c in coords[p]]).alias("key")) for p, _, _ in levels[s.first_depth - 1]]
+    paths = [F.struct(F.lit(p).alias("path"), F.xxhash64(F.lit(p), *[F.col("sketch")[c] for c in coords[p]]).alias("key")) for p, _, _ in levels[depth - 1]]
     return reps.select("rep", F.explode(F.array(*paths)).alias("x")).select("x.path", "x.key", "rep")
 
 
-def _next_nodes(large: DataFrame, reps: DataFrame, level: list) -> DataFrame:
-    """Children of the given nodes: one more agreeing token."""
-    # the branching table has a few rows for each tree and is fixed by the settings
-    table = large.sparkSession.createDataFrame(level, "child int, path int, at int")
+def _next_nodes(large: DataFrame, reps: DataFrame, levels: list) -> DataFrame:
+    """Descendants of the given nodes after the branchings in ``levels``: further agreeing tokens."""
+    below: dict[int, tuple[int, list[int]]] = {p: (parent, [c]) for p, parent, c in levels[0]}
+    for level in levels[1:]:
+        below = {p: (below[parent][0], [*below[parent][1], c]) for p, parent, c in level}
+    # the branching table has a few hundred rows, fixed by the settings
+    table = large.sparkSession.createDataFrame([(p, top, at) for p, (top, at) in below.items()], "child int, path int, at array<int>")
+    tokens = F.transform("at", lambda c: F.get("sketch", c))
     return (
-        large.join(F.broadcast(table), "path")
+        large.select("path", "key", "rep")
         .join(reps.select("rep", "sketch"), "rep")
-        .select(F.col("child").alias("path"), F.xxhash64("child", "key", F.col("sketch")[F.col("at")]).alias("key"), "rep")
+        .join(F.broadcast(table), "path")
+        .select(F.col("child").alias("path"), F.xxhash64("child", "key", tokens).alias("key"), "rep")
     )
 
 
 def _sized(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Members of nodes that can still give a link, with the node's size and least member."""
+    """Members of nodes that can still give a link, with the node's size and one of its members."""
     if comps is not None:
         nodes = nodes.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
     else:
         nodes = nodes.withColumn("comp", F.col("rep"))
     sizes = (
         nodes.groupBy("path", "key")
-        .agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        .agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "path")).alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         .where("n > 1 and c0 <> c1")
         .drop("c0", "c1")
     )
@@ -142,39 +148,71 @@ def _small_pairs(sized: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def _block_pairs(large: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
-    """All likely pairs of nodes that no branching made small: blocks of members meet block by block."""
-    k = F.ceil(F.col("n") / s.block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), k).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+def _block_links(groups: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Links across components inside ``groups`` (rep, group, comp): every pair is compared in full.
+
+    Members are dealt to blocks, and each two blocks of a group meet in one task. What comes
+    back connects what the links connect: an edge from each linked document to the least of
+    its cell that it reaches.
+    """
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / s.block).cast("int").alias("k"))
+    mine = F.pmod(F.xxhash64("rep"), F.col("k")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
     spread = (
-        large.join(reps.select("rep", "sketch"), "rep")
-        .select("path", "key", "rep", "comp", "sketch", mine.alias("mine"), F.explode(cells).alias("cell"))
-        .select("path", "key", "rep", "comp", "sketch", "mine", "cell.i", "cell.j")
+        groups.join(sizes, "group")
+        .withColumn("mine", mine)
+        .join(docs.select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "rep")
+        .select("group", "rep", "comp", "text", "mine", F.explode(cells).alias("cell"))
+        .select("group", "rep", "comp", "text", "mine", "cell.i", "cell.j")
     )
-    least = _least_agreeing(s)
+    width, percent = s.width, s.percent
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i = rows["i"].iloc[0]
-        left = rows[rows["mine"] == i]
-        right = rows[rows["mine"] == rows["j"].iloc[0]]
-        a, b = np.stack(left["sketch"].to_list()), np.stack(right["sketch"].to_list()) if len(right) else None
-        found = []
-        if b is not None:
-            ids, others = left["rep"].to_numpy(), right["rep"].to_numpy()
-            comp, other_comp = left["comp"].to_numpy(), right["comp"].to_numpy()
-            for x in range(len(a)):
-                hit = ((b == a[x]).sum(axis=1) >= least) & (other_comp != comp[x])
-                found += [(min(ids[x], y), max(ids[x], y)) for y in others[hit]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64").drop_duplicates()
-
-    return spread.groupBy("path", "key", "i", "j").applyInPandas(compare, "a long, b long")
+        rows = rows.sort_values("rep")
+        sets = [shingle_set(raw_words(t.encode()), width) for t in rows["text"]]
+        comp, mine = rows["comp"].to_numpy(), rows["mine"].to_numpy()
+        linked = _common(sets)
+        size = np.array([len(x) for x in sets])
+        linked = 100 * linked >= percent * (size[:, None] + size[None, :] - linked)
+        linked &= comp[:, None] != comp[None, :]
+        if rows["i"].iloc[0] != rows["j"].iloc[0]:
+            linked &= mine[:, None] != mine[None, :]
+        least = np.arange(len(sets))
+        x, y = np.nonzero(linked)
+        while True:
+            before = least.copy()
+            np.minimum.at(least, x, before[y])
+            least = least[least]
+            if (least == before).all():
+                break
+        ids = rows["rep"].to_numpy()
+        far = least != np.arange(len(sets))
+        return pd.DataFrame({"a": ids[least[far]], "b": ids[far]}, dtype="int64")
+
+    return spread.groupBy("group", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of slices of the incidence matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    value, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)))
+    for at in range(0, int((times > 1).sum()), 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[lo:hi], column[lo:hi] - at] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
 
 
 def _least_agreeing(s: Settings) -> int:
-    """Agreeing tokens that a linked pair has: six standard deviations below the mean."""
+    """Agreeing tokens that a linked pair has: five standard deviations below the mean."""
     p = s.percent / 100
-    return max(1, int(s.tokens * p - 6 * (s.tokens * p * (1 - p)) ** 0.5))
+    return max(1, int(s.tokens * p - 5 * (s.tokens * p * (1 - p)) ** 0.5))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
@@ -214,24 +252,21 @@ def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def _confirmed(scratch: Scratch, docs: DataFrame, reps: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame | None:
-    """Links among the candidate pairs that connect all that the candidates connect.
+def _confirmed(scratch: Scratch, docs: DataFrame, reps: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
+    """Components (node, root) of the links among the candidate pairs.
 
     One partner of each document is tried first; of the other pairs only those between
     documents that are not connected by then are needed.
     """
     likely = scratch.save(_likely(pairs, reps, s))
-    if likely.isEmpty():
-        scratch.drop(likely)
-        return None
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = scratch.save(docs.select("doc_id", "text").join(ids, "doc_id"))
     first = scratch.save(_exact(likely.groupBy("b").agg(F.min("a").alias("a")), texts, s))
     known = scratch.save(components(scratch, first))
     rest = _exact(_across(likely, known), texts, s)
-    links = scratch.save(first.union(rest.select("a", "b")))
+    comps = scratch.save(components(scratch, known.select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest)))
     scratch.drop(likely, texts, first, known)
-    return links
+    return comps
 
 
 def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -247,59 +282,32 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     scratch = Scratch(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     base = scratch.save(sketches(docs, s))
-    full = base.where("n_shingles > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = scratch.save(
-        full.join(classes, ["d1", "d2"]).where("doc_id = rep").groupBy("rep").agg(F.first("sketch").alias("sketch"))
+        base.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"))
     )
     levels = branches(s)
-    pairs: list[DataFrame] = []
-    links: list[DataFrame] = []
-    comps: DataFrame | None = None
-    old = None
-    nodes = _first_nodes(reps, s, levels)
-    for depth in range(s.first_depth, s.max_depth + 1):
-        sized = scratch.save(_sized(nodes, comps))
-        scratch.drop(old)
-        pairs.append(scratch.save(_small_pairs(sized, s.node_limit).distinct()))
-        large = sized.where(F.col("n") > s.node_limit)
-        if depth == s.star_depth:
-            pairs.append(scratch.save(large.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()))
-        done = large.isEmpty()
-        if depth == s.max_depth and not done:
-            pairs.append(scratch.save(_block_pairs(large, reps, s).distinct()))
-        if depth == s.star_depth or done or depth == s.max_depth:
-            found = _confirmed(scratch, docs, reps, _union(pairs), s)
-            scratch.drop(*pairs)
-            pairs = []
-            if found is not None:
-                links.append(found)
-                scratch.drop(comps)
-                comps = scratch.save(components(scratch, _union(links)))
-        old = sized
-        if done:
-            break
-        if depth < s.max_depth:
-            nodes = _next_nodes(large, reps, levels[depth])
-    scratch.drop(old, reps)
-    of_class = classes
-    if comps is not None:
-        of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
-    else:
-        of_class = classes.select("d1", "d2", F.col("rep").alias("component"))
+    first, last = s.depths
+    sized = scratch.save(_sized(_first_nodes(reps, first, levels), None))
+    large = sized.where(F.col("n") > s.node_limit)
+    star = large.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+    comps = _confirmed(scratch, docs, reps, _small_pairs(sized, s.node_limit).union(star), s)
+    open_nodes = scratch.save(_sized(_next_nodes(large, reps, levels[first:last]), comps))
+    if not open_nodes.isEmpty():
+        members = open_nodes.select("rep", "comp").distinct()
+        groups = components(scratch, open_nodes.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+        grouped = scratch.save(members.join(groups.select(F.col("node").alias("rep"), F.col("root").alias("group")), "rep"))
+        links = _block_links(grouped, docs, s)
+        known = comps.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        comps = scratch.save(components(scratch, known.union(links)))
+    scratch.drop(sized, open_nodes)
+    classes = reps.select("d1", "d2", "rep")
+    of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     component = F.coalesce("component", "doc_id")
     return base.join(of_class, ["d1", "d2"], "left").select(
         "doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept")
     )
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
-
-
 def keep_one(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """``docs`` without all but the least document of each near-duplicate group."""
     dropped = near_duplicates(docs, settings).where("not kept").select("doc_id")
