@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import decontam, neardup, pieces, secret_tags, toxicity
+from logquarry.llm import chat, decontam, neardup, pieces, secret_tags, toxicity
 from logquarry.llm.common import read_table
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -53,6 +53,30 @@ FROM rated QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matc
 """
 
 
+@query
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], table.schema)
+    return chat.digests(chat.format_conversations(table.union(probe)))
+
+
+ORACLES["op3_chat_format"] = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+marked AS (
+  SELECT *, len(regexp_extract_all(role || text, '\\|</?s>|\[/?INST\]|\[/?ROLE\]')) AS marks,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM rows)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(text) + marks + 20 + CASE WHEN role = 'assistant' THEN 0 ELSE 13 END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load(f"{TOKENIZER_DIR}/piece_bpe_32k.model")
