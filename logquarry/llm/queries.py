@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import chat, decontam, neardup, pieces, secret_tags, toxicity
+from logquarry.llm import chat, decontam, epsjoin, neardup, pieces, secret_tags, toxicity
 from logquarry.llm.common import read_table
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -77,6 +77,28 @@ FROM marked GROUP BY conv_id
 """
 
 
+@query
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return epsjoin.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op5_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fit AS (
+  SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0 AND len(e) = (SELECT max(len(e)) FROM v)),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM fit x JOIN fit y ON x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+reach AS (SELECT DISTINCT a AS v, a AS r FROM links UNION SELECT b AS v, r FROM reach JOIN links ON v = a),
+least_of AS (SELECT v, min(r) AS r FROM reach GROUP BY v),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(r, vec_id) AS component_id, coalesce(r, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counted ON a = vec_id LEFT JOIN least_of ON v = vec_id
+"""
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.load(f"{TOKENIZER_DIR}/piece_bpe_32k.model")
