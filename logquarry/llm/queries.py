@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import chat, decontam, epsjoin, neardup, pieces, secret_tags, toxicity
-from logquarry.llm.common import read_table
+from logquarry.llm import chat, decontam, epsjoin, neardup, pieces, secret_tags, tokenids, toxicity
+from logquarry.llm.common import Scratch, read_table
 
 TOKENIZER_DIR = "/opt/tokenizers"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,13 @@ FROM marked GROUP BY conv_id
 """
 
 
+@query
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark).folder
+    tokenids.write_ids(read_table(spark, sf_dir, "documents"), f"{TOKENIZER_DIR}/byte_bpe_50k.json", folder)
+    return tokenids.read_ids(spark, folder, with_ids=False)
+
+
 @query
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return epsjoin.near_vectors(read_table(spark, sf_dir, "embeddings"))
