@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import chat, decontam, epsjoin, neardup, pieces, secret_tags, tokenids, toxicity
+from logquarry.llm import chat, decontam, epsjoin, neardup, neural_lm, pieces, secret_tags, tokenids, toxicity
 from logquarry.llm.common import Scratch, read_table
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -112,6 +112,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.with_decoded_crc(pieces.encode(read_table(spark, sf_dir, "documents"), model), model)
 
 
+@query
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    scored = neural_lm.score(read_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.withColumn("held_out", held_out)
+
+
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
