@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import chat, decontam, epsjoin, neardup, neural_lm, pieces, secret_tags, tokenids, toxicity
+from logquarry.llm import chat, decontam, epsjoin, licenses, neardup, neural_lm, pieces, secret_tags, tokenids, toxicity
 from logquarry.llm.common import Scratch, read_table
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -119,6 +119,11 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", held_out)
 
 
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
