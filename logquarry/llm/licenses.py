@@ -113,8 +113,8 @@ class Scanner:
             # the anchor may be anywhere in a notice of n words
             a, b = max(0, lo - n), min(len(words), lo + n + 1)
             block = text[words[a][1] : words[b - 1][2]]
-            for reduction, k in self.ranking(block)[: self.s.ranked]:
-                if len(self.words[k]) != n or reduction < self.s.least_reduction / 2:
+            for _, k in self.ranking(block)[: self.s.ranked]:
+                if len(self.words[k]) != n:
                     continue
                 missing, added, first, last = self.differences([w for w, _, _ in words[a:b]], k)
                 if not first <= lo - a < last or missing + added > self.s.differing * n:
