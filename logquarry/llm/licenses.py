@@ -67,13 +67,13 @@ class Scanner:
         plain = {"level": s.level, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**plain)
         self.given = [
-            zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain)
-            for _, t in s.templates
+            zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(" ".join(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain)
+            for t in self.words
         ]
 
-    def ranking(self, block: str) -> list[tuple[float, int]]:
-        """Templates by the share of the block's compressed size that they save, best first."""
-        raw = block.lower().encode()
+    def ranking(self, words: list[str]) -> list[tuple[float, int]]:
+        """Templates by the share of a block's compressed size that they save, best first."""
+        raw = " ".join(words).encode()
         size = len(self.alone.compress(raw))
         saved = [((size - len(c.compress(raw))) / size, -k) for k, c in enumerate(self.given)]
         return [(share, -k) for share, k in sorted(saved, reverse=True)]
@@ -112,16 +112,15 @@ class Scanner:
         for n in sorted({len(w) for w in self.words}):
             # the anchor may be anywhere in a notice of n words
             a, b = max(0, lo - n), min(len(words), lo + n + 1)
-            block = text[words[a][1] : words[b - 1][2]]
+            block = [w for w, _, _ in words[a:b]]
             for _, k in self.ranking(block)[: self.s.ranked]:
                 if len(self.words[k]) != n:
                     continue
-                missing, added, first, last = self.differences([w for w, _, _ in words[a:b]], k)
-                if not first <= lo - a < last or missing + added > self.s.differing * n:
+                missing, added, first, last = self.differences(block, k)
+                if not first <= lo - a < last or max(missing, added) > self.s.differing * n:
                     continue
                 start, end = words[a + first][1], words[a + last - 1][2]
-                matched = text[start:end]
-                reduction = dict((j, r) for r, j in self.ranking(matched))[k]
+                reduction = dict((j, r) for r, j in self.ranking(block[first:last]))[k]
                 if reduction < self.s.least_reduction:
                     continue
                 rank = (n - missing - added, reduction)

@@ -42,7 +42,7 @@ class Settings:
 
     end_id: int = 0
     segment_ids: int = 1_000_000
-    remembered: int = 500_000
+    remembered: int = 1_000_000
 
 
 def pack(ranks: np.ndarray) -> bytes:
@@ -96,6 +96,9 @@ def chunks(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
+_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+
+
 class Encoder:
     """The library's tokenizer with a bounded memory of chunks that it has encoded."""
 
@@ -116,9 +119,14 @@ class Encoder:
         """Ids of each text as little-endian 32-bit numbers."""
         cut = [chunks(t) for t in texts]
         known = self.known
-        new = list({p for _, rest in cut for p in rest if p not in known})
-        fresh = dict(zip(new, self._raw([" " + p for p in new]), strict=True))
-        known.update(fresh)
+        new = {p for _, rest in cut for p in rest if p not in known}
+        # letters and the marks behind them are never one token
+        parted = {p: m for p in new if (m := _MARKED.fullmatch(p))}
+        plain = [p for p in {m[1] for m in parted.values()} | (new - parted.keys()) if p not in known]
+        known.update(zip(plain, self._raw([" " + p for p in plain]), strict=True))
+        marks = list({m[2] for m in parted.values()})
+        of_marks = dict(zip(marks, self._raw(marks), strict=True))
+        known.update((p, known[m[1]] + of_marks[m[2]]) for p, m in parted.items())
         heads = self._raw([first for first, _ in cut])
         out = [head + b"".join(map(known.__getitem__, rest)) for head, (_, rest) in zip(heads, cut, strict=True)]
         if len(known) > self.remembered:
@@ -128,6 +136,16 @@ class Encoder:
         return out
 
 
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def _encoder(path: str, remembered: int) -> Encoder:
+    """One encoder for all tasks of a worker process."""
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = Encoder(path, remembered)
+    return _ENCODERS[path, remembered]
+
+
 def _raw_segments(docs: DataFrame, path: str, s: Settings) -> DataFrame:
     """Segments of plain ids in ascending order of doc_id: part, before, n_ids, doc_ids, sizes, body."""
     schema = pa.schema(
@@ -136,7 +154,7 @@ def _raw_segments(docs: DataFrame, path: str, s: Settings) -> DataFrame:
     end = np.array([s.end_id], "<u4").tobytes()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, s.remembered)
+        encoder = _encoder(path, s.remembered)
         press = zstandard.ZstdCompressor(level=1)
         part, before = TaskContext.get().partitionId(), 0
         ids: list[int] = []
