@@ -78,21 +78,17 @@ def grouped_text(line: Column, patterns: tg.Patterns = ()) -> Column:
     return F.array_join(F.transform(tg.segments(line, patterns), text), "")
 
 
-def length_sample(lines: DataFrame, text: str, seed: int = 0, lengths: int = 10, tries: int = 200) -> DataFrame:
-    """The first line of each distinct length among ``tries`` lines in seeded order, at most ``lengths``.
-
-    This is a sampling operator: it reads all lines and keeps a bounded number.
-    """
-    order = F.xxhash64(F.lit(seed), text)
-    tried = lines.select(text, order.alias("o")).orderBy("o", text).limit(tries)
-    # at most `tries` rows from here on
-    first = tried.groupBy(F.length(text).alias("len")).agg(F.min(F.struct("o", text)).alias("m"))
-    return first.orderBy("m").limit(lengths).select(F.col(f"m.{text}").alias(text))
+def length_sample(lines: DataFrame, text: str, seed: int = 0) -> DataFrame:
+    """One line of every length: the first in the order of a seeded md5."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(text)))
+    first = lines.groupBy(F.length(text).alias("len")).agg(F.min(F.struct(order.alias("o"), F.col(text))).alias("m"))
+    return first.filter("len IS NOT NULL").select(F.col(f"m.{text}").alias(text))
 
 
-def mined_delimiters(sample: DataFrame, text: str, min_count: int = 10) -> DataFrame:
-    """Candidates that occur more than ``min_count`` times in the sample; a blank if none does."""
+def mined_delimiters(sample: DataFrame, text: str, min_share: float = 1.0) -> DataFrame:
+    """Candidates that occur more than ``min_share`` times a line on average; a blank if none does."""
     counts = sample.agg(
+        F.count(F.lit(1)).alias("n_lines"),
         *[
             F.coalesce(F.sum(F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))), F.lit(0)).alias(f"c{i}")
             for i, c in enumerate(DELIMITER_CANDIDATES)
@@ -104,7 +100,7 @@ def mined_delimiters(sample: DataFrame, text: str, min_count: int = 10) -> DataF
             for i, c in enumerate(DELIMITER_CANDIDATES)
         ]
     )
-    kept = F.filter(entries, lambda e: e["n"] > min_count)
+    kept = F.filter(entries, lambda e: e["n"] > min_share * F.col("n_lines"))
     chosen = F.when(F.size(kept) > 0, kept).otherwise(
         F.array(F.struct(F.lit(" ").alias("delimiter"), F.lit(0).cast("bigint").alias("n")))
     )

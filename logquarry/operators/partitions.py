@@ -6,7 +6,7 @@ on distinct token arrays with their line counts, so equal lines are handled once
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -110,53 +110,25 @@ def _top_two(part_cards: DataFrame) -> DataFrame:
     """Per partition the position pair of step 3, from ``(part, step, n_words, cards)``.
 
     ``cards`` holds, per distinct cardinality in order of its first position:
-    ``nd``, how many positions share it (``f``), and its first two positions. The
-    choice runs along that array, which is as long as a line.
+    ``nd``, how many positions share it (``f``), and its first two positions. After
+    step 2 the pair is the first two positions of the most shared cardinality, else the
+    first positions of the two least shared ones.
     """
-    start = F.struct(
-        F.lit(-1).cast("bigint").alias("k1"),
-        F.lit(None).cast("bigint").alias("f1"),
-        F.lit(-1).cast("bigint").alias("k2"),
-        F.lit(None).cast("bigint").alias("f2"),
-    )
-
-    def scan(better):
-        def merge(a, c):
-            first = F.coalesce(better(c["f"], a["f1"]), F.lit(True))
-            second = F.coalesce(better(c["f"], a["f2"]), F.lit(True)) & (
-                F.coalesce(c["f"] != a["f1"], F.lit(True))
-            )
-            return F.struct(
-                F.when(first, c["nd"]).otherwise(a["k1"]).alias("k1"),
-                F.when(first, c["f"]).otherwise(a["f1"]).alias("f1"),
-                F.when(first, a["k1"]).when(second, c["nd"]).otherwise(a["k2"]).alias("k2"),
-                F.when(first, a["f1"]).when(second, c["f"]).otherwise(a["f2"]).alias("f2"),
-            )
-
-        return merge
-
-    varied = F.filter("cards", lambda c: c["nd"] > 1)
-    most = F.aggregate(varied, start, scan(lambda x, y: x > y))
-    least = F.aggregate(F.col("cards"), start, scan(lambda x, y: x < y))
-    d = part_cards.withColumn("most", most).withColumn("least", least)
-
-    def first_of(k):
-        return F.get(F.transform(F.filter("cards", lambda c: c["nd"] == k), lambda c: c["p1"]), F.lit(0))
-
-    def second_of(k):
-        return F.get(F.transform(F.filter("cards", lambda c: c["nd"] == k), lambda c: c["p2"]), F.lit(0))
+    # the cardinality that most varied positions share, the leftmost of equals
+    shared = F.filter("cards", lambda c: (c["nd"] > 1) & (c["f"] > 1))
+    widest = F.array_min(F.transform(shared, lambda c: F.struct((-c["f"]).alias("order"), c["p1"].alias("p1"), c["p2"].alias("p2"))))
+    # the two smallest numbers of positions that share a cardinality
+    rarest = F.array_sort(F.array_distinct(F.transform("cards", lambda c: c["f"])))
 
-    def first_with(f):
-        return F.array_min(F.transform(F.filter("cards", lambda c: c["f"] == f), lambda c: c["p1"]))
+    def leftmost(place: int) -> Column:
+        alike = F.filter("cards", lambda c: c["f"] == F.get(rarest, F.lit(place)))
+        return F.array_min(F.transform(alike, lambda c: c["p1"]))
 
     two = F.col("step") == 2
-    p1 = F.when(two, first_of(F.col("most.k1"))).otherwise(first_with(F.col("least.f1")))
-    p2 = F.when(
-        two,
-        F.when(F.col("most.f1") > 1, second_of(F.col("most.k1"))).otherwise(first_of(F.col("most.k2"))),
-    ).otherwise(first_with(F.col("least.f2")))
+    p1 = F.when(two, widest["p1"]).otherwise(leftmost(0))
+    p2 = F.when(two, widest["p2"]).otherwise(leftmost(1))
     short = F.col("n_words") == 2
-    return d.select(
+    return part_cards.select(
         "part",
         F.when(short, F.lit(0)).otherwise(p1).alias("p1"),
         F.when(short, F.lit(1)).otherwise(p2).alias("p2"),

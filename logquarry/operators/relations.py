@@ -16,9 +16,6 @@ from pyspark.sql import functions as F
 
 # Characters that may cut a value into fields.
 FIELD_DELIMITERS = "-#><_:;,[]\\/.()"
-# Rule mining is skipped above this many numeric columns and below this many rows.
-MAX_NUMERIC_COLUMNS = 32
-MIN_ROWS = 600
 
 
 def long_columns(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -84,8 +81,6 @@ class Form:
 
 def forms(numeric: Sequence[str], ids: Sequence[str]) -> list[Form]:
     """Raw, up, down, and up and down per id column, for the first three ids."""
-    if len(numeric) > MAX_NUMERIC_COLUMNS:
-        return [Form(c) for c in numeric]
     out = []
     for c in numeric:
         out += [Form(c), Form(c, "up"), Form(c, "do")]
@@ -129,21 +124,33 @@ def _difference(e: Sequence[Form]) -> Column:
 def relation_scores(df: DataFrame, catalog: Sequence[Form], order: str, triples: bool = True) -> DataFrame:
     """``(expr, score)``: entropy in nats times the number of rows, for every expression.
 
-    Value counts are aggregated before the sum, so a value that fills most rows is
-    one row. ``n*H = n ln n - sum(c ln c)``.
+    A row holds its forms as one array, and expressions are made of places in it inside
+    the row, so the plan has the same size for any number of columns. Value counts are
+    aggregated before the sum, so a value that fills most rows is one row.
+    ``n*H = n ln n - sum(c ln c)``.
     """
-    wide = with_forms(df, catalog, order)
-    cells = F.array(
-        *[
-            F.struct(F.lit(expression_name(e)).alias("expr"), _difference(e).alias("v"))
-            for e in expressions(catalog, triples)
-        ]
-    )
-    counts = (
-        wide.select(F.explode(cells).alias("e"))
-        .groupBy(F.col("e.expr").alias("expr"), F.col("e.v").alias("v"))
-        .agg(F.count(F.lit(1)).alias("c"))
+    n_forms = len(catalog)
+    sources = sorted({f.source for f in catalog})
+    ids = sorted({f.by for f in catalog if f.by is not None})
+    source = F.array(*[F.lit(sources.index(f.source)) for f in catalog])
+    by = F.array(*[F.lit(-1 if f.by is None else ids.index(f.by)) for f in catalog])
+    wide = with_forms(df, catalog, order).select(F.array(*[F.col(f.name).cast("decimal(38,6)") for f in catalog]).alias("v"))
+    places = F.sequence(F.lit(0), F.lit(n_forms - 1))
+    one = wide.select("v", F.explode(places).alias("a"))
+    two = one.select("v", "a", F.explode(places).alias("b")).where(source[F.col("a")] != source[F.col("b")])
+    by_a, by_b = by[F.col("a")], by[F.col("b")]
+    none = F.lit(None).cast("int")
+    value = lambda *at: sum((-F.col("v")[F.col(c)] for c in at[1:]), F.col("v")[F.col(at[0])])
+    cells = one.select("a", none.alias("b"), none.alias("c"), value("a").alias("v")).union(
+        two.where("b < a").where((by_a < 0) | (by_b < 0) | (by_a == by_b)).select("a", "b", none.alias("c"), value("a", "b").alias("v"))
     )
+    if triples:
+        three = two.where(by_a == by_b).select("v", "a", "b", F.explode(places).alias("c")).where("c < b")
+        fitting = (source[F.col("c")] != source[F.col("a")]) & (source[F.col("c")] != source[F.col("b")]) & (by[F.col("c")] == by[F.col("a")])
+        cells = cells.union(three.where(fitting).select("a", "b", "c", value("a", "b", "c").alias("v")))
+    names = F.array(*[F.lit(f.name) for f in catalog])
+    expr = F.concat_ws("-", *[F.get(names, F.col(c)) for c in "abc"])
+    counts = cells.groupBy("a", "b", "c", "v").agg(F.count(F.lit(1)).alias("n_rows")).select(expr.alias("expr"), F.col("n_rows").alias("c"))
     n = F.sum("c")
     return counts.groupBy("expr").agg(
         (n * F.log(n) - F.sum(F.col("c") * F.log(F.col("c")))).alias("score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -71,25 +72,25 @@ def dense_vectors(vectors: DataFrame, names: Sequence[str]) -> DataFrame:
 # --- samples: a seeded hash of the key gives the order, so a sample repeats
 
 
-def block_sample(
-    lines: DataFrame, rate: float, seed: int = 0, block: int = 20, least: int = 50, most: int = 50_000
-) -> DataFrame:
-    """Lines of sampled blocks of consecutive lines; between ``least`` and ``most`` blocks."""
+def draw(seed: int, *keys: str) -> Column:
+    """A number from 0 to 1 for each key: the first eight hex digits of md5 of seed and key."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def block_sample(lines: DataFrame, rate: float, seed: int = 0, block: int = 20) -> DataFrame:
+    """Lines of blocks of consecutive lines, each block drawn with probability ``rate``."""
     blocked = lines.withColumn("block", F.floor(F.col("line_no") / block))
-    blocks = blocked.select("chunk_id", "block").distinct()
-    m = min(max(int(blocks.count() * rate), least), most)
-    picked = blocks.orderBy(F.xxhash64(F.lit(seed), "chunk_id", "block"), "chunk_id", "block").limit(m)
-    return blocked.join(picked, ["chunk_id", "block"], "left_semi").drop("block")
+    return blocked.filter(draw(seed, "chunk_id", "block") < rate).drop("block")
 
 
-def random_sample(df: DataFrame, keys: Sequence[str], rate: float, seed: int = 0, most: int = 100) -> DataFrame:
-    """A share of the rows, at least one and at most ``most``."""
-    m = min(max(int(df.count() * rate), 1), most)
-    return fixed_sample(df, keys, m, seed)
+def random_sample(df: DataFrame, keys: Sequence[str], rate: float, seed: int = 0) -> DataFrame:
+    """Rows drawn with probability ``rate`` each."""
+    return df.filter(draw(seed, *keys) < rate)
 
 
 def fixed_sample(df: DataFrame, keys: Sequence[str], m: int, seed: int = 0) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(m)
+    return df.orderBy(draw(seed, *keys), *keys).limit(m)
 
 
 def balanced_sample(df: DataFrame, cluster: str, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
@@ -128,69 +129,59 @@ def balanced_sample(df: DataFrame, cluster: str, keys: Sequence[str], n: int, se
     )
 
 
-def diverse_sample(
-    df: DataFrame,
-    text: str,
-    k: int,
-    distance: Callable[[str, str], float],
-    seed: int = 0,
-    candidates: int = 128,
-) -> list[str]:
-    """``k`` texts, each the candidate farthest from those picked before it.
+Distance = Callable[[Column, Column], Column]
 
-    Every round looks at ``candidates`` fresh texts. The pool is a bounded sample,
-    the size of which does not depend on the data.
+
+def _spread(df: DataFrame, text: str, distance: Distance, most: int, far: float | None, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Farthest-point selection over all distinct texts: the picks, and every text with its nearest pick.
+
+    A round is one pass: each text keeps the distance to its nearest pick, and the one
+    farthest away is next, of equals the one with the largest draw. Ends after ``most``
+    picks or when no text is further than ``far`` from all picks.
     """
-    pool = [r[0] for r in fixed_sample(df.select(text).distinct(), [text], k * candidates, seed).collect()]
-    picked: list[str] = []
-    for r in range(k):
-        fresh = pool[r * candidates : (r + 1) * candidates] or pool
-        if not fresh:
+    spark = df.sparkSession
+    pool = cut_lineage(
+        df.select(F.col(text).alias("text")).where(F.col(text).isNotNull()).distinct().withColumn("draw", draw(seed, "text"))
+        .withColumn("near", F.lit(float("inf"))).withColumn("pick", F.lit(None).cast("int"))
+    )
+    picks: list[tuple[int, str]] = []
+    while len(picks) < most:
+        row = pool.agg(F.max(F.struct("near", "draw", "text")).alias("m")).first()["m"]
+        if row is None or row["near"] == 0 or (picks and far is not None and row["near"] <= far):
             break
-        if not picked:
-            picked.append(fresh[0])
-            continue
-        picked.append(max(fresh, key=lambda c: min(distance(c, p) for p in picked)))
-    return picked
+        k = len(picks)
+        picks.append((k, row["text"]))
+        d = distance(F.col("text"), F.lit(row["text"])).cast("double")
+        moved = pool.withColumn("d", d)
+        pool = moved.select(
+            "text",
+            "draw",
+            F.least("near", "d").alias("near"),
+            F.when(F.col("d") < F.col("near"), F.lit(k)).otherwise(F.col("pick")).alias("pick"),
+        )
+        if k % 8 == 7:
+            pool = cut_lineage(pool)
+    return spark.createDataFrame(picks, "round int, text string"), pool
+
+
+def diverse_sample(df: DataFrame, text: str, k: int, distance: Distance, seed: int = 0) -> DataFrame:
+    """``(round, text)``: ``k`` texts, each the one farthest from those picked before it."""
+    return _spread(df, text, distance, k, None, seed)[0]
 
 
 def pattern_sample(
-    df: DataFrame,
-    text: str,
-    k: int,
-    distance: Callable[[str, str], float],
-    near: float = 0.2,
-    far: float = 0.6,
-    per_pattern: int = 3,
-    seed: int = 0,
-    candidates: int = 128,
-) -> dict[int, list[str]]:
-    """At least ``k`` texts grouped into patterns: near a centre joins it, far from all starts one."""
-    pool = [r[0] for r in fixed_sample(df.select(text).distinct(), [text], k * candidates, seed).collect()]
-    if not pool:
-        return {}
-    groups: dict[int, list[str]] = {0: [pool[0]]}
-    centres = [pool[0]]
-    taken, r = 1, 0
-    while taken < k and r * candidates < len(pool):
-        fresh = [c for c in pool[r * candidates : (r + 1) * candidates] if c != pool[0]]
-        r += 1
-        if not fresh:
-            continue
-        # distances to the centres at the start of the round
-        nearest = [min((distance(c, m), i) for i, m in enumerate(centres)) for c in fresh]
-        for c, (d, i) in zip(fresh, nearest):
-            if d < near and len(groups[i]) < per_pattern:
-                groups[i].append(c)
-                taken += 1
-        new = [c for c, (d, _) in zip(fresh, nearest) if d > far]
-        if not new:
-            new = [fresh[max(range(len(fresh)), key=lambda j: nearest[j][0])]]
-        for c in new:
-            groups[len(centres)] = [c]
-            centres.append(c)
-            taken += 1
-    return groups
+    df: DataFrame, text: str, distance: Distance, patterns: int, near: float = 0.2, far: float = 0.6, per_pattern: int = 3, seed: int = 0
+) -> DataFrame:
+    """``(pattern, text)``: centres that are further than ``far`` from each other, with texts nearer than ``near``.
+
+    A pattern has at most ``per_pattern`` texts beside its centre: texts hash to that many
+    places, and a place keeps the least draw, so no pattern is gathered.
+    """
+    centres, pool = _spread(df, text, distance, patterns, far, seed)
+    close = pool.filter((F.col("near") < near) & (F.col("near") > 0))
+    place = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(per_pattern))
+    members = close.groupBy("pick", place.alias("place")).agg(F.min_by("text", F.struct("draw", "text")).alias("text"))
+    return centres.select(F.col("round").alias("pattern"), "text").union(members.select("pick", "text"))
 
 
 # --- clusters
@@ -239,7 +230,7 @@ def assign_nearest(vectors: DataFrame, centres: np.ndarray, threshold: float, ve
 def iterative_clusters(
     vectors: DataFrame,
     keys: Sequence[str],
-    rate: float = 0.1,
+    sample_size: int,
     threshold: float = 0.6,
     min_members: int = 3,
     max_empty_rounds: int = 3,
@@ -248,7 +239,8 @@ def iterative_clusters(
     """Clusters of all vectors: sample, cluster the sample, assign by its centres, repeat on the rest.
 
     Returns the vectors with ``centre`` (null for the ones left over) and the centres.
-    A round samples at most 100 vectors. What is assigned and what is left is written
+    A round draws about ``sample_size`` of the vectors that are left; their number bounds
+    what one round clusters on the driver. What is assigned and what is left is written
     to the checkpoint folder each round.
     """
     rest = cut_lineage(vectors)
@@ -256,10 +248,14 @@ def iterative_clusters(
     centres: list[np.ndarray] = []
     empty, round_no = 0, 0
     while empty < max_empty_rounds:
-        if len(rest.take(2)) < 2:
+        left_over = rest.count()
+        if left_over < 2:
             break
-        sample = random_sample(rest, keys, rate, seed + round_no).collect()
+        sample = random_sample(rest, keys, sample_size / left_over, seed + round_no).collect()
         round_no += 1
+        if not sample:
+            empty += 1
+            continue
         points = np.array([r["vec"] for r in sample], dtype=float)
         means = [points[g].mean(axis=0) for g in complete_linkage(points, threshold) if len(g) >= min_members]
         if not means:
@@ -278,49 +274,66 @@ def iterative_clusters(
     return (left if done is None else done.unionByName(left)), np.array(centres)
 
 
+def _aligned(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence: the longest chain of equal pairs that rises on both sides."""
+    places: dict[str, list[int]] = {}
+    for j, item in enumerate(b):
+        places.setdefault(item, []).append(j)
+    ends: list[int] = []  # least end of a chain of each length
+    chains: list[tuple] = []
+    for i, item in enumerate(a):
+        for j in reversed(places.get(item, [])):
+            k = bisect_left(ends, j)
+            link = ((i, j), chains[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                chains.append(link)
+            else:
+                ends[k], chains[k] = j, link
+    out = []
+    link = chains[-1] if chains else None
+    while link:
+        out.append(link[0])
+        link = link[1]
+    return out[::-1]
+
+
 def common_pattern(sequences: Sequence[Sequence[str]]) -> list[list[str]]:
-    """Sub-lists that all sequences of a sampled cluster hold in order: repeated longest common
-    subsequence, cut where something was left out."""
-    pattern: list[str | None] = list(sequences[0])
-    for seq in sequences:
-        pattern = _lcs(pattern, list(seq))
+    """Runs that all sequences hold in the same order; items of a run are neighbours in every sequence."""
+    items = list(sequences[0])
+    joined = [False] + [True] * (len(items) - 1)
+    for seq in sequences[1:]:
+        pairs = _aligned(items, seq)
+        kept = [False] + [
+            p[0] == q[0] + 1 and p[1] == q[1] + 1 and joined[p[0]] for q, p in zip(pairs, pairs[1:], strict=False)
+        ]
+        items, joined = [items[i] for i, _ in pairs], kept[: len(pairs)]
     runs: list[list[str]] = []
-    current: list[str] = []
-    for item in pattern:
-        if item is None:
-            if current:
-                runs.append(current)
-            current = []
-        else:
-            current.append(item)
-    return runs + ([current] if current else [])
-
-
-def _lcs(a: list, b: list) -> list:
-    """Longest common subsequence with ``None`` where either side has something else."""
-    n, m = len(a), len(b)
-    t = np.zeros((n + 1, m + 1), dtype=int)
-    for i in range(n):
-        for j in range(m):
-            same = a[i] is not None and a[i] == b[j]
-            t[i + 1, j + 1] = t[i, j] + 1 if same else max(t[i, j + 1], t[i + 1, j])
-    out: list = []
-    i, j = n, m
-    while i and j:
-        if t[i, j] == t[i - 1, j]:
-            i -= 1
-            out.append(None)
-        elif t[i, j] == t[i, j - 1]:
-            j -= 1
-            out.append(None)
+    for item, together in zip(items, joined, strict=False):
+        if together:
+            runs[-1].append(item)
         else:
-            i, j = i - 1, j - 1
-            out.append(a[i])
-    if i or j:
-        out.append(None)
-    out.reverse()
-    # runs of gaps count once
-    return [x for k, x in enumerate(out) if x is not None or k == 0 or out[k - 1] is not None]
+            runs.append([item])
+    return runs
+
+
+def mined_patterns(seqs: DataFrame, cluster: str, keys: Sequence[str], per_cluster: int = 16, seed: int = 0) -> DataFrame:
+    """``(cluster, pattern)``: what a bounded seeded sample of every cluster's sequences has in common.
+
+    A sampled sequence is one of the least draws of its cluster, found by a partial
+    aggregation over ``per_cluster`` places.
+    """
+    place = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(per_cluster))
+    sample = seqs.groupBy(F.col(cluster).alias("cluster"), place.alias("place")).agg(
+        F.min_by("events", F.struct(draw(seed, *keys), *keys)).alias("events")
+    )
+
+    def mine(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = common_pattern([[e for e in seq if e != PAD] for seq in rows.sort_values("place")["events"]])
+        return pd.DataFrame({"cluster": [key[0]], "pattern": [found]})
+
+    kind = seqs.schema[cluster].dataType.simpleString()
+    return sample.groupBy("cluster").applyInPandas(mine, f"cluster {kind}, pattern array<array<string>>")
 
 
 def match_patterns(seqs: DataFrame, patterns: Sequence[Sequence[Sequence[str]]]) -> DataFrame:

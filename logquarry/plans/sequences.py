@@ -55,17 +55,23 @@ def event_vectors(spark, sf):
     return sq.event_vectors(windows(spark, sf)).withColumn("weight", F.round("weight", 6))
 
 
-@query("block_sample")
+def drawn(*keys: str) -> str:
+    """The number that decides about a key, in SQL."""
+    text = " || ':' || ".join(["'1'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query("block_sample", with_(inp.EVENT_LINES, select=f"SELECT chunk_id, line_no, line FROM event_lines WHERE {drawn('chunk_id', 'line_no // 20')} < 0.1"))
 def block_sample(spark, sf):
     return sq.block_sample(inp.event_lines(spark, sf), 0.1, seed=1)
 
 
-@query("random_sample")
+@query("random_sample", with_(inp.EVENT_LINES, select=f"SELECT chunk_id, line_no, line FROM event_lines WHERE {drawn('chunk_id', 'line_no')} < 0.01"))
 def random_sample(spark, sf):
     return sq.random_sample(inp.event_lines(spark, sf), ["chunk_id", "line_no"], 0.01, seed=1)
 
 
-@query("fixed_sample")
+@query("fixed_sample", with_(inp.DOC_LINES, select=f"SELECT chunk_id, line_no, line FROM doc_lines ORDER BY {drawn('chunk_id', 'line_no')}, chunk_id, line_no LIMIT 64"))
 def fixed_sample(spark, sf):
     return sq.fixed_sample(inp.doc_lines(spark, sf), ["chunk_id", "line_no"], 64, seed=1)
 
@@ -81,7 +87,7 @@ def _vectors(spark, sf):
 
 @query("iterative_clusters")
 def iterative_clusters(spark, sf):
-    placed, _ = sq.iterative_clusters(_vectors(spark, sf), ["chunk_id", "seq_no"], threshold=2.0, seed=1)
+    placed, _ = sq.iterative_clusters(_vectors(spark, sf), ["chunk_id", "seq_no"], sample_size=100, threshold=2.0, seed=1)
     return placed.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -111,6 +117,42 @@ def sequence_patterns(spark, sf):
     return sq.match_patterns(windows(spark, sf), patterns).select("chunk_id", "seq_no", "pattern")
 
 
+@query("mined_patterns")
+def mined_patterns(spark, sf):
+    """What windows that begin with the same event have in common."""
+    w = windows(spark, sf).withColumn("first", F.get("events", F.lit(0)))
+    return sq.mined_patterns(w, "first", ["chunk_id", "seq_no"], 4, seed=1)
+
+
+def _orders(spark, sf):
+    return inp.table(spark, sf, "orders").select(
+        F.concat("o_orderpriority", F.lit(" "), "o_orderstatus", F.lit(" "), F.date_format("o_orderdate", "yyyy-MM")).alias("x")
+    )
+
+
+_FARTHEST = """r{k} AS (SELECT x, d, least(near, levenshtein(x, (SELECT x FROM p{j})) / greatest(length(x), length((SELECT x FROM p{j})))) AS near FROM r{j}),
+p{k} AS (SELECT x FROM r{k} ORDER BY near DESC, d DESC, x DESC LIMIT 1)"""
+
+
+@query(
+    "diverse_texts",
+    with_(
+        "t AS (SELECT DISTINCT o_orderpriority || ' ' || o_orderstatus || ' ' || strftime(o_orderdate, '%Y-%m') AS x FROM orders)",
+        f"r0 AS (SELECT x, {drawn('x')} AS d, 'inf'::DOUBLE AS near FROM t)",
+        "p0 AS (SELECT x FROM r0 ORDER BY d DESC, x DESC LIMIT 1)",
+        *[_FARTHEST.format(k=k, j=k - 1) for k in range(1, 5)],
+        select=" UNION ALL ".join(f"SELECT {k}::INTEGER AS round, x AS text FROM p{k}" for k in range(5)),
+    ),
+)
+def diverse_texts(spark, sf):
+    return sq.diverse_sample(_orders(spark, sf), "x", 5, sq.normalized_edit_distance, seed=1)
+
+
+@query("text_patterns")
+def text_patterns(spark, sf):
+    return sq.pattern_sample(_orders(spark, sf), "x", sq.normalized_edit_distance, patterns=8, near=0.2, far=0.4, seed=1)
+
+
 def line_pairs(spark, sf):
     """Each document line with the next one."""
     d = inp.table(spark, sf, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))

@@ -93,10 +93,14 @@ def join_continuations(
     of lines, ascending with ``order``; a record may cross blocks.
     """
     starts = lines.withColumn("starts", F.col(text).rlike(boundary).cast("bigint"))
-    records = (
-        running_sum(starts, "starts", keys, block, order, "record_no")
-        .filter("record_no > 0")
-        .groupBy(*keys, "record_no")
+    numbered = running_sum(starts, "starts", keys, block, order, "record_no").filter("record_no > 0")
+    if max_length is not None:
+        # lengths are added up before any line is gathered; a record has a newline between lines
+        length = F.sum(F.length(text) + 1) - 1
+        fitting = numbered.groupBy(*keys, "record_no").agg(length.alias("length")).filter(F.col("length") <= max_length)
+        numbered = numbered.join(fitting.drop("length"), [*keys, "record_no"])
+    return (
+        numbered.groupBy(*keys, "record_no")
         .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("parts"))
         .select(
             *keys,
@@ -105,7 +109,6 @@ def join_continuations(
             F.array_join(F.transform("parts", lambda p: p["t"]), "\n").alias("record"),
         )
     )
-    return records if max_length is None else records.filter(F.length("record") <= max_length)
 
 
 def filter_lines(df: DataFrame, pattern: str, text: str = "line") -> DataFrame:

@@ -55,7 +55,7 @@ def write_encoded(encoded: Encoded, path: str, mode: str = "overwrite") -> None:
         "templates": ["chunk_id", "template_id"],
         "line_map": ["chunk_id", "line_no"],
         "tags": ["chunk_id", "tag"],
-        "values": ["chunk_id", "tag", "line_no", "pos"],
+        "values": ["chunk_id", "tag", "line_no", "var_no"],
         "dictionary": ["chunk_id", "tag", "dict_id"],
     }
     for name, df in encoded.tables().items():

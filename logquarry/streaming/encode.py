@@ -1,4 +1,4 @@
-"""Encode a stream chunk by chunk: every micro-batch is one chunk with its own dictionaries."""
+"""Encode a stream chunk by chunk: a micro-batch is cut into chunks with their own dictionaries."""
 
 from __future__ import annotations
 
@@ -17,25 +17,28 @@ def encode_stream(
     checkpoint: str,
     patterns: tg.Patterns = (),
     mode: str = "normal",
+    chunk_lines: int = 100_000,
 ) -> StreamingQuery:
     """Write the encoded tables of each micro-batch under ``path``.
 
-    ``lines`` is a streaming frame ``(line_no, line)``. Tables are partitioned by
-    ``chunk_id``, the batch number; a batch that runs again replaces its own partition
-    only. The size of a chunk is set by the source's rate limit.
+    ``lines`` is a streaming frame with a column ``line``. Lines are numbered inside the
+    batch, so equal lines stay apart: a chunk is a run of at most ``chunk_lines`` lines of
+    one input partition, and its number holds batch, partition and run. Every batch has
+    its own folder, so one that runs again replaces its own rows only.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunk = batch.select(F.lit(batch_id).cast("bigint").alias("chunk_id"), "line_no", "line")
+        # partition in the upper bits, place in the partition in the lower 33
+        row = F.monotonically_increasing_id()
+        placed = batch.select("line", row.alias("row"))
+        part, place = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+        run = F.floor(place / chunk_lines)
+        chunk_id = F.lit(batch_id << 40).cast("bigint") + F.shiftleft(part, 20) + run
+        chunk = placed.select(chunk_id.alias("chunk_id"), (place % chunk_lines + 1).alias("line_no"), "line")
         # all tables read the tagged lines once
         tagged = cut_lineage(tg.tag_lines(chunk, patterns).select("chunk_id", "line_no", "parts"))
         for name, df in en.encode(tagged, mode).tables().items():
-            (
-                df.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("chunk_id")
-                .parquet(f"{path}/{name}")
-            )
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
 
     return (
         lines.writeStream.foreachBatch(write)

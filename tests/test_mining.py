@@ -190,11 +190,31 @@ def test_weighted_draws(spark):
 
 def test_diverse_samples(spark):
     df = spark.createDataFrame([(w,) for w in ("aaaa", "aaab", "zzzz", "mmmm")], "t string")
-    dist = lambda a, b: sum(x != y for x, y in zip(a, b)) / 4
-    picked = sq.diverse_sample(df, "t", 3, dist, candidates=4)
+    picked = [r["text"] for r in sq.diverse_sample(df, "t", 3, sq.normalized_edit_distance).orderBy("round").collect()]
     assert len(picked) == 3 and not {"aaaa", "aaab"} <= set(picked)
-    groups = sq.pattern_sample(df, "t", 4, dist, near=0.3, candidates=4)
-    assert sum(map(len, groups.values())) == 4
+    assert sq.diverse_sample(df, "t", 9, sq.normalized_edit_distance).count() == 4
+    assert sq.diverse_sample(df.where("false"), "t", 3, sq.normalized_edit_distance).count() == 0
+    rows = sq.pattern_sample(df, "t", sq.normalized_edit_distance, patterns=9, near=0.3, far=0.5).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["pattern"], set()).add(r["text"])
+    assert sorted(map(sorted, groups.values())) == [["aaaa", "aaab"], ["mmmm"], ["zzzz"]]
+
+
+def test_mined_patterns(spark):
+    rows = [(1, i, ["x", "a", "b", str(i), "c", "-1"]) for i in range(5)] + [(2, 0, ["q", "-1"])]
+    df = spark.createDataFrame(rows, "k long, i long, events array<string>")
+    got = {r["cluster"]: r["pattern"] for r in sq.mined_patterns(df, "k", ["k", "i"], 8).collect()}
+    assert got == {1: [["x", "a", "b"], ["c"]], 2: [["q"]]}
+
+
+def test_many_numeric_columns(spark):
+    n = 40
+    df = spark.range(50).selectExpr("id div 25 as chunk_id", "id as row_no", *[f"id * {k} % 11 as c{k}" for k in range(n)])
+    catalog = rl.forms([f"c{k}" for k in range(n)], [])
+    assert len(catalog) == 3 * n
+    got = rl.relation_scores(df, catalog, "row_no", triples=False)
+    assert got.count() == len(rl.expressions(catalog, triples=False))
 
 
 def test_damage(spark, lines):

@@ -64,6 +64,10 @@ def test_encoded_tables_round_trip(spark, lines, tmp_path):
     for name in "ef":
         back = rs.restore_lines(tb.read_encoded(spark, str(tmp_path / name)))
         assert rs.line_difference(df, back, ["chunk_id", "line_no"]).count() == 0
+    # tables that were read can be written again
+    tb.write_encoded(tb.read_encoded(spark, str(tmp_path / "e")), str(tmp_path / "g"))
+    copy = rs.restore_lines(tb.read_encoded(spark, str(tmp_path / "g")))
+    assert rs.line_difference(df, copy, ["chunk_id", "line_no"]).count() == 0
 
 
 def test_result_rows(spark, tmp_path):
@@ -92,22 +96,25 @@ def test_streams(spark, tmp_path):
     texts = {k: [f"{k} value {i}{k} 12{i}" for i in range(5)] for k in range(3)}
     for k, t in texts.items():
         (source / f"{k}.txt").write_text("\n".join(t) + "\n")
-    # a file source has no line number; the text stands in, unique per file here
-    stream = (
-        spark.readStream.option("maxFilesPerTrigger", 1)
-        .text(str(source))
-        .select(F.xxhash64("value").alias("line_no"), F.col("value").alias("line"))
-    )
+    # equal lines of a batch stay apart
+    (source / "0.txt").write_text("\n".join(texts[0] * 2 + ["user 5 in"] * 3) + "\n")
+    text = spark.readStream.option("maxFilesPerTrigger", 1).text(str(source)).withColumnRenamed("value", "line")
     out = str(tmp_path / "out")
-    encode_stream(stream, out, str(tmp_path / "cp")).awaitTermination()
+    encode_stream(text, out, str(tmp_path / "cp")).awaitTermination()
+    stream = text.withColumn("line_no", F.xxhash64("line"))
     encoded = tb.read_encoded(spark, out)
     assert encoded.line_map.select("chunk_id").distinct().count() == 3
-    got = {r["line"] for r in rs.restore_lines(encoded).collect()}
-    assert got == {x for t in texts.values() for x in t}
+    got = sorted(r["line"] for r in rs.restore_lines(encoded).collect())
+    assert got == sorted([x for t in texts.values() for x in t] + texts[0] + ["user 5 in"] * 3)
+    small = str(tmp_path / "small")
+    encode_stream(text, small, str(tmp_path / "cp3"), chunk_lines=4).awaitTermination()
+    encoded_small = tb.read_encoded(spark, small)
+    assert encoded_small.line_map.select("chunk_id").distinct().count() == 4 + 2 + 2
+    assert sorted(r["line"] for r in rs.restore_lines(encoded_small).collect()) == got
     # each chunk is what the batch job makes of the same lines
     for row in encoded.line_map.groupBy("chunk_id").agg(F.collect_set("template_id").alias("t")).collect():
         assert row["t"] and min(row["t"]) == 1
     templates = spark.createDataFrame([(1, "0 value <*> <*>"), (2, "1 value <*> <*>")], "template_id long, template string")
     match_stream(stream, templates, str(tmp_path / "m"), str(tmp_path / "cp2"), ["line_no"]).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "m" / "matched")).count() == 10
-    assert spark.read.parquet(str(tmp_path / "m" / "unmatched")).count() == 5
+    assert spark.read.parquet(str(tmp_path / "m" / "matched")).count() == 15
+    assert spark.read.parquet(str(tmp_path / "m" / "unmatched")).count() == 8
