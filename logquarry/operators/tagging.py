@@ -274,6 +274,17 @@ def parts_template(parts: Column) -> Column:
     return template_text(parts["statics"], parts["tags"])
 
 
+def template_counts(tagged: DataFrame, keys: Sequence[str] = (), **aggregates: Column) -> DataFrame:
+    """Rows of equal templates: the keys, ``template`` as text, and the aggregates.
+
+    Lines belong together if texts and tags are equal, not if they merely look alike:
+    a literal ``<T>`` in a line stays apart from a placeholder of that name.
+    """
+    of_template = tagged.groupBy(*keys, F.col("parts.statics").alias("statics"), F.col("parts.tags").alias("tags"))
+    found = of_template.agg(*[a.alias(name) for name, a in aggregates.items()])
+    return found.select(*keys, template_text(F.col("statics"), F.col("tags")).alias("template"), *aggregates)
+
+
 def tag_counts(tagged: DataFrame) -> DataFrame:
     """Occurrences of every tag in every chunk."""
     return (

@@ -41,22 +41,24 @@ def tag_counts(spark, sf):
     return tg.tag_counts(tagged_events(spark, sf))
 
 
+# placeholders are marked while lines are grouped, so that equal text is not taken for one
+PLAIN = "replace(replace(template, chr(1), ''), chr(2), '')"
+
+
 @query(
     "tag_threshold",
     with_(
         inp.EVENT_LINES,
         EVENT_PIECES,
         "n AS (SELECT *, count(*) OVER (PARTITION BY chunk_id, tag) AS c FROM pieces)",
-        f"k AS (SELECT chunk_id, line_no, pos, CASE WHEN tag = '{inp.TIME_TAG}' OR (tag <> '' AND c > 150) THEN tag ELSE text END AS t FROM n)",
+        f"k AS (SELECT chunk_id, line_no, pos, CASE WHEN tag = '{inp.TIME_TAG}' OR (tag <> '' AND c > 150) THEN chr(1) || tag || chr(2) ELSE text END AS t FROM n)",
         "l AS (SELECT chunk_id, line_no, string_agg(t, '' ORDER BY pos) AS template FROM k GROUP BY chunk_id, line_no)",
-        select="SELECT chunk_id, template, count(*) AS n FROM l GROUP BY chunk_id, template",
+        select=f"SELECT chunk_id, {PLAIN} AS template, n FROM (SELECT chunk_id, template, count(*) AS n FROM l GROUP BY chunk_id, template)",
     ),
 )
 def tag_threshold(spark, sf):
     kept = tg.apply_threshold(tagged_events(spark, sf), 150, inp.EVENT_PATTERNS)
-    return kept.groupBy("chunk_id", tg.parts_template(F.col("parts")).alias("template")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return tg.template_counts(kept, ["chunk_id"], n=F.count(F.lit(1)))
 
 
 @query(
@@ -92,13 +94,13 @@ def tags_single_pass_rule(spark, sf):
     with_(
         inp.ORDER_LINES,
         inp.pieces_sql("order_lines", inp.TIME_PATTERN),
-        f"t AS (SELECT chunk_id, line_no, string_agg(CASE WHEN tag = '' THEN text WHEN tag = '{inp.TIME_TAG}' THEN tag ELSE '<*>' END, '' ORDER BY pos) AS template FROM pieces GROUP BY chunk_id, line_no)",
-        select="SELECT template, count(*) AS n FROM t GROUP BY template",
+        f"t AS (SELECT chunk_id, line_no, string_agg(CASE WHEN tag = '' THEN text ELSE chr(1) || CASE WHEN tag = '{inp.TIME_TAG}' THEN tag ELSE '<*>' END || chr(2) END, '' ORDER BY pos) AS template FROM pieces GROUP BY chunk_id, line_no)",
+        select=f"SELECT {PLAIN} AS template, n FROM (SELECT template, count(*) AS n FROM t GROUP BY template)",
     ),
 )
 def generic_templates(spark, sf):
     t = tg.tag_lines(inp.order_lines(spark, sf), inp.EVENT_PATTERNS, style="generic", use_context=False)
-    return t.groupBy(tg.parts_template(F.col("parts")).alias("template")).agg(F.count(F.lit(1)).alias("n"))
+    return tg.template_counts(t, n=F.count(F.lit(1)))
 
 
 @query(
@@ -106,15 +108,13 @@ def generic_templates(spark, sf):
     with_(
         inp.DOC_LINES,
         DOC_PIECES,
-        "t AS (SELECT line_no, string_agg(CASE WHEN tag = '' THEN text ELSE tag END, '' ORDER BY pos) AS template FROM pieces GROUP BY line_no)",
-        select="SELECT template, count(*) AS n_lines, min(line_no) AS first_line_no FROM t GROUP BY template",
+        "t AS (SELECT line_no, string_agg(CASE WHEN tag = '' THEN text ELSE chr(1) || tag || chr(2) END, '' ORDER BY pos) AS template FROM pieces GROUP BY line_no)",
+        select=f"SELECT {PLAIN} AS template, n_lines, first_line_no FROM (SELECT template, count(*) AS n_lines, min(line_no) AS first_line_no FROM t GROUP BY template)",
     ),
 )
 def template_counts(spark, sf):
     t = tg.tag_lines(inp.doc_lines(spark, sf)).filter("line <> ''")
-    return t.groupBy(tg.parts_template(F.col("parts")).alias("template")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.min("line_no").alias("first_line_no")
-    )
+    return tg.template_counts(t, n_lines=F.count(F.lit(1)), first_line_no=F.min("line_no"))
 
 
 @query(

@@ -127,3 +127,18 @@ def test_chunks_are_independent(spark, lines):
     e = en.encode(tg.tag_lines(a.union(b)))
     got = {(r["chunk_id"], r["line_no"]): r["template_id"] for r in e.line_map.collect()}
     assert got == {(0, 0): 1, (0, 1): 2, (1, 0): 1, (1, 1): 2}
+
+
+def test_literal_placeholder_is_another_template(lines):
+    df = tg.tag_lines(lines(["at <T> x", "at 10:20 x", "at 11:30 x"]), [("<T>", r"\d{2}:\d{2}")])
+    got = [(r["template"], r["n"]) for r in tg.template_counts(df, n=F.count(F.lit(1))).collect()]
+    assert sorted(got) == [("at <T> x", 1), ("at <T> x", 2)]
+
+
+def test_record_length_is_measured_first(spark):
+    from logquarry.sources.lines import join_continuations
+
+    rows = [("a", 0, i, t) for i, t in enumerate(["# one", "x", "# two", "yyyy", "zzzz"])]
+    df = spark.createDataFrame(rows, "source string, block int, seq int, line string")
+    got = join_continuations(df, "^#", ["source"], "seq", "block", max_length=7)
+    assert [r["record"] for r in got.collect()] == ["# one\nx"]
