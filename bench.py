@@ -42,7 +42,6 @@ HEADLINE = [
     "iterative_clusters",
     "spearman",
     "kendall_tau",
-    "codec_sizes",
 ]
 
 

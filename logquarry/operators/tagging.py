@@ -368,10 +368,10 @@ def parts_of_pieces(pieces: Column) -> Column:
     return let(pieces, build)
 
 
-# A JSON string body, and a nested object or array up to a fixed depth; what lies
-# deeper stays static text.
+# A JSON string body, and a nested object or array. The pattern has no recursion, so it
+# spells the levels out; its length is linear in their number.
 _JSON_STRING = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
-_JSON_DEPTH = 4
+_JSON_DEPTH = 100
 
 
 def _json_nested(depth: int) -> str:
@@ -397,7 +397,8 @@ def tag_json_lines(
 
     Tags of whole values live in their own namespace, ``<json:key>``. A value with
     delimiters is cut like a text line whose first context is the key. A nested
-    object or array is one value. Lines that are not an object stay static.
+    object or array is one value, up to 100 levels deep. Lines that are not an object
+    stay static.
     """
     line = F.col("line")
     found = F.regexp_extract_all(line, F.lit(JSON_MEMBER), F.lit(0))

@@ -142,3 +142,11 @@ def test_record_length_is_measured_first(spark):
     df = spark.createDataFrame(rows, "source string, block int, seq int, line string")
     got = join_continuations(df, "^#", ["source"], "seq", "block", max_length=7)
     assert [r["record"] for r in got.collect()] == ["# one\nx"]
+
+
+@pytest.mark.parametrize("depth", [1, 5, 30, 99])
+def test_json_depth(lines, depth):
+    deep = '{"k": ' * depth + "1" + "}" * depth
+    row = tg.tag_json_lines(lines(['{"a":%s,"z":5,"l":%s}' % (deep, "[" * depth + "]" * depth)])).first()
+    assert row["parts"]["tags"] == ["<json:a>", "<json:z>", "<json:l>"]
+    assert row["parts"]["vars"] == [deep, "5", "[" * depth + "]" * depth]
