@@ -95,17 +95,16 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     the logarithm of the nodes. Nodes without an edge to another node have no row.
     """
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    now = edges.where("a <> b").select(hi.alias("u"), lo.alias("v"))
-    saved = None
+    # edges may be costly to make and are read several times
+    now = scratch.save(edges.where("a <> b").select(hi.alias("u"), lo.alias("v")))
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        now = scratch.save(small.where("u <> v").distinct())
-        scratch.drop(saved)
-        saved = now
+        before, now = now, scratch.save(small.where("u <> v").distinct())
+        scratch.drop(before)
         # done when every edge goes from a leaf with one edge to a root
         ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("leaf")), F.struct(F.col("v").alias("node"), F.lit(0).alias("leaf")))).alias("e"))
         tied = ends.groupBy("e.node").agg(F.sum("e.leaf").alias("out"), F.count("*").alias("n")).where("out > 1 OR (out = 1 AND n > 1)")

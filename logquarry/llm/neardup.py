@@ -261,11 +261,11 @@ def _confirmed(scratch: Scratch, docs: DataFrame, reps: DataFrame, pairs: DataFr
     likely = scratch.save(_likely(pairs, reps, s))
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = scratch.save(docs.select("doc_id", "text").join(ids, "doc_id"))
-    first = scratch.save(_exact(likely.groupBy("b").agg(F.min("a").alias("a")), texts, s))
+    first = _exact(likely.groupBy("b").agg(F.min("a").alias("a")), texts, s)
     known = scratch.save(components(scratch, first))
     rest = _exact(_across(likely, known), texts, s)
     comps = scratch.save(components(scratch, known.select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest)))
-    scratch.drop(likely, texts, first, known)
+    scratch.drop(likely, texts, known)
     return comps
 
 
