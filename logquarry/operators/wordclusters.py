@@ -200,6 +200,11 @@ def frequent_candidates(cands: DataFrame, support: int) -> DataFrame:
     return cands.filter(F.col("n") >= support)
 
 
+def top_candidates(cands: DataFrame, k: int) -> DataFrame:
+    """The report of the ``k`` most frequent candidates, descending; of equals by their words."""
+    return cands.orderBy(F.desc("n"), "words").limit(k)
+
+
 def dependencies(cands: DataFrame) -> DataFrame:
     """``(w1, w2, dep)``: share of the lines with ``w1`` that also hold ``w2``.
 

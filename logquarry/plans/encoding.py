@@ -127,6 +127,15 @@ def round_trip_documents(spark, sf):
     return rs.restore_lines(en.encode(tg.tag_lines(inp.doc_lines(spark, sf))))
 
 
+@query(
+    "restored_order",
+    with_(inp.ORDER_LINES, select="SELECT row_number() OVER (ORDER BY chunk_id, line_no) AS position, line FROM order_lines"),
+)
+def restored_order(spark, sf):
+    encoded = en.encode(tg.tag_lines(inp.order_lines(spark, sf), inp.EVENT_PATTERNS))
+    return rs.in_order(rs.restore_lines(encoded)).select("position", "line")
+
+
 @query("round_trip_json", with_(inp.EVENT_JSON, select="SELECT chunk_id, line_no, line FROM event_json"))
 def round_trip_json(spark, sf):
     return rs.restore_lines(en.encode(tg.tag_json_lines(inp.event_json(spark, sf))))

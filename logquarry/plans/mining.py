@@ -434,6 +434,11 @@ def frequent_candidates(spark, sf):
     return wc.frequent_candidates(_cands(spark, sf), 20).select(F.array_join("words", " ").alias("words"), "n")
 
 
+@query("top_candidates", with_(*WORD_ROWS, select="SELECT words, n FROM cand ORDER BY n DESC, string_split(words, ' ') LIMIT 25"))
+def top_candidates(spark, sf):
+    return wc.top_candidates(_cands(spark, sf), 25).select(F.array_join("words", " ").alias("words"), "n")
+
+
 DEPS = (
     *WORD_ROWS,
     "cw AS (SELECT words, n, unnest(list_distinct(string_split(words, ' '))) AS word FROM cand)",

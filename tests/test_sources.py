@@ -70,6 +70,17 @@ def test_encoded_tables_round_trip(spark, lines, tmp_path):
     assert rs.line_difference(df, copy, ["chunk_id", "line_no"]).count() == 0
 
 
+def test_lines_in_order(spark, lines, tmp_path):
+    texts = [f"line {i}" for i in range(500)]
+    shuffled = lines(texts).orderBy(F.rand(1)).repartition(7)
+    got = rs.in_order(shuffled).orderBy("position").collect()
+    assert [(r["position"], r["line"]) for r in got] == list(enumerate(texts, 1))
+    rs.write_text(shuffled, str(tmp_path / "log"))
+    files = sorted(p for p in (tmp_path / "log").iterdir() if p.suffix == ".txt")
+    assert "".join(p.read_text() for p in files) == "".join(t + "\n" for t in texts)
+    assert rs.in_order(shuffled.where("false")).count() == 0
+
+
 def test_result_rows(spark, tmp_path):
     row = spark.createDataFrame([("t", "s", 1, 10, 0.5, 1.0, "ok")], tb.DECOMPRESSION_RESULT)
     for _ in range(2):
