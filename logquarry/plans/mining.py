@@ -429,9 +429,9 @@ def word_candidates(spark, sf):
     return _cands(spark, sf).select(F.array_join("words", " ").alias("words"), "n", _spans().alias("gaps"))
 
 
-@query("frequent_candidates", with_(*WORD_ROWS, select="SELECT words, n FROM cand WHERE n >= 20"))
+@query("frequent_candidates", with_(*WORD_ROWS, select="SELECT words, n FROM cand WHERE n >= 60"))
 def frequent_candidates(spark, sf):
-    return wc.frequent_candidates(_cands(spark, sf), 20).select(F.array_join("words", " ").alias("words"), "n")
+    return wc.frequent_candidates(_cands(spark, sf), 60).select(F.array_join("words", " ").alias("words"), "n")
 
 
 @query("top_candidates", with_(*WORD_ROWS, select="SELECT words, n FROM cand ORDER BY n DESC, string_split(words, ' ') LIMIT 25"))

@@ -178,16 +178,17 @@ def delete_patterns(spark, sf):
 @query(
     "mask_number_tokens",
     with_(
-        inp.EVENT_LINES,
-        r"""w AS (SELECT array_to_string(list_transform(string_split(line, ' '), lambda x: CASE WHEN
-  regexp_full_match(x, '[0-9]+|([0-9]{1,3}\.){3}[0-9]{1,3}') THEN '<*>' ELSE x END), ' ') AS masked FROM event_lines)""",
-        select="SELECT regexp_replace(masked, '=[0-9.]+', '=', 'g') AS masked, count(*) AS n FROM w GROUP BY 1",
+        inp.ORDER_LINES,
+        r"""w AS (SELECT array_to_string(list_transform(string_split(line || ' from 10.0.7.' || line_no % 300, ' '), lambda x: CASE WHEN
+  regexp_full_match(x, '[0-9]+|([0-9]{1,3}\.){3}[0-9]{1,3}') THEN '<*>' ELSE x END), ' ') AS masked FROM order_lines)""",
+        select="SELECT regexp_replace(masked, '[0-9]+', '#', 'g') AS masked, count(*) AS n FROM w GROUP BY 1",
     ),
 )
 def mask_number_tokens(spark, sf):
-    words = tk.mask_number_tokens(F.split("line", " "))
-    masked = F.regexp_replace(F.array_join(words, " "), "=[0-9.]+", "=")
-    return inp.event_lines(spark, sf).groupBy(masked.alias("masked")).agg(F.count(F.lit(1)).alias("n"))
+    """Order numbers and addresses are masked; what digits are left stands in longer words."""
+    line = F.concat("line", F.lit(" from 10.0.7."), (F.col("line_no") % 300).cast("string"))
+    masked = F.regexp_replace(F.array_join(tk.mask_number_tokens(F.split(line, " ")), " "), "[0-9]+", "#")
+    return inp.order_lines(spark, sf).groupBy(masked.alias("masked")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -186,7 +186,11 @@ def _stamped(spark, sf):
 
 @query(
     "column_patterns",
-    with_(ORDER_TABLE, select="SELECT DISTINCT chunk_id, '--/_:-' AS pattern FROM ot"),
+    with_(
+        ORDER_TABLE,
+        """v AS (SELECT chunk_id, row_no, day || '/' || status || '_' || cust || ':' || prio AS value FROM ot)""",
+        select="SELECT DISTINCT chunk_id, regexp_replace(value, '[^-/_:]', '', 'g') AS pattern FROM v",
+    ),
 )
 def column_patterns(spark, sf):
     return rl.column_patterns(_stamped(spark, sf), "value", "row_no")
