@@ -239,6 +239,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) ->
     return Model(terms, curve=_curve(points["x"].to_numpy(), y), length_power=s.length_power)
 
 
+def _probability(m: Model, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+    slope, offset = m.curve
+    found = [feature(m, fold(t or "")) for t in texts]
+    x = np.array([v for v, _ in found], float)
+    return 1 / (1 + np.exp(-np.clip(x * slope + offset, -30, 30))), [h for _, h in found]
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), predicted (score >= 0.5), hits (matching words) for every row of ``docs``.
 
@@ -248,11 +255,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("hits", pa.int32())])
 
     def rate(batch: pa.RecordBatch) -> dict:
-        m = shared.value
-        slope, offset = m.curve
-        found = [feature(m, fold(t or "")) for t in batch.column("text").to_pylist()]
-        p = 1 / (1 + np.exp(-np.clip(np.array([x for x, _ in found], float) * slope + offset, -30, 30)))
-        return {"doc_id": batch.column("doc_id"), "score": p, "predicted": (p >= 0.5).astype(np.int32), "hits": [h for _, h in found]}
+        p, hits = _probability(shared.value, batch.column("text").to_pylist())
+        return {"doc_id": batch.column("doc_id"), "score": p, "predicted": (p >= 0.5).astype(np.int32), "hits": hits}
 
     return docs.select("doc_id", "text").mapInArrow(
         arrow_batches(rate, schema), "doc_id long, score double, predicted int, hits int"
@@ -260,6 +264,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the documents predicted as toxic."""
-    rejected = score(docs, model).where("predicted = 1").select("doc_id")
-    return docs.join(rejected, "doc_id", "left_anti")
+    """``docs`` without the rows predicted as toxic. Rows are tested where they are read, without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            toxic = _probability(shared.value, batch.column(at).to_pylist())[0] >= 0.5
+            yield batch.filter(pa.array(~toxic))
+
+    return docs.mapInArrow(keep, docs.schema)
