@@ -1,8 +1,8 @@
 """Templates by greedy similarity of word arrays, mined chunk by chunk.
 
 Only distinct masked arrays of one chunk and one length meet in a task, in the
-order of their first line, so a task is bounded by the chunk. Equal templates of
-different chunks are one template afterwards.
+order of their first line, so a task is bounded by the chunk. The distinct templates
+of all chunks are clustered once more, so chunks of any size give an event one template.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
 from logquarry.operators.templates import words
+from logquarry.session import cut_lineage
 
 WILDCARD = "<*>"
 SEPARATOR = r"^(\s+|[:,=])$"
@@ -69,15 +71,14 @@ def _greedy(rows: pd.DataFrame, threshold: float, separators: bool) -> list[int]
             t = templates[:used]
             wild = t == wild_code
             equal = (t == codes[i]) & ~wild
-            score = equal.sum(axis=1) / width
+            alike = equal.sum(axis=1)
             if separators:
                 sep = template_sep[:used] & ~wild
-                score = (equal & ~sep).sum(axis=1) / width
-                score[(sep & ~equal).any(axis=1)] = -1
-            free = wild.sum(axis=1)
-            # highest score, then most wildcards, then the oldest cluster
-            k = int(np.lexsort((np.arange(used), -free, -score))[0])
-            if score[k] >= threshold:
+                alike = (equal & ~sep).sum(axis=1)
+                alike[(sep & ~equal).any(axis=1)] = -width
+            # most equal words, then most wildcards, then the oldest cluster
+            k = int((alike * (width + 1) + wild.sum(axis=1)).argmax())
+            if alike[k] / width >= threshold:
                 best = k
         if best < 0:
             templates[used] = codes[i]
@@ -95,26 +96,41 @@ def _mine(distinct: DataFrame, threshold: float, separators: bool, glue: str) ->
         rows = rows.sort_values("first_line_no", ignore_index=True)
         labels = _greedy(rows, threshold, separators)
         rows["cluster"] = labels
-        out = []
-        for _, part in rows.groupby("cluster", sort=False):
+        common = {}
+        for number, part in rows.groupby("cluster", sort=False):
             columns = list(zip(*part["words"]))
-            template = glue.join(c[0] if len(set(c)) == 1 else WILDCARD for c in columns)
-            out.extend([template] * len(part))
-        order = rows.sort_values("cluster", kind="stable")
-        order["template"] = out
-        return order[["chunk_id", "words", "template", "n"]]
-
-    return (
-        distinct.withColumn("n_words", F.size("words"))
-        .groupBy("chunk_id", "n_words")
-        .applyInPandas(cluster, "chunk_id long, words array<string>, template string, n long")
+            common[number] = [c[0] if len(set(c)) == 1 else WILDCARD for c in columns]
+        rows["common"] = [common[k] for k in rows["cluster"]]
+        return rows[["chunk_id", "words", "common", "n", "first_line_no"]]
+
+    kinds = "chunk_id long, words array<string>, common array<string>, n long, first_line_no long"
+    sized = distinct.withColumn("n_words", F.size("words"))
+    mined = cut_lineage(sized.groupBy("chunk_id", "n_words").applyInPandas(cluster, kinds))
+    # one event may have another template in every chunk: the distinct ones are clustered again,
+    # in the order of the corpus. There is one for each kind of event and form it took
+    forms = mined.groupBy("common").agg(
+        F.sum("n").alias("n"), F.min(F.struct("chunk_id", "first_line_no")).alias("at")
     )
+    ordered = forms.select(
+        F.lit(0).cast("long").alias("chunk_id"),
+        F.col("common").alias("words"),
+        "n",
+        F.row_number().over(W.partitionBy(F.size("common")).orderBy("at", "common")).cast("long").alias("first_line_no"),
+        F.size("common").alias("n_words"),
+    )
+    merged_forms = ordered.groupBy("chunk_id", "n_words").applyInPandas(cluster, kinds)
+    whole = merged_forms.select(F.col("words").alias("common"), F.array_join("common", glue).alias("template"))
+    return mined.join(whole, "common").select("chunk_id", "words", "template", "n")
 
 
 def similarity_templates(
     lines: DataFrame, threshold: float = 0.5, masks: list[str] | None = None, text: str = "line"
 ) -> DataFrame:
-    """``(chunk_id, words, template, n)``: the template of every distinct word array of a chunk."""
+    """``(chunk_id, words, template, n)``: the template of every distinct word array of a chunk.
+
+    Arrays are clustered chunk by chunk, then the chunks' templates are clustered once more,
+    so an event has one template in the whole corpus.
+    """
     distinct = (
         lines.select("chunk_id", "line_no", words(tk.mask_patterns(F.col(text), masks or [])).alias("words"))
         .filter(F.size("words") > 0)

@@ -280,13 +280,14 @@ def assembled_log(spark, sf):
 
 @query("similarity_templates")
 def similarity_templates(spark, sf):
-    m = sm.similarity_templates(inp.event_lines(spark, sf), 0.5, [inp.TIME_PATTERN, r"(?<==)[\d.]+"])
+    m = sm.similarity_templates(inp.event_lines(spark, sf).union(inp.order_lines(spark, sf)), 0.6, [inp.TIME_PATTERN, r"(?<==)[\d.]+"])
     return sm.template_totals(m)
 
 
 @query("separator_templates")
 def separator_templates(spark, sf):
-    return sm.template_totals(sm.separator_templates(inp.event_lines(spark, sf), 0.1))
+    lines = inp.event_lines(spark, sf).union(inp.order_lines(spark, sf))
+    return sm.template_totals(sm.separator_templates(lines, 0.1))
 
 
 # --- correlations and reports

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from logquarry.operators import partitions as pt
@@ -201,6 +202,14 @@ def test_diverse_samples(spark):
     assert sorted(map(sorted, groups.values())) == [["aaaa", "aaab"], ["mmmm"], ["zzzz"]]
 
 
+@pytest.mark.parametrize("chunk", [10, 3, 1])
+def test_templates_do_not_depend_on_chunks(spark, chunk):
+    texts = ["user 1 in room a", "user 2 in room b", "user 3 in room c", "disk x is full now", "user 4 in room d"]
+    df = spark.createDataFrame([(i // chunk, i, t) for i, t in enumerate(texts)], "chunk_id long, line_no long, line string")
+    got = {r["template"]: r["n_lines"] for r in sm.template_totals(sm.similarity_templates(df, 0.5)).collect()}
+    assert got == {"user <*> in room <*>": 4, "disk x is full now": 1}
+
+
 def test_mined_patterns(spark):
     rows = [(1, i, ["x", "a", "b", str(i), "c", "-1"]) for i in range(5)] + [(2, 0, ["q", "-1"])]
     df = spark.createDataFrame(rows, "k long, i long, events array<string>")
