@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from logquarry.llm.common import Scratch, arrow_batches
 
 LONGEST_UNIT = 60  # boundaries of a unit are bits of one long
-_NEVER = 2**31 - 1
+_LAST_RANK = 2**19 - 1
+_LETTER = r"[^\W\d_]"
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,11 @@ class Pieces:
             raise ValueError("a piece goes across the blank before a word")
         joined = {c for p, _, _ in self.rows if len(p) > 1 for c in p}
         alone = "".join(re.escape(chr(c)) for c in [*range(32), 127] if chr(c) not in joined)
-        return f" *[^ {alone}]+|[{alone}]| +"
+        # marks that no piece has behind a letter end the unit before them
+        behind = {b for p, _, _ in self.rows for a, b in zip(p, p[1:], strict=False) if re.match(_LETTER, a)}
+        marks = "".join(re.escape(c) for c in ",.;:!?|%*#&$" if c not in behind)
+        ended = rf" *[^ {alone}{marks}]*{_LETTER}(?=[{marks}])|" if marks else ""
+        return ended + f" *[^ {alone}]+|[{alone}]| +"
 
 
 def load(path: str) -> Pieces:
@@ -70,7 +75,7 @@ class Settings:
 
     frequent: int = 200_000
     sample: int = 10_000
-    block_chars: int = 16_000_000
+    block_chars: int = 8_000_000
 
 
 def _edge_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -78,33 +83,52 @@ def _edge_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame([(p, i, ranks[s], float(s)) for p, i, s in pieces.rows], "piece string, id int, rank int, score double")
 
 
+def _packed(rank: Column, at: Column, size: Column, piece_id: Column) -> Column:
+    """An edge as one number, in the order of rank and place: rank, 7 bits place, 7 bits size, 30 bits id + 1."""
+    part = lambda c, bits: F.shiftleft(c.cast("bigint"), bits)
+    return part(rank, 44) + part(at, 37) + part(size, 30) + F.coalesce(piece_id + 1, F.lit(0))
+
+
 def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """Edges of distinct ``units`` (unit): rows (unit, edges), an edge being (rank, at, size, id, score, ends, inner).
+    """Edges of distinct ``units`` (unit): rows (unit, edges, scores), each edge one number of ``_packed``.
 
-    ``ends`` and ``inner`` are bit masks of the boundaries at and within the edge. A sign that
-    is no piece has an edge with a null id.
+    Edges are in the order of their rank, edges of one sign last. A sign that is no piece
+    has an edge without id. ``scores`` holds (edge, score) where the model is no model of merges.
     """
     table = _edge_table(units.sparkSession, pieces)
     n = F.length("unit")
     placed = units.where(n <= LONGEST_UNIT).withColumn("at", F.explode(F.sequence(F.lit(0), n - 1)))
     sized = placed.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("at")))))
-    one = F.lit(1).cast("bigint")
-    bit = lambda c: F.call_function("shiftleft", one, c)
     matched = (
         sized.withColumn("piece", F.substring("unit", F.col("at") + 1, F.col("size")))
         .join(F.broadcast(table), "piece", "left")
         .where("id IS NOT NULL OR size = 1")
     )
-    edge = F.struct(
-        F.when(F.col("size") > 1, F.col("rank")).otherwise(_NEVER).alias("rank"),
-        "at",
-        "size",
-        "id",
-        "score",
-        bit(F.col("at")).bitwiseOR(bit(F.col("at") + F.col("size"))).alias("ends"),
-        (bit(F.col("at") + F.col("size")) - bit(F.col("at") + 1)).alias("inner"),
-    )
-    return matched.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    edge = _packed(F.when(F.col("size") > 1, F.col("rank")).otherwise(_LAST_RANK), F.col("at"), F.col("size"), F.col("id"))
+    edges = F.sort_array(F.collect_list(edge)).alias("edges")
+    if pieces.merges:
+        return matched.groupBy("unit").agg(edges)
+    return matched.groupBy("unit").agg(edges, F.map_from_entries(F.collect_list(F.struct(edge, "score"))).alias("scores"))
+
+
+def _at(e: Column) -> Column:
+    return F.shiftright(e, 37).bitwiseAND(127).cast("int")
+
+
+def _size(e: Column) -> Column:
+    return F.shiftright(e, 30).bitwiseAND(127).cast("int")
+
+
+def _id(e: Column) -> Column:
+    """The piece's id; -1 for a sign that is no piece."""
+    return (e.bitwiseAND((1 << 30) - 1) - 1).cast("int")
+
+
+def _masks(e: Column) -> Column:
+    """The edge with bit masks of the boundaries at and within it."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), c)
+    to = _at(e) + _size(e)
+    return F.struct((bit(_at(e)) + bit(to)).alias("ends"), (bit(to) - bit(_at(e) + 1)).alias("inner"), e.alias("edge"))
 
 
 def _byte_ids(sign: Column, bytes_at: int) -> Column:
@@ -125,9 +149,13 @@ def fold_merges(edges: DataFrame, pieces: Pieces) -> DataFrame:
         return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(over, F.lit(0))["inner"])), mask)
 
     mask = F.when(F.size("joins") == 0, full).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), full, merge))
-    left = edges.withColumn("joins", F.filter("edges", lambda e: e["size"] > 1)).withColumn("mask", mask)
-    path = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
-    return left.select("unit", _path_ids(path, pieces).alias("ids"))
+    left = (
+        edges.withColumn("all", F.transform("edges", _masks))
+        .withColumn("joins", F.filter("all", lambda e: e["inner"] != 0))
+        .withColumn("mask", mask)
+    )
+    path = F.filter("all", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
+    return left.select("unit", _path_ids(F.transform(path, lambda e: e["edge"]), pieces).alias("ids"))
 
 
 def fold_scores(edges: DataFrame, pieces: Pieces) -> DataFrame:
@@ -137,39 +165,39 @@ def fold_scores(edges: DataFrame, pieces: Pieces) -> DataFrame:
     than any piece. Of equal totals the path whose last piece begins first wins.
     """
     lowest = min(s for _, _, s in pieces.rows) - 10
-    by_end = F.sort_array(F.transform("edges", lambda e: F.struct((e["at"] + e["size"]).alias("to"), e["at"].alias("at"), e["size"].alias("size"), e["id"].alias("id"), F.coalesce(e["score"], F.lit(lowest)).alias("score"))))
-    best_kind = "array<struct<total:double,before:int,edge:int>>"
+    by_end = F.sort_array(F.transform("edges", lambda e: F.struct((_at(e) + _size(e)).alias("to"), _at(e).alias("at"), e.alias("edge"), F.coalesce(F.try_element_at("scores", e), F.lit(lowest)).alias("score"))))
+    best_kind = "array<struct<total:double,before:int,edge:bigint>>"
 
-    def best(state: Column, e: Column) -> Column:
-        total = F.get(state, e["x"]["at"])["total"] + e["x"]["score"]
-        now = F.get(state, e["x"]["to"])
-        new = F.struct(total.alias("total"), e["x"]["at"].alias("before"), e["k"].alias("edge"))
+    def best(state: Column, x: Column) -> Column:
+        total = F.get(state, x["at"])["total"] + x["score"]
+        now = F.get(state, x["to"])
+        new = F.struct(total.alias("total"), x["at"].alias("before"), x["edge"].alias("edge"))
         return (
             F.when(now.isNull(), F.concat(state, F.array(new)))
             .when(total > now["total"], F.concat(F.slice(state, 1, F.size(state) - 1), F.array(new)))
             .otherwise(state)
         )
 
-    numbered = F.transform("ordered", lambda x, k: F.struct(x.alias("x"), k.alias("k")))
-    start = F.expr(f"CAST(array(named_struct('total', 0D, 'before', -1, 'edge', -1)) AS {best_kind})")
+    start = F.expr(f"CAST(array(named_struct('total', 0D, 'before', -1, 'edge', -1L)) AS {best_kind})")
     back = F.aggregate(
         F.sequence(F.lit(1), F.length("unit")),
-        F.struct(F.length("unit").alias("at"), F.array().cast("array<int>").alias("taken")),
+        F.struct(F.length("unit").alias("at"), F.array().cast("array<bigint>").alias("taken")),
         lambda acc, _: F.when(acc["at"] <= 0, acc).otherwise(
             F.struct(F.get("states", acc["at"])["before"].alias("at"), F.concat(F.array(F.get("states", acc["at"])["edge"]), acc["taken"]).alias("taken"))
         ),
         lambda acc: acc["taken"],
     )
-    solved = edges.withColumn("ordered", by_end).withColumn("states", F.aggregate(numbered, start, best)).withColumn("taken", back)
-    return solved.select("unit", _path_ids(F.transform("taken", lambda k: F.get("ordered", k)), pieces).alias("ids"))
+    solved = edges.withColumn("ordered", by_end).withColumn("states", F.aggregate("ordered", start, best)).withColumn("taken", back)
+    return solved.select("unit", _path_ids(F.col("taken"), pieces).alias("ids"))
 
 
 def _path_ids(path: Column, pieces: Pieces) -> Column:
-    ordered = F.sort_array(F.transform(path, lambda e: F.struct(e["at"].alias("at"), e["id"].alias("id"))))
+    """Ids of the edges of a path, in the order of their places."""
+    ordered = F.sort_array(F.transform(path, lambda e: F.struct(_at(e).alias("at"), _id(e).alias("id"))))
     return F.flatten(
         F.transform(
             ordered,
-            lambda e: F.when(e["id"].isNull(), _byte_ids(F.substring(F.col("unit"), e["at"] + 1, F.lit(1)), pieces.bytes_at)).otherwise(F.array(e["id"])),
+            lambda e: F.when(e["id"] < 0, _byte_ids(F.substring(F.col("unit"), e["at"] + 1, F.lit(1)), pieces.bytes_at)).otherwise(F.array(e["id"])),
         )
     )
 
@@ -224,6 +252,12 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     return short.union(long)
 
 
+def _dealt(units: DataFrame) -> DataFrame:
+    """Distinct units, dealt to all tasks: short rows, but much work each."""
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return units.repartition(n, "unit").distinct()
+
+
 def _frequent(docs: DataFrame, pieces: Pieces, s: Settings) -> list[tuple[str, list[int]]]:
     """The most frequent units of a sample with their ids; at most ``frequent`` of them."""
     share = min(1.0, s.sample / max(docs.count(), 1))
@@ -241,7 +275,7 @@ def _frequent(docs: DataFrame, pieces: Pieces, s: Settings) -> list[tuple[str, l
 
     counted = drawn.select("doc_id", "text").mapInArrow(units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     top = counted.where((F.col("n") > 1) & (F.length("unit") <= LONGEST_UNIT)).orderBy(F.desc("n"), "unit").limit(s.frequent).select("unit")
-    return [(r["unit"], list(r["ids"])) for r in encode_units(top.distinct(), pieces).collect()]
+    return [(r["unit"], list(r["ids"])) for r in encode_units(_dealt(top), pieces).collect()]
 
 
 def _index_blocks(docs: DataFrame, known: list[str], pieces: Pieces, s: Settings) -> DataFrame:
@@ -314,7 +348,7 @@ def encode(docs: DataFrame, pieces: Pieces, settings: Settings | None = None) ->
     frequent = _frequent(docs, pieces, s)
     indexed = scratch.save(_index_blocks(docs, [u for u, _ in frequent], pieces, s))
     rows = indexed.where("code IS NOT NULL").select("block", "code", "unit")
-    rare = scratch.save(rows.join(encode_units(rows.select("unit").distinct(), pieces), "unit").select("block", "code", "ids"))
+    rare = scratch.save(rows.join(encode_units(_dealt(rows.select("unit")), pieces), "unit").select("block", "code", "ids"))
     spark._jvm.System.gc()  # lets Spark remove the shuffle files of the tables just written
     shared = spark.sparkContext.broadcast([np.array(ids, np.int32) for _, ids in frequent])
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -358,7 +392,7 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """
     table = _decoding_table(pieces)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-    join = lambda batch: {"doc_id": batch.column("doc_id"), "text": [_joined(ids, table) for ids in batch.column("ids").to_pylist()]}
+    join = lambda batch: {"doc_id": batch.column("doc_id"), "text": [_joined(ids.as_py(), table) for ids in batch.column("ids")]}
     return encoded.select("doc_id", "ids").mapInArrow(arrow_batches(join, schema), "doc_id long, text string")
 
 
@@ -369,19 +403,20 @@ def with_decoded_crc(encoded: DataFrame, pieces: Pieces) -> DataFrame:
 
     def check(batch: pa.RecordBatch) -> dict:
         ids = batch.column("ids")
-        rows = ids.to_pylist()
-        return {
-            "doc_id": batch.column("doc_id"),
-            "n_pieces": [len(r or ()) for r in rows],
-            "ids": ids,
-            "text_crc32": [zlib.crc32(_joined(r, table).encode()) for r in rows],
-        }
+        # one document at a time as Python numbers
+        rows = ([] if row is None else row.values.to_numpy(zero_copy_only=False).tolist() for row in map(_values, ids))
+        found = [(len(row), zlib.crc32(_joined(row, table).encode())) for row in rows]
+        return {"doc_id": batch.column("doc_id"), "n_pieces": [n for n, _ in found], "ids": ids, "text_crc32": [c for _, c in found]}
 
     return encoded.select("doc_id", "ids").mapInArrow(
         arrow_batches(check, schema), "doc_id long, n_pieces long, ids array<int>, text_crc32 long"
     )
 
 
+def _values(row: pa.ListScalar) -> pa.ListScalar | None:
+    return row if row.is_valid else None
+
+
 def _decoding_table(pieces: Pieces) -> dict[int, bytes]:
     return {i: p.encode() for p, i, _ in pieces.rows} | {pieces.bytes_at + b: bytes([b]) for b in range(256)}
 
