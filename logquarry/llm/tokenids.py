@@ -17,6 +17,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -74,6 +75,14 @@ def unpack(packed: bytes | memoryview, n: int) -> np.ndarray:
 
 
 _ODD = re.compile(r" (?:\s|[\x1c-\x1f]|$)")
+_ODD_ASCII = [" " + c for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+
+
+def _odd(text: str) -> bool:
+    """Whether a blank has a blank or the end behind it."""
+    if text.isascii():
+        return text.endswith(" ") or any(c in text for c in _ODD_ASCII)
+    return _ODD.search(text) is not None
 
 
 def chunks(text: str) -> tuple[str, list[str]]:
@@ -83,7 +92,7 @@ def chunks(text: str) -> tuple[str, list[str]]:
     encoded one by one.
     """
     first, *rest = text.split(" ")
-    if rest and _ODD.search(text):
+    if rest and _odd(text):
         joined: list[str] = []
         for part in rest:
             if part and not part[0].isspace():
@@ -113,7 +122,7 @@ class Encoder:
 
     def _raw(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
