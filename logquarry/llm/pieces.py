@@ -350,19 +350,21 @@ def encode(docs: DataFrame, pieces: Pieces, settings: Settings | None = None) ->
     rows = indexed.where("code IS NOT NULL").select("block", "code", "unit")
     rare = scratch.save(rows.join(encode_units(_dealt(rows.select("unit")), pieces), "unit").select("block", "code", "ids"))
     spark._jvm.System.gc()  # lets Spark remove the shuffle files of the tables just written
-    shared = spark.sparkContext.broadcast([np.array(ids, np.int32) for _, ids in frequent])
+    flat = np.array([i for _, ids in frequent for i in ids], np.int32)
+    shared = spark.sparkContext.broadcast((np.array([len(ids) for _, ids in frequent], np.int64), flat))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def assemble(units: pa.Table, blocks: pa.Table) -> pa.Table:
-        known = shared.value
+        known_sizes, known_values = shared.value
+        known = len(known_sizes)
         ids = units.column("ids").combine_chunks() if units.num_rows else pa.array([], pa.list_(pa.int32()))
         if isinstance(ids, pa.ChunkedArray):
             ids = pa.concat_arrays(ids.chunks)
-        sizes = np.concatenate([[len(k) for k in known], np.diff(ids.offsets.to_numpy())]).astype(np.int64)
-        values = np.concatenate([*known, ids.values.to_numpy()[ids.offsets[0].as_py() if len(ids) else 0 :], np.empty(0, np.int32)]).astype(np.int32)
+        sizes = np.concatenate([known_sizes, np.diff(ids.offsets.to_numpy())]).astype(np.int64)
+        values = np.concatenate([known_values, ids.values.to_numpy()[ids.offsets[0].as_py() if len(ids) else 0 :]]).astype(np.int32)
         starts = np.cumsum(sizes) - sizes
         place = np.arange(len(sizes))
-        place[units.column("code").to_numpy().astype(np.int64)] = np.arange(len(known), len(sizes))
+        place[units.column("code").to_numpy().astype(np.int64)] = np.arange(known, len(sizes))
         out = []
         for block in blocks.to_batches():
             for doc_ids, counts, body in zip(block.column("doc_ids"), block.column("sizes"), block.column("body"), strict=True):
