@@ -10,7 +10,7 @@ All candidates are confirmed on the full shingle sets.
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,15 +25,18 @@ from logquarry.llm.common import Scratch, arrow_batches, components, raw_texts,
 @dataclass(frozen=True)
 class Settings:
     """``trees`` sets the recall: a pair at similarity 0.8 survives five branchings of one tree
-    with probability 0.53, so 14 trees miss it about three times in 100,000. Nodes are
+    with probability 0.53; simulated, 14 trees miss it five times in 100,000 (26 of 500,000),
+    and the ``deep_trees`` after nine branchings once (5 of 500,000). Nodes are
     looked at after the first number of branchings in ``depths``; the members of a large node
-    are tried with one of them. Large nodes that stay unconnected branch on to the second
-    number; groups that are left then are compared in full, ``block`` by ``block`` members."""
+    are tried with one of them. Members of large nodes that stay unconnected go through
+    ``deep_trees`` trees of their own, so many that the second number of branchings misses no
+    more; groups that agree there are compared in full, ``block`` by ``block`` members."""
 
     width: int = 5
     percent: int = 80
     tokens: int = 128
     trees: int = 14
+    deep_trees: int = 44
     depths: tuple[int, int] = (5, 9)
     node_limit: int = 10
     block: int = 256
@@ -61,6 +64,11 @@ def branches(s: Settings) -> list[list[tuple[int, int, int]]]:
     return levels
 
 
+def deep_branches(s: Settings) -> list[list[tuple[int, int, int]]]:
+    """Branches of the trees for what stays unconnected in large nodes."""
+    return branches(replace(s, trees=s.deep_trees, seed=s.seed + 1))[: s.depths[1]]
+
+
 def minwise(shingles: np.ndarray, mult: np.ndarray, add: np.ndarray) -> np.ndarray:
     """The least hash under each of the given multiply-add functions, high 32 bits."""
     least = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
@@ -106,19 +114,18 @@ def _first_nodes(reps: DataFrame, depth: int, levels: list) -> DataFrame:
     return reps.select("rep", F.explode(F.array(*paths)).alias("x")).select("x.path", "x.key", "rep")
 
 
-def _next_nodes(large: DataFrame, reps: DataFrame, levels: list) -> DataFrame:
-    """Descendants of the given nodes after the branchings in ``levels``: further agreeing tokens."""
-    below: dict[int, tuple[int, list[int]]] = {p: (parent, [c]) for p, parent, c in levels[0]}
-    for level in levels[1:]:
-        below = {p: (below[parent][0], [*below[parent][1], c]) for p, parent, c in level}
-    # the branching table has a few hundred rows, fixed by the settings
-    table = large.sparkSession.createDataFrame([(p, top, at) for p, (top, at) in below.items()], "child int, path int, at array<int>")
-    tokens = F.transform("at", lambda c: F.get("sketch", c))
+def _deep_nodes(members: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
+    """Nodes of the given documents in the deep trees, after the second number of branchings."""
+    coords: dict[int, tuple[int, ...]] = {}
+    levels = deep_branches(s)
+    for level in levels:
+        coords |= {p: (*coords.get(parent, ()), c) for p, parent, c in level}
+    paths = F.array(*[F.struct(F.lit(p).alias("path"), F.array(*map(F.lit, coords[p])).alias("at")) for p, _, _ in levels[-1]])
+    tokens = F.transform("x.at", lambda c: F.get("sketch", c))
     return (
-        large.select("path", "key", "rep")
-        .join(reps.select("rep", "sketch"), "rep")
-        .join(F.broadcast(table), "path")
-        .select(F.col("child").alias("path"), F.xxhash64("child", "key", tokens).alias("key"), "rep")
+        reps.join(members, "rep")
+        .select("rep", "sketch", F.explode(paths).alias("x"))
+        .select("x.path", F.xxhash64("x.path", tokens).alias("key"), "rep")
     )
 
 
@@ -286,12 +293,13 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
         base.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"))
     )
     levels = branches(s)
-    first, last = s.depths
+    first = s.depths[0]
     sized = scratch.save(_sized(_first_nodes(reps, first, levels), None))
     large = sized.where(F.col("n") > s.node_limit)
     star = large.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
     comps = _confirmed(scratch, docs, reps, _small_pairs(sized, s.node_limit).union(star), s)
-    open_nodes = scratch.save(_sized(_next_nodes(large, reps, levels[first:last]), comps))
+    crowded = _sized(large.select("path", "key", "rep"), comps).select("rep").distinct()
+    open_nodes = scratch.save(_sized(_deep_nodes(crowded, reps, s), comps))
     if not open_nodes.isEmpty():
         members = open_nodes.select("rep", "comp").distinct()
         groups = components(scratch, open_nodes.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))

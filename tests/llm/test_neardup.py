@@ -84,6 +84,21 @@ def test_survival():
     assert missed <= 2
 
 
+def test_survival_in_large_nodes():
+    """Where all nodes of a pair are large, the second depth misses no more than the first."""
+    s = N.Settings()
+    levels = N.deep_branches(s)
+    assert len(levels) == s.depths[1]
+    rng = np.random.default_rng(0)
+    n = 20_000
+    same = rng.random((s.tokens, n)) < s.percent / 100
+    alive = {-1 - t: np.ones(n, bool) for t in range(s.deep_trees)}
+    for level in levels:
+        alive = {p: alive[parent] & same[c] for p, parent, c in level}
+    missed = n - int(np.logical_or.reduce(list(alive.values())).sum())
+    assert missed <= 3, missed
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)]
     got = dict(components(Scratch(spark), spark.createDataFrame(chain, "a long, b long")).collect())
