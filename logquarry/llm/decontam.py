@@ -2,13 +2,14 @@
 
 A seed is a fixed mask over a window of words: the hash of a window takes the selected
 words and ignores the others, so a passage with substituted words still meets its item in
-the windows whose ignored places hold the substitutions. Equal hashes of documents and
-items are joined, and every hit is verified along its alignment word by word.
+the windows whose ignored places hold the substitutions. Short items have masks of their own
+length, one for each choice of ignored places. Equal hashes of documents and items are joined, and every hit is verified along its alignment word by word.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,11 +20,16 @@ MASKS = ("11111", "110100101", "1100010011", "101010011")
 
 @dataclass(frozen=True)
 class Settings:
-    """A leak holds ``percent`` of an item's words in place, or ``run`` of them in a row."""
+    """A leak holds ``percent`` of an item's words in place, or ``run`` of them in a row.
+
+    Items of up to ``short`` words are found by masks of their own length; ``masks`` meet
+    every placing of changes in longer ones.
+    """
 
     masks: tuple[str, ...] = MASKS
     percent: int = 80
     run: int = 13
+    short: int = 10
     broadcast_rows: int = 2_000_000
 
 
@@ -33,22 +39,38 @@ def _tokens(text: Column) -> Column:
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(toks: Column, at: Column, s: Settings, lengths: list[int]) -> Column:
-    """Hashes of the windows that begin at ``at``; null where a window passes the end."""
-    out = []
-    for number, mask in enumerate(s.masks):
-        chosen = [F.get(toks, at + k) for k, c in enumerate(mask) if c == "1"]
-        out.append(F.when(at + len(mask) <= F.size(toks), F.xxhash64(F.lit(number), *chosen)))
-    for n in lengths:
-        out.append(F.when(at + n <= F.size(toks), F.xxhash64(F.lit(-n), *[F.get(toks, at + k) for k in range(n)])))
-    return F.array(*out)
+def own_masks(n: int, s: Settings) -> list[tuple[int, str]]:
+    """(place, mask) for an item of ``n`` words: as many words ignored as may differ, each choice in turn.
+
+    Ignored words at the ends are no part of the mask, so they may be cut off in a document.
+    """
+    changes = min(n * (100 - s.percent) // 100, n - 1)
+    masks = ["".join("01"[k not in gone] for k in range(n)) for gone in combinations(range(n), changes)]
+    return sorted({(m.index("1"), m.strip("0")) for m in masks})
 
 
-def _windows(table: DataFrame, s: Settings, lengths: list[int]) -> DataFrame:
+def _seed(toks: Column, at: Column, mask: str) -> Column:
+    """Hash of the window that begins at ``at``; null where it passes the end."""
+    chosen = [F.get(toks, at + k) for k, c in enumerate(mask) if c == "1"]
+    return F.when(at + len(mask) <= F.size(toks), F.xxhash64(F.lit(mask), *chosen))
+
+
+def _windows(table: DataFrame, masks: list[str]) -> DataFrame:
     """One row for each window and mask: the table's columns, ``at`` and ``seed``."""
     # the outer form keeps the optimizer from deriving a filter that would split the text twice
     placed = table.withColumn("at", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("toks") - 1, F.lit(0)))))
-    return placed.withColumn("seed", F.explode_outer(_seeds(F.col("toks"), F.col("at"), s, lengths))).where("seed IS NOT NULL")
+    seeds = F.array(*[_seed(F.col("toks"), F.col("at"), m) for m in masks])
+    return placed.withColumn("seed", F.explode_outer(seeds)).where("seed IS NOT NULL")
+
+
+def _index(items: DataFrame, s: Settings, lengths: list[int]) -> DataFrame:
+    """Seeds of the items: seed, item_id and the place in the item."""
+    out = _windows(items.where(F.size("toks") > s.short), list(s.masks)).select("seed", "item_id", F.col("at").alias("place"))
+    for n in lengths:
+        seeds = [F.struct(_seed(F.col("toks"), F.lit(place), mask).alias("seed"), F.lit(place).alias("place")) for place, mask in own_masks(n, s)]
+        own = items.where(F.size("toks") == n).select("item_id", F.explode(F.array(*seeds)).alias("x"))
+        out = out.union(own.select("x.seed", "item_id", "x.place"))
+    return out.distinct()
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -56,28 +78,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None
 
     One row per document and item: doc_id, item_id, item_words, start (word of the document
     at which the item begins; negative if its beginning is cut off), matched (words in place)
-    and longest_run, of the best alignment. Items shorter than the shortest mask are found
-    by their whole text. Null and blank texts on either side give no row; repeated items give
+    and longest_run, of the best alignment. Null and blank texts on either side give no row; repeated items give
     a row each; repeated doc_ids are taken as one document.
     """
     s = settings or Settings()
     items = benchmark.select("item_id", _tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
-    shortest = min(map(len, s.masks))
-    # at most one number for each length below the shortest mask
-    short = [r[0] for r in items.where(F.size("toks") < shortest).select(F.size("toks")).distinct().collect()]
-    index = _windows(items, s, short).select("seed", "item_id", F.col("at").alias("place")).distinct()
+    # at most one number for each short length
+    short = [r[0] for r in items.where(F.size("toks") <= s.short).select(F.size("toks")).distinct().collect()]
+    masks = sorted({*s.masks, *(mask for n in short for _, mask in own_masks(n, s))})
+    index = _index(items, s, short)
     parsed = docs.select("doc_id", _tokens(F.col("text")).alias("toks"))
     item_words = items.withColumnRenamed("toks", "words")
     if index.count() <= s.broadcast_rows:
         hits = (
-            _windows(parsed, s, short)
+            _windows(parsed, masks)
             .join(F.broadcast(index), "seed")
             .select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("start"), "toks")
             .join(F.broadcast(item_words), "item_id")
         )
     else:
         starts = (
-            _windows(parsed, s, short)
+            _windows(parsed, masks)
             .select("doc_id", "at", "seed")
             .join(index, "seed")
             .select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("start"))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -49,3 +50,29 @@ def test_odd_rows(odd, none, spark):
     assert D.find_leaks(odd, bench.where("false")).count() == 0
     left = D.remove_leaks(odd, bench)
     assert left.columns == odd.columns and left.count() == odd.count() - 3
+
+
+@pytest.mark.parametrize("n", range(5, 21))
+def test_every_placing_is_met(n):
+    s = D.Settings()
+    seeds = D.own_masks(n, s) if n <= s.short else [(at, m) for m in s.masks for at in range(n - len(m) + 1)]
+    used = [{at + k for k, c in enumerate(m) if c == "1"} for at, m in seeds]
+    for changed in itertools.combinations(range(n), n // 5):
+        assert any(u.isdisjoint(changed) for u in used), changed
+
+
+def test_short_items_with_changes(spark):
+    rng = random.Random(4)
+    items = {n: words(rng, n) for n in (5, 6, 7, 8, 10)}
+    docs, want = [], set()
+    for n, item in items.items():
+        for changed in itertools.combinations(range(n), n // 5):
+            body = ["changed" if k in changed else w for k, w in enumerate(item)]
+            docs.append(" ".join(words(rng, 9) + body + words(rng, 9)))
+            want.add((len(docs) - 1, n))
+        docs += [" ".join(item[n // 5 :] + words(rng, 3)), " ".join(words(rng, 3) + item[: n - n // 5])]
+        want |= {(len(docs) - 2, n), (len(docs) - 1, n)}
+        docs.append(" ".join(["changed"] * (n // 5 + 1) + item[n // 5 + 1 :]))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(table, bench).collect()} == want
