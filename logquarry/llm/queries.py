@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import chat, decontam, epsjoin, licenses, neardup, neural_lm, pieces, secret_tags, tokenids, toxicity
+from logquarry.llm import chat, decontam, epsjoin, licenses, merkle, neardup, neural_lm, pieces, secret_tags, tokenids, toxicity
 from logquarry.llm.common import Scratch, read_table
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -181,3 +181,61 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(r, doc_id)
        coalesce(r, doc_id) = doc_id AS kept
 FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON v = doc_id
 """
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    manifest = merkle.build(docs, fields, "lang", "doc_id", {"n_chars": F.col("n_chars") + 1}, tampered)
+    return manifest.proofs().withColumnRenamed("id", "doc_id")
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf, {_leaf_sql("(n_chars + 1)")} AS other,
+    list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])),
+      lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)) AS crc
+  FROM documents),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n FROM docs),
+nodes AS (
+  SELECT lang, CAST(0 AS BIGINT) AS level, CAST(pos AS BIGINT) AS pos, leaf AS h, CAST(n AS BIGINT) AS n FROM ranked
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+subroots AS (
+  SELECT lang, h AS subroot, CAST(row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS BIGINT) AS lang_pos,
+         count(*) OVER () AS langs FROM nodes WHERE n = 1),
+uppers AS (
+  SELECT CAST(0 AS BIGINT) AS level, lang_pos AS pos, subroot AS h, langs AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+  FROM uppers WHERE n > 1 GROUP BY level, pos // 2, n),
+climb AS (
+  SELECT lang, pos AS leaf_pos, CAST(0 AS BIGINT) AS level, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT) AS n,
+         CASE WHEN xor(crc, 4294967295) % 7 = 0 AND other IS NOT NULL THEN other ELSE leaf END AS folded, '' AS proof FROM ranked
+  UNION ALL
+  SELECT c.lang, leaf_pos, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+         sha256(CASE WHEN c.pos % 2 = 0 THEN folded || coalesce(h, '') ELSE h || folded END), proof || coalesce(h, '')
+  FROM climb c LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.pos = xor(c.pos, 1)
+  WHERE c.n > 1),
+upper_climb AS (
+  SELECT c.lang, leaf_pos, CAST(0 AS BIGINT) AS level, lang_pos AS pos, langs AS n, folded, proof, subroot
+  FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT c.lang, leaf_pos, c.level + 1, c.pos // 2, (c.n + 1) // 2,
+         sha256(CASE WHEN c.pos % 2 = 0 THEN folded || coalesce(h, '') ELSE h || folded END), proof || coalesce(h, ''), subroot
+  FROM upper_climb c LEFT JOIN uppers s ON s.level = c.level AND s.pos = xor(c.pos, 1) WHERE c.n > 1)
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified
+FROM ranked r JOIN upper_climb c ON c.lang IS NOT DISTINCT FROM r.lang AND c.leaf_pos = r.pos AND c.n = 1
+CROSS JOIN (SELECT h FROM uppers WHERE n = 1)
+"""
