@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm import chat, decontam, epsjoin, licenses, merkle, neardup, neural_lm, pieces, secret_tags, tokenids, toxicity
+from logquarry.llm import chat, decontam, epsjoin, licenses, merkle, neardup, neural_lm, pagetext, pieces, secret_tags, tokenids, toxicity, whitening
 from logquarry.llm.common import Scratch, read_table
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -239,3 +239,13 @@ SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded A
 FROM ranked r JOIN upper_climb c ON c.lang IS NOT DISTINCT FROM r.lang AND c.leaf_pos = r.pos AND c.n = 1
 CROSS JOIN (SELECT h FROM uppers WHERE n = 1)
 """
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(read_table(spark, sf_dir, "pages"))
