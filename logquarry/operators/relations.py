@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that may cut a value into fields.
 FIELD_DELIMITERS = "-#><_:;,[]\\/.()"
@@ -291,22 +292,39 @@ def delimiter_signature(value: Column) -> Column:
     return F.regexp_replace(value, f"[^{keep}]", "")
 
 
-def column_patterns(df: DataFrame, column: str, order: str) -> DataFrame:
-    """``(chunk_id, pattern)``: delimiters common to all values of a column in a chunk.
+def column_patterns(df: DataFrame, column: str, order: str, keys: Sequence[str] = ("chunk_id",)) -> DataFrame:
+    """``(keys, pattern)``: delimiters common to all values of a column in a chunk.
 
-    Values are reduced to their distinct delimiter signatures first.
+    Values are reduced to their distinct delimiter signatures first. Where all agree, the
+    signature is the pattern; the others are folded in the order of their first value.
     """
-    signatures = df.groupBy("chunk_id", delimiter_signature(F.col(column)).alias("sig")).agg(F.min(order).alias("at"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        pattern = None
-        for sig in rows.sort_values("at")["sig"]:
-            pattern = sig if pattern is None else _common(pattern, sig)
+    sig = delimiter_signature(F.col(column))
+    signatures = df.groupBy(*keys, sig.alias("sig")).agg(F.min(order).alias("at"))
+    gathered = signatures.groupBy(*keys).agg(F.min("sig").alias("least"), F.max("sig").alias("most"), F.collect_list(F.struct("at", "sig")).alias("s"))
+    differ = F.col("least") != F.col("most")
+    # a function of pandas runs for every row, so it is handed nothing where all agree
+    folded = common_delimiters(F.when(differ, F.transform(F.array_sort("s"), lambda x: x["sig"])))
+    return gathered.select(*keys, F.when(differ, folded).otherwise(F.col("least")).alias("pattern"))
+
+
+@F.pandas_udf(StringType())
+def common_delimiters(signatures: pd.Series) -> pd.Series:
+    """The longest common part of signatures, taken in one after the other."""
+
+    def fold(sigs) -> str | None:
+        if sigs is None:
+            return None
+        pattern = sigs[0]
+        for sig in sigs[1:]:
             if not pattern:
                 break
-        return pd.DataFrame([(rows["chunk_id"].iloc[0], pattern or "")], columns=["chunk_id", "pattern"])
+            # a signature that holds the pattern changes nothing
+            rest = iter(sig)
+            if not all(d in rest for d in pattern):
+                pattern = _common(pattern, sig)
+        return pattern
 
-    return signatures.groupBy("chunk_id").applyInPandas(fold, "chunk_id long, pattern string")
+    return signatures.map(fold)
 
 
 def split_by_pattern(value: Column, pattern: Column) -> Column:

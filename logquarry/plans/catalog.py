@@ -6,6 +6,7 @@ from logquarry.plans import (  # noqa: F401
     relations,
     sequences,
     profiling,
+    rebuild,
     tagging,
 )
 from logquarry.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -280,12 +280,6 @@ def number_restore(spark, sf):
     return nm.restore_numbers(g).select("chunk_id", "line_no", "seq", "digits")
 
 
-@query("mined_delimiters")
-def mined_delimiters(spark, sf):
-    sample = nm.length_sample(inp.order_lines(spark, sf).select("line"), "line", seed=3)
-    return nm.mined_delimiters(sample, "line")
-
-
 @query(
     "delimiter_templates",
     with_(

@@ -263,18 +263,6 @@ def header_restore(spark, sf):
     )
 
 
-@query(
-    "assembled_log",
-    with_(inp.EVENT_LINES, select="SELECT chunk_id, line_no, line FROM event_lines"),
-)
-def assembled_log(spark, sf):
-    lines = inp.event_lines(spark, sf)
-    kind = lambda *levels: F.split("line", " ")[2].isin(*levels)
-    return hd.assemble_log(
-        lines.filter(kind("CLICK", "VIEW", "PURCHASE")), lines.filter(kind("ERROR")), lines.filter(kind("SIGNUP"))
-    )
-
-
 # --- similarity templates
 
 
