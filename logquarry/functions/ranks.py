@@ -104,3 +104,28 @@ def cumulative_counts(
         .join(offsets, [*keys, "bucket"])
         .select(*keys, value, "n", (F.col("offset") + F.col("run")).alias("below"))
     )
+
+
+_ROW_BITS = 33  # of monotonically_increasing_id, below the number of the partition
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos") -> DataFrame:
+    """Adds ``out``, the place of a row from 0 among the rows with its keys, in the order of ``order``.
+
+    Rows are dealt by ranges and sorted inside a range, so rows of one key may lie in many tasks;
+    what is added up is one row for each range and key in it. Keys must not be null, and a tie is
+    broken by the dealing, so ``order`` should be unique.
+    """
+    placed = cut_lineage(
+        df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("row_id", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("row_id", _ROW_BITS).alias("range_no")
+    runs = placed.groupBy(*keys, part).agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("range_n"))
+    before = W.partitionBy(*keys).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    offsets = runs.select(*keys, "range_no", "first_id", F.coalesce(F.sum("range_n").over(before), F.lit(0)).alias("offset"))
+    return (
+        placed.withColumn("range_no", part)
+        .join(offsets, [*keys, "range_no"])
+        .withColumn(out, F.col("offset") + F.col("row_id") - F.col("first_id"))
+        .drop("range_no", "row_id", "first_id", "offset")
+    )

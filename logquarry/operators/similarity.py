@@ -1,25 +1,26 @@
-"""Templates by greedy similarity of word arrays, mined chunk by chunk.
+"""Templates by greedy similarity of word arrays over a whole corpus, in bounded rounds.
 
-Only distinct masked arrays of one chunk and one length meet in a task, in the
-order of their first line, so a task is bounded by the chunk. The distinct templates
-of all chunks are clustered once more, so chunks of any size give an event one template.
+Lines become distinct masked word arrays (forms). Forms of one length that fill no more than one
+block are clustered at once, in the order of their first line. More forms are sorted, dealt to
+blocks of bounded size and clustered block by block; the templates that survive are forms again, are
+sorted another way and dealt again, until one block is enough or rounds bring nothing any more.
+So no task sees more than a block, and the result does not depend on how lines are cut into chunks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
+from logquarry.functions.ranks import positions
 from logquarry.operators.templates import words
 from logquarry.session import cut_lineage
 
 WILDCARD = "<*>"
+CELLS = 1 << 15  # words of a block; its forms are compared with each other
 SEPARATOR = r"^(\s+|[:,=])$"
 
 
@@ -91,45 +92,86 @@ def _greedy(rows: pd.DataFrame, threshold: float, separators: bool) -> list[int]
     return labels
 
 
-def _mine(distinct: DataFrame, threshold: float, separators: bool, glue: str) -> DataFrame:
+def _block_rows(n_words: Column, cells: int) -> Column:
+    return F.greatest(F.lit(2), F.floor(F.lit(cells) / n_words)).cast("bigint")
+
+
+# ways to sort forms, so that other ones are neighbours in each round
+_SORTS = (
+    lambda w: F.array_join(w, " "),
+    lambda w: F.array_join(F.reverse(w), " "),
+    lambda w: F.array_join(F.array_sort(F.filter(w, lambda x: x != WILDCARD)), " "),
+)
+
+
+def _round(forms: DataFrame, sort, cells: int, threshold: float, separators: bool) -> DataFrame:
+    """``(words, common)``: the template of each form (words, n_words, at, size) in its block."""
+
     def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("first_line_no", ignore_index=True)
-        labels = _greedy(rows, threshold, separators)
-        rows["cluster"] = labels
-        common = {}
-        for number, part in rows.groupby("cluster", sort=False):
-            columns = list(zip(*part["words"]))
-            common[number] = [c[0] if len(set(c)) == 1 else WILDCARD for c in columns]
-        rows["common"] = [common[k] for k in rows["cluster"]]
-        return rows[["chunk_id", "words", "common", "n", "first_line_no"]]
-
-    kinds = "chunk_id long, words array<string>, common array<string>, n long, first_line_no long"
-    sized = distinct.withColumn("n_words", F.size("words"))
-    mined = cut_lineage(sized.groupBy("chunk_id", "n_words").applyInPandas(cluster, kinds))
-    # one event may have another template in every chunk: the distinct ones are clustered again,
-    # in the order of the corpus. There is one for each kind of event and form it took
-    forms = mined.groupBy("common").agg(
-        F.sum("n").alias("n"), F.min(F.struct("chunk_id", "first_line_no")).alias("at")
-    )
-    ordered = forms.select(
-        F.lit(0).cast("long").alias("chunk_id"),
-        F.col("common").alias("words"),
-        "n",
-        F.row_number().over(W.partitionBy(F.size("common")).orderBy("at", "common")).cast("long").alias("first_line_no"),
-        F.size("common").alias("n_words"),
-    )
-    merged_forms = ordered.groupBy("chunk_id", "n_words").applyInPandas(cluster, kinds)
-    whole = merged_forms.select(F.col("words").alias("common"), F.array_join("common", glue).alias("template"))
-    return mined.join(whole, "common").select("chunk_id", "words", "template", "n")
+        assert len(rows) <= max(2, cells // rows["n_words"].iloc[0])
+        rows = rows.sort_values(["chunk_id", "line_no"], ignore_index=True)
+        labels = np.array(_greedy(rows, threshold, separators))
+        arrays = np.array(rows["words"].tolist(), dtype=object)
+        common = np.empty(len(rows), dtype=object)
+        for k in np.unique(labels):
+            own = arrays[labels == k]
+            text = np.where((own == own[0]).all(axis=0), own[0], WILDCARD).tolist()
+            for i in np.flatnonzero(labels == k):
+                common[i] = text
+        rows["common"] = common
+        return rows[["words", "common"]]
+
+    ordered = forms.withColumn("sort", sort(F.col("words")))
+    ranked = positions(ordered, ["n_words"], ["sort", "at"])
+    one = F.col("size") <= _block_rows(F.col("n_words"), cells)
+    block = F.when(one, F.lit(0).cast("bigint")).otherwise(F.floor(F.col("pos") / _block_rows(F.col("n_words"), cells)))
+    dealt = ranked.select("words", "n_words", block.alias("block"), "at.chunk_id", "at.line_no")
+    return dealt.groupBy("n_words", "block").applyInPandas(cluster, "words array<string>, common array<string>")
+
+
+def _mine(distinct: DataFrame, threshold: float, separators: bool, glue: str, cells: int) -> DataFrame:
+    """Templates of ``distinct`` (chunk_id, words, n, first_line_no)."""
+    distinct = cut_lineage(distinct)
+    at = F.min(F.struct("chunk_id", F.col("first_line_no").alias("line_no"))).alias("at")
+    forms = cut_lineage(distinct.groupBy("words").agg(at).withColumn("n_words", F.size("words")))
+    found = forms.select("words", F.col("words").alias("common"))
+    before: dict[int, list[int]] = {}
+    turn = 0
+    while True:
+        # one row for each length of a line
+        sizes = {r["n_words"]: r["n"] for r in forms.groupBy("n_words").agg(F.count(F.lit(1)).alias("n")).collect()}
+        todo = {}
+        for k, n in sizes.items():
+            seen = before.setdefault(k, [])
+            if n == 1 or (seen and seen[-1] <= max(2, cells // k)):
+                continue  # alone, or all of them met in the last round
+            if len(seen) >= len(_SORTS) and n > 0.9 * seen[-len(_SORTS)]:
+                continue  # no way of sorting brings much any more
+            todo[k] = n
+            seen.append(n)
+        if not todo:
+            break
+        size = F.create_map(*[F.lit(x) for pair in todo.items() for x in pair])
+        open_forms = forms.where(F.col("n_words").isin(list(todo))).withColumn("size", size[F.col("n_words")].cast("bigint"))
+        named = cut_lineage(_round(open_forms, _SORTS[turn % len(_SORTS)], cells, threshold, separators))
+        step = named.select(F.col("words").alias("common"), F.col("common").alias("next"))
+        found = cut_lineage(found.join(step, "common", "left").select("words", F.coalesce("next", "common").alias("common")))
+        merged_forms = forms.join(named, "words").groupBy(F.col("common").alias("words")).agg(F.min("at").alias("at"))
+        rest = forms.where(~F.col("n_words").isin(list(todo))).select("words", "at")
+        forms = cut_lineage(rest.union(merged_forms).withColumn("n_words", F.size("words")))
+        turn += 1
+    named = found.select("words", F.array_join("common", glue).alias("template"))
+    return distinct.join(named, "words").select("chunk_id", "words", "template", "n")
 
 
 def similarity_templates(
-    lines: DataFrame, threshold: float = 0.5, masks: list[str] | None = None, text: str = "line"
+    lines: DataFrame, threshold: float = 0.5, masks: list[str] | None = None, text: str = "line", cells: int = CELLS
 ) -> DataFrame:
     """``(chunk_id, words, template, n)``: the template of every distinct word array of a chunk.
 
-    Arrays are clustered chunk by chunk, then the chunks' templates are clustered once more,
-    so an event has one template in the whole corpus.
+    An event has one template in the whole corpus. A block holds at most ``cells`` words, and two forms
+    at least. Forms of a length that still fill several blocks when sorting them anew merges less
+    than a tenth of them keep the templates they have.
     """
     distinct = (
         lines.select("chunk_id", "line_no", words(tk.mask_patterns(F.col(text), masks or [])).alias("words"))
@@ -137,10 +179,10 @@ def similarity_templates(
         .groupBy("chunk_id", "words")
         .agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line_no"))
     )
-    return _mine(distinct, threshold, False, " ")
+    return _mine(distinct, threshold, False, " ", cells)
 
 
-def separator_templates(lines: DataFrame, threshold: float = 0.1, text: str = "line") -> DataFrame:
+def separator_templates(lines: DataFrame, threshold: float = 0.1, text: str = "line", cells: int = CELLS) -> DataFrame:
     """The variant that keeps separators as words and masks numbers and addresses first."""
     parts = tk.mask_number_tokens(tk.separator_tokens(F.trim(text)))
     distinct = (
@@ -149,7 +191,7 @@ def separator_templates(lines: DataFrame, threshold: float = 0.1, text: str = "l
         .groupBy("chunk_id", "words")
         .agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line_no"))
     )
-    return _mine(distinct, threshold, True, "")
+    return _mine(distinct, threshold, True, "", cells)
 
 
 def template_totals(mined: DataFrame) -> DataFrame:

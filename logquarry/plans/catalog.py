@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from logquarry.plans import (  # noqa: F401
+    corpus,
     encoding,
     mining,
     relations,

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
 from logquarry.operators import numbers as nm
-from logquarry.operators import partitions as pt
 from logquarry.operators import scoring as sc
 from logquarry.operators import tagging as tg
 from logquarry.operators import templates as tp
@@ -293,88 +292,6 @@ def delimiter_templates(spark, sf):
     return inp.order_lines(spark, sf).groupBy(t.alias("template")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# --- partitioning
-
-WORDS_SQL = r"list_filter(string_split_regex(line, '[\s=:,]'), lambda x: x <> '')"
-PART_ROWS = (
-    inp.EVENT_LINES,
-    f"dw AS (SELECT {WORDS_SQL} AS words, count(*) AS n FROM event_lines GROUP BY 1)",
-    "p1 AS (SELECT 'len=' || len(words) AS part, * FROM dw)",
-    "x1 AS (SELECT part, generate_subscripts(words, 1) AS pos, unnest(words) AS word FROM p1)",
-    "c1 AS (SELECT part, pos, count(DISTINCT word) AS nd FROM x1 GROUP BY part, pos)",
-    "b1 AS (SELECT part, arg_min(pos, nd * 100000 + pos) AS pos, min(nd) AS nd FROM c1 GROUP BY part)",
-    """p2 AS (SELECT CASE WHEN nd > 1 THEN p.part || '/2:' || words[pos] ELSE p.part END AS part, words, n FROM p1 p JOIN b1 b ON p.part = b.part)""",
-)
-
-
-def _step2(spark, sf):
-    return pt.step2(pt.step1(pt.distinct_words(inp.event_lines(spark, sf))))
-
-
-@query("partition_step1", with_(*PART_ROWS, select="SELECT part, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n_lines FROM p1 GROUP BY part"))
-def partition_step1(spark, sf):
-    p = pt.step1(pt.distinct_words(inp.event_lines(spark, sf)))
-    return p.groupBy("part").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n_lines"))
-
-
-@query("position_counts", with_(*PART_ROWS, select="SELECT part, CAST(pos - 1 AS BIGINT) AS pos, nd FROM c1"))
-def position_counts(spark, sf):
-    p = pt.step1(pt.distinct_words(inp.event_lines(spark, sf)))
-    return pt.position_counts(p).select("part", F.col("pos").cast("bigint").alias("pos"), "nd")
-
-
-@query("partition_step2", with_(*PART_ROWS, select="SELECT part, count(*) AS n_distinct, CAST(sum(n) AS BIGINT) AS n_lines FROM p2 GROUP BY part"))
-def partition_step2(spark, sf):
-    return _step2(spark, sf).groupBy("part").agg(F.count(F.lit(1)).alias("n_distinct"), F.sum("n").alias("n_lines"))
-
-
-@query(
-    "partition_step4",
-    with_(
-        *PART_ROWS,
-        "x2 AS (SELECT part, generate_subscripts(words, 1) AS pos, unnest(words) AS word FROM p2)",
-        "t2 AS (SELECT part, pos, CASE WHEN count(DISTINCT word) = 1 THEN min(word) ELSE '<*>' END AS w FROM x2 GROUP BY part, pos)",
-        "s2 AS (SELECT part, sum(n) AS n FROM p2 GROUP BY part)",
-        select="SELECT t2.part, string_agg(w, ' ' ORDER BY pos) AS template, CAST(any_value(n) AS BIGINT) AS n_lines FROM t2 JOIN s2 ON t2.part = s2.part GROUP BY t2.part",
-    ),
-)
-def partition_step4(spark, sf):
-    return pt.step4(_step2(spark, sf))
-
-
-@query("partition_templates")
-def partition_templates(spark, sf):
-    return pt.partition_templates(inp.event_lines(spark, sf), masks=[inp.TIME_PATTERN])
-
-
-# order keys as two-word lines, where step 3 always picks positions 0 and 1
-
-@query(
-    "relation_split",
-    """WITH l AS (SELECT 'k' || (p_partkey % 40 // 4) AS t1, 's' || (CASE WHEN p_partkey % 40 < 12 THEN p_partkey % 40 // 4 WHEN p_partkey % 40 < 20 THEN p_partkey % 40
-  WHEN p_partkey % 40 < 32 THEN 100 ELSE p_size END) AS t2 FROM part),
-e AS (SELECT t1, t2, count(*) AS n FROM l GROUP BY t1, t2),
-d AS (SELECT *, count(*) OVER (PARTITION BY t1) AS deg1, count(*) OVER (PARTITION BY t2) AS deg2, sum(n) OVER (PARTITION BY t1) AS n1, sum(n) OVER (PARTITION BY t2) AS n2 FROM e),
-f AS (SELECT *, max(deg2) OVER (PARTITION BY t1) AS far2, max(deg1) OVER (PARTITION BY t2) AS far1 FROM d),
-k AS (SELECT *, CASE WHEN deg1 = 1 AND deg2 = 1 THEN '1-1' WHEN deg1 > 1 AND far2 = 1 THEN '1-M' WHEN deg2 > 1 AND far1 = 1 THEN 'M-1' ELSE 'M-M' END AS kind FROM f),
-m AS (SELECT count(DISTINCT t1) AS left1, count(DISTINCT t2) AS left2 FROM k WHERE kind = 'M-M'),
-s AS (SELECT n, 'len=2/3:w:' || CASE kind WHEN '1-1' THEN t1 WHEN '1-M' THEN CASE WHEN deg1 / n1 <= 0.25 THEN t2 ELSE t1 END
-  WHEN 'M-1' THEN CASE WHEN deg2 / n2 <= 0.25 THEN t1 ELSE t2 END ELSE CASE WHEN left1 < left2 THEN t1 ELSE t2 END END AS part FROM k, m)
-SELECT part, CAST(sum(n) AS BIGINT) AS n_lines FROM s GROUP BY part""",
-)
-def relation_split(spark, sf):
-    m = F.col("p_partkey") % 40
-    four = F.expr("p_partkey % 40 div 4")
-    second = (
-        F.when(m < 12, four).when(m < 20, m).when(m < 32, 100).otherwise(F.col("p_size"))
-    )
-    lines = inp.table(spark, sf, "part").select(
-        F.concat(F.lit("k"), four.cast("string"), F.lit(" s"), second.cast("string")).alias("line")
-    )
-    parts = pt.step3(pt.step1(pt.distinct_words(lines)))
-    return parts.groupBy("part").agg(F.sum("n").alias("n_lines"))
-
-
 # --- word clusters
 
 SUPPORT = 2.0

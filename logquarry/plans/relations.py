@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from logquarry.operators import headers as hd
 from logquarry.operators import profile as pf
 from logquarry.operators import relations as rl
-from logquarry.operators import similarity as sm
 from logquarry.operators import stats as st
 from logquarry.plans import inputs as inp
 from logquarry.plans.registry import query, with_
@@ -263,21 +262,6 @@ def header_restore(spark, sf):
     )
 
 
-# --- similarity templates
-
-
-@query("similarity_templates")
-def similarity_templates(spark, sf):
-    m = sm.similarity_templates(inp.event_lines(spark, sf).union(inp.order_lines(spark, sf)), 0.6, [inp.TIME_PATTERN, r"(?<==)[\d.]+"])
-    return sm.template_totals(m)
-
-
-@query("separator_templates")
-def separator_templates(spark, sf):
-    lines = inp.event_lines(spark, sf).union(inp.order_lines(spark, sf))
-    return sm.template_totals(sm.separator_templates(lines, 0.1))
-
-
 # --- correlations and reports
 
 
