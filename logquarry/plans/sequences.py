@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logquarry.operators import clustering as cg
 from logquarry.operators import sequences as sq
 from logquarry.plans import inputs as inp
 from logquarry.plans.registry import query, with_
@@ -246,3 +247,35 @@ def lcs_distance(spark, sf):
     n = w.select("chunk_id", (F.col("seq_no") - 1).alias("seq_no"), F.col("events").alias("following"))
     p = w.join(n, ["chunk_id", "seq_no"])
     return sq.pair_distance(p, "events", "following", "lcs").select("chunk_id", "seq_no", "distance")
+
+
+# --- clustering by a chosen distance
+
+MOODS = ["urgent parcel goes out first {} today", "slow boat waits in harbour {} nights", "{} crates stay here until further notice", "nobody signed paper number {} yet"]
+
+
+def mood_items(spark, sf):
+    """Orders as sentences of four far kinds with a number each, their words, and a vector."""
+    o = inp.table(spark, sf, "orders")
+    kind = (F.col("o_orderkey") % 4).cast("int")
+    texts = F.array(*[F.lit(m) for m in MOODS])
+    text = F.replace(F.get(texts, kind), F.lit("{}"), (F.col("o_custkey") % 10).cast("string"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == kind, 4.0).otherwise((F.col("o_custkey") % 5) / 10))
+    return o.select("o_orderkey", text.alias("text"), F.split(text, " ").alias("words"), vec.alias("vec"))
+
+
+def _register_clusters(name: str, threshold: float) -> None:
+    @query(
+        f"clusters_by_{name}",
+        "SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_orderkey % 4) AS first_key FROM orders",
+    )
+    def clusters(spark, sf):
+        """Each cluster named by its least key, so that the answer does not depend on the sample."""
+        item = F.struct("text", "words", "vec")
+        placed = cg.iterative_clusters(mood_items(spark, sf), ["o_orderkey"], item, name, threshold, sample_size=60)
+        least = placed.groupBy("centre").agg(F.min("o_orderkey").alias("first_key"))
+        return placed.join(least, placed["centre"].eqNullSafe(least["centre"])).select("o_orderkey", "first_key")
+
+
+for _name, _threshold in (("edit", 0.3), ("ngram_2", 0.6), ("lcs", 0.5), ("mixed", 0.4)):
+    _register_clusters(_name, _threshold)
