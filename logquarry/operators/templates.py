@@ -18,24 +18,29 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
 
 
-def checked_broadcast(small: DataFrame, text: str) -> DataFrame:
+def is_small(table: DataFrame, text: str) -> bool:
+    """Whether the bytes of a text column, with an allowance for a row, are few enough for every task."""
+    return table.agg(F.coalesce(F.sum(F.octet_length(text) + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
+
+
+def checked_broadcast(small: DataFrame, text: str, known: bool | None = None) -> DataFrame:
     """Broadcast a table if the bytes of its text column are proven to be few.
 
-    The size is measured, which runs the small side once; a larger side is left to
-    a shuffle join.
+    The size is measured, which runs the small side once, unless it is ``known`` from before; a
+    larger side is left to a shuffle join.
     """
-    size = small.agg(F.coalesce(F.sum(F.octet_length(text) + 64), F.lit(0))).first()[0]
-    return F.broadcast(small) if size <= BROADCAST_BYTES else small
+    return F.broadcast(small) if (is_small(small, text) if known is None else known) else small
 
 
 def match_templates(
-    lines: DataFrame, templates: DataFrame, keys: list[str], text: str = "line"
+    lines: DataFrame, templates: DataFrame, keys: list[str], text: str = "line", small: bool | None = None
 ) -> DataFrame:
     """First template of each line: same number of words, equal wherever the template is fixed.
 
     ``templates`` has ``template_id`` and ``template``. The join is on word count and
     on the first fixed word with its position; templates of wildcards only are
     joined on word count alone. Lines without a template have a null ``template_id``.
+    ``small`` says that the templates' size is known already.
     """
     t = templates.select("template_id", "template", words("template").alias("t_words"))
     t = t.withColumn("n_words", F.size("t_words")).withColumn(
@@ -46,7 +51,7 @@ def match_templates(
     anchors = t.groupBy("n_words").agg(F.collect_set("anchor").alias("anchors"))
     l = lines.select(*keys, F.col(text), words(text).alias("l_words")).withColumn("n_words", F.size("l_words"))
     probe = (
-        l.join(checked_broadcast(anchors, "n_words"), "n_words")
+        l.join(checked_broadcast(anchors, "n_words", small), "n_words")
         .select(*keys, "l_words", "n_words", F.explode("anchors").alias("anchor"))
         .withColumn(
             "anchor_word",
@@ -57,7 +62,7 @@ def match_templates(
         F.zip_with("t_words", "l_words", lambda a, b: (a == WILDCARD) | (a == b)), lambda ok: ok
     )
     best = (
-        probe.join(checked_broadcast(t, "template"), ["n_words", "anchor", "anchor_word"])
+        probe.join(checked_broadcast(t, "template", small), ["n_words", "anchor", "anchor_word"])
         .filter(fits)
         .groupBy(*keys)
         .agg(F.min(F.struct("template_id", "template")).alias("m"))

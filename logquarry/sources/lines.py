@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logquarry.functions.ranks import running_count, running_sum
+from logquarry.functions.ranks import running_sum
+from logquarry.operators.templates import checked_broadcast
+from logquarry.session import cut_lineage
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -23,9 +26,10 @@ def spread(df: DataFrame) -> DataFrame:
 def read_lines(spark: SparkSession, path: str, chunk_lines: int = 100_000) -> DataFrame:
     """``(source, chunk_id, line_no, line)`` of text files, numbered from 1 per file.
 
-    The byte layout of a file gives the order: rows come with their split offset,
-    and a running count over (file, split) turns positions in a split into line
-    numbers, so no file passes through one task.
+    The splits of the files are counted first; a line's number is the lines of its file in the
+    splits before plus its place in its own split, which the rows' running ids give, as a split is
+    read in order by one task. Lines stay where they are read: what is moved is one row a split,
+    sent to all tasks while its measured size is small.
     """
     raw = spark.read.option("lineSep", "\n").text(path).select(
         F.col("value").alias("line"),
@@ -33,7 +37,12 @@ def read_lines(spark: SparkSession, path: str, chunk_lines: int = 100_000) -> Da
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("seq"),
     )
-    numbered = running_count(raw, keys=["source"], block="block_start", within="seq")
+    # the same scan gives the same ids each time
+    splits = cut_lineage(raw.groupBy("source", "block_start").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")))
+    before = W.partitionBy("source").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = splits.select("source", "block_start", "first_seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    line_no = (F.col("offset") + F.col("seq") - F.col("first_seq") + 1).cast("bigint")
+    numbered = raw.join(checked_broadcast(offsets, "source"), ["source", "block_start"]).withColumn("line_no", line_no)
     return numbered.select(
         "source",
         F.floor((F.col("line_no") - 1) / chunk_lines).alias("chunk_id"),
