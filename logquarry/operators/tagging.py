@@ -7,10 +7,14 @@ characters are handled by one pass of a regex; arrays hold only the variables.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from logquarry.functions import tokens as tk
 from logquarry.functions.arrays import explode_rows, posexplode_rows
@@ -59,11 +63,6 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), use)[0]
-
-
 # Up to this many variables in a line, counting words in front of the few numbers
 # that need it is cheaper than numbering all tokens; beyond it, it would be quadratic.
 _SHORT_LINE = 64
@@ -295,32 +294,30 @@ def tag_counts(tagged: DataFrame) -> DataFrame:
 
 
 def apply_threshold(tagged: DataFrame, threshold: int, patterns: Patterns = ()) -> DataFrame:
-    """Second pass: a tag stays if a pattern gives it or it occurs more than ``threshold`` times.
+    """Second pass: a tag stays if a pattern gives it or it occurs more than ``threshold`` times in its chunk.
 
-    The rare tags of a chunk form one array, bounded by the chunk; it joins the
-    chunk's lines, and their variables go back into the text inside the row.
+    Occurrences are counted where those of a tag meet and go back to their lines as one flag each,
+    so the work of a line grows with its own variables, however many rare tags its chunk has.
+    (chunk_id, line_no) is unique.
     """
     fixed = [tag for tag, _ in patterns]
-    rare = (
-        tag_counts(tagged)
-        .filter((F.col("n") <= threshold) & ~F.col("tag").isin(fixed))
-        .groupBy("chunk_id")
-        .agg(F.collect_set("tag").alias("rare"))
-    )
-    demoted = F.transform(
-        F.col("parts.tags"), lambda t: F.when(F.array_contains(F.col("rare"), t), F.lit("")).otherwise(t)
+    places = posexplode_rows(tagged, ["chunk_id", "line_no"], F.col("parts.tags"), "pos", "tag")
+    n = F.count(F.lit(1)).over(W.partitionBy("chunk_id", "tag"))
+    judged = places.select("chunk_id", "line_no", "pos", ((n <= threshold) & ~F.col("tag").isin(fixed)).alias("rare"))
+    # a group holds the variables of one line
+    flags = (
+        judged.groupBy("chunk_id", "line_no")
+        .agg(F.bool_or("rare").alias("any_rare"), F.array_sort(F.collect_list(F.struct("pos", "rare"))).alias("f"))
+        .where("any_rare")
+        .select("chunk_id", "line_no", F.col("f.rare").alias("rare"))
     )
-    touched = F.coalesce(F.arrays_overlap(F.col("parts.tags"), F.col("rare")), F.lit(False))
+    demoted = F.zip_with(F.col("parts.tags"), "rare", lambda t, r: F.when(r, F.lit("")).otherwise(t))
+    changed = parts_of_pieces(_alternate(F.col("parts.statics"), F.col("parts.vars"), demoted))
     return (
-        tagged.join(rare, "chunk_id", "left")
-        .withColumn(
-            "parts",
-            F.when(
-                touched,
-                parts_of_pieces(_alternate(F.col("parts.statics"), F.col("parts.vars"), demoted)),
-            ).otherwise(F.col("parts")),
-        )
+        tagged.join(flags, ["chunk_id", "line_no"], "left")
+        .withColumn("parts", F.when(F.col("rare").isNull(), F.col("parts")).otherwise(changed))
         .drop("rare")
+        .select(*tagged.columns)
     )
 
 
@@ -368,26 +365,60 @@ def parts_of_pieces(pieces: Column) -> Column:
     return let(pieces, build)
 
 
-# A JSON string body, and a nested object or array. The pattern has no recursion, so it
-# spells the levels out; its length is linear in their number.
-_JSON_STRING = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
-_JSON_DEPTH = 100
-
-
-def _json_nested(depth: int) -> str:
-    inner = r'[^{}\[\]"]++|"' + _JSON_STRING + '"'
-    if depth > 1:
-        inner += "|" + _json_nested(depth - 1)
-    return r"[{\[](?:" + inner + r")*+[}\]]"
+_BLANK = r"[ \t\n\x0b\f\r]*+"
+_STRING = r'[^"\\]*+(?:\\[^\n\r\x85\u2028\u2029][^"\\]*+)*+'
+_KEY = re.compile(f'"({_STRING})"({_BLANK}:{_BLANK})')
+_VALUE = re.compile(f'"({_STRING})"' + r'|([^ \t\n\x0b\f\r",{}\[\]:]++)')
+_INNER = re.compile(r'[^{}\[\]"]++|([{\[])|([}\]])|"' + _STRING + '"')
+_MEMBERS = ArrayType(StructType([StructField(c, StringType()) for c in ("gap", "key", "head", "value", "tail")]))
+
+
+def _close(line: str, at: int, known: dict[int, int]) -> int:
+    """End of the object or array that begins at ``at``, -1 without one; brackets inside are noted in ``known``."""
+    if at in known:
+        return known[at]
+    unclosed, pos = [at], at + 1
+    while unclosed:
+        m = _INNER.match(line, pos)
+        if m is None:
+            break
+        if m[1]:
+            unclosed.append(pos)
+        pos = m.end()
+        if m[2]:
+            known[unclosed.pop()] = pos
+    known.update(dict.fromkeys(unclosed, -1))
+    return known[at]
+
+
+def json_members(line: str) -> list[dict]:
+    """Members of an object from left to right, each with the text in front of it; the last entry has text only.
+
+    A value is a string, a bare word, or an object or array of any depth as a whole.
+    """
+    out, known = [], {}
+    done = at = 0
+    while m := _KEY.search(line, at):
+        start = m.end()
+        if line[start : start + 1] in ("{", "["):
+            end = _close(line, start, known)
+            value, quote = line[start:end], ""
+        else:
+            v = _VALUE.match(line, start)
+            end = v.end() if v else -1
+            value, quote = (v[1], '"') if v and v[1] is not None else (v[2] if v else None, "")
+        if end < 0:
+            at = m.start() + 1
+            continue
+        out.append({"gap": line[done : m.start()], "key": m[1], "head": m[0] + quote, "value": value, "tail": quote})
+        done = at = end
+    out.append({"gap": line[done:], "key": None, "head": None, "value": None, "tail": None})
+    return out
 
 
-# One member: key, separator, then a string or a nested or bare value.
-JSON_MEMBER = (
-    f'"({_JSON_STRING})"'
-    + r"(\s*+:\s*+)"
-    + f'(?:"({_JSON_STRING})"|({_json_nested(_JSON_DEPTH)}'
-    + r'|[^\s",{}\[\]:]++))'
-)
+@F.pandas_udf(_MEMBERS)
+def _members(lines: pd.Series) -> pd.Series:
+    return lines.map(lambda x: None if x is None else json_members(x))
 
 
 def tag_json_lines(
@@ -397,25 +428,14 @@ def tag_json_lines(
 
     Tags of whole values live in their own namespace, ``<json:key>``. A value with
     delimiters is cut like a text line whose first context is the key. A nested
-    object or array is one value, up to 100 levels deep. Lines that are not an object
-    stay static.
+    object or array of any depth is one value. Lines that are not an object stay static.
+    A short Python helper finds the members, in one scan of the line; the rest is column functions.
     """
     line = F.col("line")
-    found = F.regexp_extract_all(line, F.lit(JSON_MEMBER), F.lit(0))
-    gaps = F.split(line, JSON_MEMBER, -1)
 
     def static(text: Column) -> Column:
         return F.struct(text.alias("text"), F.lit("").alias("tag"))
 
-    def member(m: Column) -> Column:
-        key = F.regexp_extract(m, JSON_MEMBER, 1)
-        quote = F.when(m.endswith('"'), F.lit('"')).otherwise(F.lit(""))
-        value = F.when(m.endswith('"'), F.regexp_extract(m, JSON_MEMBER, 3)).otherwise(
-            F.regexp_extract(m, JSON_MEMBER, 4)
-        )
-        head = F.concat(F.lit('"'), key, F.lit('"'), F.regexp_extract(m, JSON_MEMBER, 2), quote)
-        return F.struct(key.alias("key"), head.alias("head"), value.alias("value"), quote.alias("tail"))
-
     def parts(m: Column) -> Column:
         whole = F.array(
             F.struct(
@@ -428,20 +448,14 @@ def tag_json_lines(
         )
         is_cut = (m["tail"] != "") & m["value"].rlike(f"[{tk.DELIMITERS}]")
         body = F.when(is_cut, cut).otherwise(whole)
-        return F.concat(F.array(static(m["head"])), body, F.array(static(m["tail"])))
+        all_parts = F.concat(F.array(static(m["gap"])), F.array(static(m["head"])), body, F.array(static(m["tail"])))
+        return F.when(m["key"].isNull(), F.array(static(m["gap"]))).otherwise(all_parts)
 
-    pairs = F.arrays_zip(
-        F.transform(gaps, lambda g: F.array(static(g))).alias("gap"),
-        F.transform(F.transform(found, member), parts).alias("hit"),
-    )
-    members = F.flatten(
-        F.transform(
-            pairs, lambda p: F.when(p["hit"].isNull(), p["gap"]).otherwise(F.concat(p["gap"], p["hit"]))
-        )
-    )
+    members = F.flatten(F.transform("members", parts))
     is_object = line.rlike(r"(?s)^\{.*\}$")
     all_pieces = F.when(is_object, members).otherwise(F.array(static(line)))
-    return lines.withColumn("parts", parts_of_pieces(all_pieces))
+    found = lines.withColumn("members", _members(F.when(is_object, line)))
+    return found.withColumn("parts", parts_of_pieces(all_pieces)).drop("members")
 
 
 Handler = tuple[Callable[[Column], Column], Callable[[Column], Column]]

@@ -150,3 +150,44 @@ def test_json_depth(lines, depth):
     row = tg.tag_json_lines(lines(['{"a":%s,"z":5,"l":%s}' % (deep, "[" * depth + "]" * depth)])).first()
     assert row["parts"]["tags"] == ["<json:a>", "<json:z>", "<json:l>"]
     assert row["parts"]["vars"] == [deep, "5", "[" * depth + "]" * depth]
+
+
+def _json_parts(spark, texts):
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "chunk_id long, line_no long, line string")
+    return [r["parts"] for r in tg.tag_json_lines(df).orderBy("line_no").collect()]
+
+
+def test_json_of_any_depth(spark):
+    deep = '{"a": ' + '{"b": [' * 500 + "1" + "]}" * 500 + ', "c": 2}'
+    mixed = '{"a": {"b": "}]{"}, "d": [1, {"e": "x\\"y"}], "f": "g h"}'
+    broken = '{"a": {"b": 1, "c": [2}'
+    parts = _json_parts(spark, [deep, mixed, broken, "[1]", "", '{"k" : bare, "n": "one"}'])
+    assert parts[0]["tags"] == ["<json:a>", "<json:c>"] and parts[0]["vars"][1] == "2"
+    assert parts[1]["vars"][:2] == ['{"b": "}]{"}', '[1, {"e": "x\\"y"}]']
+    assert parts[2]["vars"] == ["1", "[2}"] and parts[3]["vars"] == []
+    assert parts[5]["tags"] == ["<json:k>", "<json:n>"]
+    for text, p in zip([deep, mixed, broken], parts):
+        assert "".join(s + v for s, v in zip(p["statics"], p["vars"] + [""])) == text
+
+
+def test_unclosed_json_does_not_stall():
+    import time
+
+    start = time.process_time()
+    tg.json_members('{"a":' * 20_000)
+    tg.json_members('{"' * 40_000)
+    assert time.process_time() - start < 3
+
+
+def test_many_rare_tags(spark):
+    # a tag for each word, and one that is frequent
+    rows = [(0, i, f"w{i}x= {i % 10}abc 1.5 end") for i in range(3000)] + [(1, i, "1.5 1.5") for i in range(2)]
+    df = spark.createDataFrame(rows, "chunk_id long, line_no long, line string")
+    tagged = tg.tag_lines(df)
+    counts = {(r["chunk_id"], r["tag"]): r["n"] for r in tg.tag_counts(tagged).collect()}
+    kept = tg.apply_threshold(tagged, 100)
+    before = {(r["chunk_id"], r["line_no"]): r["parts"] for r in tagged.collect()}
+    for r in kept.collect():
+        p, old = r["parts"], before[r["chunk_id"], r["line_no"]]
+        assert p["tags"] == [t for t in old["tags"] if counts[r["chunk_id"], t] > 100]
+        assert "".join(s + v for s, v in zip(p["statics"], p["vars"] + [""])) == r["line"]
