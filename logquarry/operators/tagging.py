@@ -12,7 +12,6 @@ from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -296,27 +295,27 @@ def tag_counts(tagged: DataFrame) -> DataFrame:
 def apply_threshold(tagged: DataFrame, threshold: int, patterns: Patterns = ()) -> DataFrame:
     """Second pass: a tag stays if a pattern gives it or it occurs more than ``threshold`` times in its chunk.
 
-    Occurrences are counted where those of a tag meet and go back to their lines as one flag each,
-    so the work of a line grows with its own variables, however many rare tags its chunk has.
-    (chunk_id, line_no) is unique.
+    What joins a chunk's lines are the tags that stay, at most the chunk's variables divided by the
+    threshold; a line looks its own tags up in their hashed set, so rare tags cost nothing, however many
+    a chunk has.
     """
     fixed = [tag for tag, _ in patterns]
-    places = posexplode_rows(tagged, ["chunk_id", "line_no"], F.col("parts.tags"), "pos", "tag")
-    n = F.count(F.lit(1)).over(W.partitionBy("chunk_id", "tag"))
-    judged = places.select("chunk_id", "line_no", "pos", ((n <= threshold) & ~F.col("tag").isin(fixed)).alias("rare"))
-    # a group holds the variables of one line
-    flags = (
-        judged.groupBy("chunk_id", "line_no")
-        .agg(F.bool_or("rare").alias("any_rare"), F.array_sort(F.collect_list(F.struct("pos", "rare"))).alias("f"))
-        .where("any_rare")
-        .select("chunk_id", "line_no", F.col("f.rare").alias("rare"))
+    kept = (
+        tag_counts(tagged)
+        .filter((F.col("n") > threshold) & ~F.col("tag").isin(fixed))
+        .groupBy("chunk_id")
+        .agg(F.collect_set("tag").alias("kept"))
     )
-    demoted = F.zip_with(F.col("parts.tags"), "rare", lambda t, r: F.when(r, F.lit("")).otherwise(t))
+    stays = F.concat(F.coalesce("kept", F.expr("cast(array() as array<string>)")), F.array(*[F.lit(t) for t in ["", *fixed]]))
+    # distinct tags of the line that go
+    going = F.array_except(F.col("parts.tags"), F.col("stays"))
+    demoted = F.transform(F.col("parts.tags"), lambda t: F.when(F.array_contains(F.col("going"), t), F.lit("")).otherwise(t))
     changed = parts_of_pieces(_alternate(F.col("parts.statics"), F.col("parts.vars"), demoted))
     return (
-        tagged.join(flags, ["chunk_id", "line_no"], "left")
-        .withColumn("parts", F.when(F.col("rare").isNull(), F.col("parts")).otherwise(changed))
-        .drop("rare")
+        tagged.join(kept, "chunk_id", "left")
+        .withColumn("stays", stays)
+        .withColumn("going", going)
+        .withColumn("parts", F.when(F.size("going") > 0, changed).otherwise(F.col("parts")))
         .select(*tagged.columns)
     )
 
