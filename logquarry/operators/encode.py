@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from logquarry.functions import tokens as tk
 from logquarry.functions.presets import DICTIONARY_TAGS, PLAIN_NUMBER_TAGS, VERBATIM_TAGS
 from logquarry.operators import tagging as tg
+from logquarry.session import cut_lineage
 
 MAPPING, ALLSAME = "MAPPING", "ALLSAME"
 DELTA, NODELTA = "NUMERIC_DELTA", "NUMERIC_NODELTA"
@@ -45,16 +46,16 @@ class Encoded:
 
 
 def number_templates(tagged: DataFrame) -> DataFrame:
-    """Adds ``template_id``: 1, 2, .. in first-seen order within the chunk, 0 for an empty line."""
+    """Adds ``template_id``: 1, 2, .. in first-seen order within the chunk, 0 for an empty line; and per
+    line the ``first_line_no`` and ``n_lines`` of its template."""
     template = [F.col("parts.statics"), F.col("parts.tags")]
     by_chunk = W.partitionBy("chunk_id").orderBy("first_line_no")
+    alike = W.partitionBy("chunk_id", *template)
     empty = F.col("parts.statics") == F.array(F.lit(""))
     return (
         tagged.withColumn("empty", empty)
-        .withColumn(
-            "first_line_no",
-            F.when(~F.col("empty"), F.min("line_no").over(W.partitionBy("chunk_id", *template))),
-        )
+        .withColumn("first_line_no", F.when(~F.col("empty"), F.min("line_no").over(alike)))
+        .withColumn("n_lines", F.count(F.lit(1)).over(alike))
         # an empty line has no first line and sorts in front, as rank 1
         .withColumn("rank", F.dense_rank().over(by_chunk))
         .withColumn("any_empty", F.max(F.col("empty").cast("int")).over(W.partitionBy("chunk_id")))
@@ -66,18 +67,21 @@ def number_templates(tagged: DataFrame) -> DataFrame:
     )
 
 
-def template_table(numbered: DataFrame) -> DataFrame:
-    return (
-        numbered.filter("template_id > 0")
-        .groupBy("chunk_id", "template_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            F.min("line_no").alias("first_line_no"),
-            F.first("parts.statics").alias("statics"),
-            F.first("parts.tags").alias("tags"),
-        )
-        .withColumn("template", tg.template_text(F.col("statics"), F.col("tags")))
-    )
+def _compact(numbered: DataFrame) -> DataFrame:
+    """Numbered lines without their parts, but for the first line of each template."""
+    first = (F.col("template_id") > 0) & (F.col("line_no") == F.col("first_line_no"))
+    return numbered.select(
+        "chunk_id", "line_no", "template_id", "n_lines",
+        F.when(first, F.struct(F.col("parts.statics").alias("statics"), F.col("parts.tags").alias("tags"))).alias("form"),
+    )
+
+
+def template_table(compact: DataFrame) -> DataFrame:
+    """One row a template, taken from its first line."""
+    return compact.filter(F.col("form").isNotNull()).select(
+        "chunk_id", "template_id", "n_lines", F.col("line_no").alias("first_line_no"), "form.statics", "form.tags",
+        tg.template_text(F.col("form.statics"), F.col("form.tags")).alias("template"),
+    )
 
 
 def stored_form(tag: Column, value: Column, handlers: Mapping[str, tuple] | None = None) -> Column:
@@ -248,11 +252,14 @@ def dictionary_table(encoded_values: DataFrame) -> DataFrame:
 def encode(
     tagged: DataFrame, mode: str = "normal", handlers: Mapping[str, tuple] | None = None
 ) -> Encoded:
-    """All tables of an encoded data set from ``(chunk_id, line_no, parts)``."""
-    # One shuffle, by chunk: it serves every window below, and all tables read it.
-    tagged = tagged.select("chunk_id", "line_no", "parts").repartition("chunk_id")
-    numbered = number_templates(tagged)
-    values = encode_values(tg.variable_rows(tagged), mode, handlers)
+    """All tables of an encoded data set from ``(chunk_id, line_no, parts)``.
+
+    Tagged lines are dealt by chunk and written once; numbered lines and encoded values are written
+    once more, without text. All three keep the dealing, so no window or count below shuffles again.
+    """
+    dealt = cut_lineage(tagged.select("chunk_id", "line_no", "parts").repartition("chunk_id"))
+    numbered = cut_lineage(_compact(number_templates(dealt)))
+    values = cut_lineage(encode_values(tg.variable_rows(dealt), mode, handlers))
     return Encoded(
         templates=template_table(numbered),
         line_map=numbered.select("chunk_id", "line_no", "template_id"),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
 from logquarry.operators.encode import Encoded, encode
-from logquarry.session import cut_lineage
 
 # Columns of a compression and of a decompression result row.
 COMPRESSION_RESULT = (
@@ -68,9 +67,8 @@ def write_encoded(encoded: Encoded, path: str, mode: str = "overwrite") -> None:
 def encode_and_write(
     tagged: DataFrame, path: str, mode: str = "normal", handlers: dict | None = None
 ) -> None:
-    """Encode and write; the tagged lines are written once first, as every table reads them."""
-    once = cut_lineage(tagged.select("chunk_id", "line_no", "parts"))
-    write_encoded(encode(once, mode, handlers), path)
+    """Encode and write all tables."""
+    write_encoded(encode(tagged, mode, handlers), path)
 
 
 ENCODED_SCHEMAS = {

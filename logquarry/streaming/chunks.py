@@ -71,8 +71,7 @@ def append_batch(batch: DataFrame, batch_id: int, path: str, patterns: tg.Patter
     open_chunk = after // chunk_lines
     full = tg.tag_lines(lines.where(F.col("chunk_id") < open_chunk), patterns).select("chunk_id", "line_no", "parts")
     if open_chunk > start // chunk_lines:
-        # all tables read the tagged lines once
-        for name, df in en.encode(cut_lineage(full), mode).tables().items():
+        for name, df in en.encode(full, mode).tables().items():
             df.write.mode("overwrite").parquet(_folder(path, name, batch_id))
     lines.where(F.col("chunk_id") == open_chunk).write.mode("overwrite").parquet(_folder(path, "pending", batch_id))
     # written last: the next batch starts from it
@@ -107,5 +106,5 @@ def read_filled(spark: SparkSession, path: str, patterns: tg.Patterns = (), mode
     if not batches:
         return en.Encoded(**closed)
     pending = spark.read.schema(_PENDING).parquet(_folder(path, "pending", max(batches)))
-    tail = en.encode(cut_lineage(tg.tag_lines(pending, patterns).select("chunk_id", "line_no", "parts")), mode)
+    tail = en.encode(tg.tag_lines(pending, patterns), mode)
     return en.Encoded(**{name: df.unionByName(tail.tables()[name]) for name, df in closed.items()})

@@ -8,7 +8,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from logquarry.operators import encode as en
 from logquarry.operators import tagging as tg
-from logquarry.session import cut_lineage
 
 
 def encode_stream(
@@ -35,9 +34,7 @@ def encode_stream(
         run = F.floor(place / chunk_lines)
         chunk_id = F.lit(batch_id << 40).cast("bigint") + F.shiftleft(part, 20) + run
         chunk = placed.select(chunk_id.alias("chunk_id"), (place % chunk_lines + 1).alias("line_no"), "line")
-        # all tables read the tagged lines once
-        tagged = cut_lineage(tg.tag_lines(chunk, patterns).select("chunk_id", "line_no", "parts"))
-        for name, df in en.encode(tagged, mode).tables().items():
+        for name, df in en.encode(tg.tag_lines(chunk, patterns), mode).tables().items():
             df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
 
     return (
