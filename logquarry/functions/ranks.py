@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,56 +54,33 @@ def running_sum(
     )
 
 
-STRIDE = 16
+def totals_before(df: DataFrame, keys: Sequence[str], order: str, sums: Mapping[str, str]) -> DataFrame:
+    """Adds, per new name of ``sums``, the sum of a column over all earlier rows of the same keys.
 
-
-def bucket_bounds(df: DataFrame, value: str, buckets: int) -> DataFrame:
-    """One row: ``fine``, at most ``buckets`` ascending cut points, and ``coarse``, every 16th of them."""
-    shares = [i / buckets for i in range(1, buckets)]
-    fine = df.agg(F.percentile_approx(value, shares, 10 * buckets).alias("fine"))
-    return fine.select(
-        F.struct("fine", F.filter("fine", lambda b, i: (i + 1) % STRIDE == 0).alias("coarse")).alias("bounds")
-    )
-
-
-def bucket_of(bounds: Column, value: Column) -> Column:
-    """How many cut points lie below the value, looked up in two short steps."""
-    skipped = STRIDE * F.size(F.filter(bounds["coarse"], lambda b: b < value))
-    near = F.slice(bounds["fine"], skipped + 1, F.lit(STRIDE))
-    return skipped + F.size(F.filter(near, lambda b: b < value))
+    Rows are dealt by ranges of the keys and ``order``, whose number follows the data and the
+    session's partitions; a window runs inside one range, and the sums of the ranges in front are
+    added. ``order`` is unique within its keys, which are not null.
+    """
+    placed = cut_lineage(df.repartitionByRange(*keys, order).withColumn("range_no", F.spark_partition_id()))
+    per_range = placed.groupBy(*keys, "range_no").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    # one row for each range and key in it
+    before = W.partitionBy(*keys).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    offsets = per_range.select(*keys, "range_no", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_offset") for n in sums])
+    inside = W.partitionBy(*keys, "range_no").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    run = placed.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(name) for name, c in sums.items()])
+    whole = run.join(offsets, [*keys, "range_no"])
+    return whole.select(*df.columns, *[(F.col(n) + F.col(f"{n}_offset")).alias(n) for n in sums])
 
 
-def cumulative_counts(
-    df: DataFrame, value: str, weight: str | None = None, keys: Sequence[str] = (), buckets: int = 256
-) -> DataFrame:
+def cumulative_counts(df: DataFrame, value: str, weight: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Per distinct ``value``: its count ``n`` and the count ``below`` of all smaller values.
 
-    Distinct values are spread over value ranges; a window runs inside one range
-    and the totals of the ranges in front are added. A value that holds any share
-    of the rows is one row here, as counting comes first.
+    A value that holds any share of the rows is one row here, as counting comes first.
     """
     w = F.lit(1) if weight is None else F.col(weight)
-    # read three times below: for the cut points, the totals and the rows
+    # read twice below: for the cut points of the ranges and for the rows
     counts = cut_lineage(df.groupBy(*keys, F.col(value)).agg(F.sum(w).alias("n")))
-    # cut points are one bounded array, read as a scalar
-    bounds = bucket_bounds(counts, value, buckets).scalar()
-    spread = (
-        counts.withColumn("bounds", bounds)
-        .withColumn("bucket", bucket_of(F.col("bounds"), F.col(value)))
-        .drop("bounds")
-    )
-    totals = spread.groupBy(*keys, "bucket").agg(F.sum("n").alias("bucket_n"))
-    # at most `buckets` rows per key
-    before = W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "bucket", F.coalesce(F.sum("bucket_n").over(before), F.lit(0)).alias("offset")
-    )
-    inside = W.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        spread.withColumn("run", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(offsets, [*keys, "bucket"])
-        .select(*keys, value, "n", (F.col("offset") + F.col("run")).alias("below"))
-    )
+    return totals_before(counts, keys, value, {"below": "n"})
 
 
 _ROW_BITS = 33  # of monotonically_increasing_id, below the number of the partition
