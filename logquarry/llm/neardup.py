@@ -110,8 +110,8 @@ def _first_nodes(reps: DataFrame, depth: int, levels: list) -> DataFrame:
     coords: dict[int, tuple[int, ...]] = {}
     for level in levels[:depth]:
         coords |= {p: (*coords.get(parent, ()), c) for p, parent, c in level}
-    paths = [F.struct(F.lit(p).alias("path"), F.xxhash64(F.lit(p), *[F.col("sketch")[c] for c in coords[p]]).alias("key")) for p, _, _ in levels[depth - 1]]
-    return reps.select("rep", F.explode(F.array(*paths)).alias("x")).select("x.path", "x.key", "rep")
+    keys = [F.xxhash64(F.lit(p), *[F.col("sketch")[c] for c in coords[p]]) for p, _, _ in levels[depth - 1]]
+    return reps.select(F.explode(F.array(*keys)).alias("key"), "rep")
 
 
 def _deep_nodes(members: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
@@ -125,33 +125,47 @@ def _deep_nodes(members: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
     return (
         reps.join(members, "rep")
         .select("rep", "sketch", F.explode(paths).alias("x"))
-        .select("x.path", F.xxhash64("x.path", tokens).alias("key"), "rep")
+        .select(F.xxhash64("x.path", tokens).alias("key"), "rep")
     )
 
 
 def _sized(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Members of nodes that can still give a link, with the node's size and one of its members."""
-    if comps is not None:
-        nodes = nodes.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-    else:
-        nodes = nodes.withColumn("comp", F.col("rep"))
+    """Members of nodes that can still give a link: key, rep, n (the node's size) and pivot, one of its members.
+
+    A key holds its path. Without ``comps`` every document is a component of its own, and nodes
+    have a pivot each by their key; with them there is a column ``comp``, and the pivot is the least
+    member, which nodes that overlap mostly share.
+    """
+    if comps is None:
+        sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot")).where("n > 1")
+        return nodes.join(sizes, "key")
+    nodes = nodes.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
     sizes = (
-        nodes.groupBy("path", "key")
-        .agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "path")).alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        nodes.groupBy("key")
+        .agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         .where("n > 1 and c0 <> c1")
         .drop("c0", "c1")
     )
-    return nodes.join(sizes, ["path", "key"])
+    return nodes.join(sizes, "key")
+
+
+def _node_edges(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what nodes (rep, pivot) connect: one from each document to the least of its
+    pivots, and those between a document's pivots, which are few as nodes share them."""
+    least = nodes.groupBy("rep").agg(F.min("pivot").alias("a"), F.collect_set("pivot").alias("all"))
+    own = least.select("a", F.col("rep").alias("b"))
+    between = least.select("a", F.explode("all").alias("b")).distinct()
+    return own.union(between).where("a <> b").distinct()
 
 
 def _small_pairs(sized: DataFrame, limit: int) -> DataFrame:
-    """All pairs of different components in nodes of at most ``limit`` members."""
-    members = sized.where(F.col("n") <= limit).groupBy("path", "key").agg(F.collect_list(F.struct("rep", "comp")).alias("m"))
+    """All pairs in nodes of at most ``limit`` members."""
+    members = sized.where(F.col("n") <= limit).groupBy("key").agg(F.collect_list("rep").alias("m"))
     return (
         members.select(F.explode("m").alias("x"), "m")
         .select("x", F.explode("m").alias("y"))
-        .where("x.rep < y.rep and x.comp <> y.comp")
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+        .where("x < y")
+        .select(F.col("x").alias("a"), F.col("y").alias("b"))
     )
 
 
@@ -298,11 +312,11 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     large = sized.where(F.col("n") > s.node_limit)
     star = large.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
     comps = _confirmed(scratch, docs, reps, _small_pairs(sized, s.node_limit).union(star), s)
-    crowded = _sized(large.select("path", "key", "rep"), comps).select("rep").distinct()
+    crowded = _sized(large.select("key", "rep"), comps).select("rep").distinct()
     open_nodes = scratch.save(_sized(_deep_nodes(crowded, reps, s), comps))
     if not open_nodes.isEmpty():
         members = open_nodes.select("rep", "comp").distinct()
-        groups = components(scratch, open_nodes.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+        groups = components(scratch, _node_edges(open_nodes))
         grouped = scratch.save(members.join(groups.select(F.col("node").alias("rep"), F.col("root").alias("group")), "rep"))
         links = _block_links(grouped, docs, s)
         known = comps.select(F.col("root").alias("a"), F.col("node").alias("b"))

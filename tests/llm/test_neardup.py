@@ -104,3 +104,18 @@ def test_components(spark):
     got = dict(components(Scratch(spark), spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 100}
     assert components(Scratch(spark), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_node_edges_connect_what_nodes_connect(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), rng.randrange(12) * 3) for _ in range(60)]
+    got = [(r["a"], r["b"]) for r in N._node_edges(spark.createDataFrame(rows, "rep long, pivot long")).collect()]
+
+    def parts(edges):
+        root = {x: x for r in rows for x in r}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for a, b in edges:
+            root[find(a)] = find(b)
+        return {frozenset(y for y in root if find(y) == find(x)) for x in root}
+
+    assert parts(got) == parts(rows) and len(got) == len(set(got))
