@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import lzma
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
 from logquarry.functions.arrays import explode_rows
+from logquarry.session import ensure_checkpoint_dir
 
 
 def line_profile(lines: DataFrame, keys: Sequence[str] = (), text: str = "line") -> DataFrame:
@@ -96,48 +94,28 @@ def space_savings(original: Column, encoded: Column) -> Column:
     return 1 - encoded / original
 
 
-CODECS = {
-    "gzip": lambda: gzip_size,
-    "bzip2": lambda: bzip2_size,
-    "xz": lambda: xz_size,
-}
-
-
-def gzip_size(data: bytes) -> int:
-    return len(gzip.compress(data, mtime=0))
-
-
-def bzip2_size(data: bytes) -> int:
-    return len(bz2.compress(data))
-
-
-def xz_size(data: bytes) -> int:
-    return len(lzma.compress(data))
-
-
-def codec_sizes(
-    lines: DataFrame, order: str, codecs: Sequence[str] = ("gzip", "bzip2", "xz"), text: str = "line"
-) -> DataFrame:
-    """Bytes of every chunk under general codecs; a chunk is a bounded block of lines."""
-    sizes = [(name, CODECS[name]()) for name in codecs]
-
-    def measure(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = pd.concat(rows)
-        parts = parts.sort_values(order)
-        data = ("\n".join(parts[text]) + "\n").encode()
-        yield pd.DataFrame(
-            [(key[0], name, len(parts), len(data), size(data)) for name, size in sizes],
-            columns=["chunk_id", "codec", "n_lines", "original_bytes", "encoded_bytes"],
-        )
-
-    return (
-        lines.select("chunk_id", order, text)
-        .groupBy("chunk_id")
-        .applyInPandas(
-            measure,
-            "chunk_id long, codec string, n_lines long, original_bytes long, encoded_bytes long",
-        )
-    )
+CODECS = ("none", "snappy", "gzip", "zstd")
+
+
+def codec_sizes(df: DataFrame, order: Sequence[str], codecs: Sequence[str] = CODECS, text: str = "line") -> DataFrame:
+    """``(codec, n_rows, original_bytes, encoded_bytes)``: bytes of the table as Spark writes it under its own codecs.
+
+    Rows are dealt by ranges of ``order`` and sorted, as a table for keeps would be, and written to the
+    shared folder once a codec; sizes are those of the files. A line counts one byte for its end.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/codecs-{uuid.uuid4().hex}"
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    raw = df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.octet_length(text) + 1), F.lit(0)).cast("bigint").alias("original_bytes"))
+    out = None
+    for codec in codecs:
+        sorted_rows.write.option("compression", codec).parquet(f"{folder}/{codec}")
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{folder}/{codec}")
+        # only the files' lengths are read
+        size = files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("encoded_bytes"))
+        row = raw.select(F.lit(codec).alias("codec"), "*", size.scalar().alias("encoded_bytes"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 def codec_report(sizes: DataFrame) -> DataFrame:

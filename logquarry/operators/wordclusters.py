@@ -231,11 +231,12 @@ def word_weights(cands: DataFrame, deps: DataFrame, function: int = 1) -> DataFr
         raise ValueError(function)
     unique = function in (2, 4)
     pool = F.array_distinct("words") if unique else F.col("words")
+    distinct = F.array_distinct("words")
+    # a candidate meets the rows of its own pairs only; those of one pair may be split between tasks
     pairs = (
-        cands.select("words", F.explode(F.array_distinct("words")).alias("w2"))
-        .join(deps, "w2")
-        .select("words", "w1", "w2", "dep")
-        .filter(F.array_contains("words", F.col("w1")))
+        cands.select("words", F.explode(distinct).alias("w1"), distinct.alias("others"))
+        .select("words", "w1", F.explode("others").alias("w2"))
+        .join(deps, ["w1", "w2"])
     )
     if function in (3, 4):
         back = deps.select(F.col("w1").alias("w2"), F.col("w2").alias("w1"), F.col("dep").alias("back"))

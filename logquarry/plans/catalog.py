@@ -3,6 +3,7 @@
 from logquarry.plans import (  # noqa: F401
     corpus,
     encoding,
+    files,
     mining,
     relations,
     sequences,

@@ -12,6 +12,7 @@ from logquarry.operators import templates as tp
 from logquarry.operators import wordclusters as wc
 from logquarry.plans import inputs as inp
 from logquarry.plans.registry import query, with_
+from logquarry.session import cut_lineage
 
 # --- scores: the generic parser taken as truth, the tagger as prediction
 
@@ -321,7 +322,8 @@ def _per_line(spark, sf):
 
 
 def _cands(spark, sf):
-    return wc.candidates(_per_line(spark, sf))
+    # written once: dependencies and weights both read it
+    return cut_lineage(wc.candidates(_per_line(spark, sf)))
 
 
 def _spans():

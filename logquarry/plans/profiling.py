@@ -263,4 +263,4 @@ def split_parameters(spark, sf):
 
 @query("codec_sizes")
 def codec_sizes(spark, sf):
-    return pf.codec_report(pf.codec_sizes(inp.event_lines(spark, sf), "line_no"))
+    return pf.codec_report(pf.codec_sizes(inp.event_lines(spark, sf), ["chunk_id", "line_no"]))

@@ -229,14 +229,28 @@ def _headers(spark, sf):
     )
 
 
-@query(
-    "header_formats",
-    """WITH u AS (SELECT length(CAST(user_id AS VARCHAR)) AS w, count(*) AS n FROM events GROUP BY 1),
-m AS (SELECT max(n) >= 0.95 * sum(n) AS fixed, arg_max(w, n) AS w FROM u)
-SELECT 'date' AS col, '%d-%d-%d' AS format, 2::BIGINT AS n_strings, 3::BIGINT AS n_numbers, '4,2,2' AS widths
-UNION ALL SELECT 'time', '%d:%d:%d.%d', 3, 4, '2,2,2,3' UNION ALL SELECT 'level', '%s', 1, 0, '-1'
-UNION ALL SELECT 'user', 'u%d', 1, 1, CASE WHEN fixed THEN CAST(w AS VARCHAR) ELSE '-1' END FROM m""",
-)
+HEADER_FORMATS = """WITH h AS (
+  SELECT 'date' AS col, strftime(ts, '%Y-%m-%d') AS v FROM events UNION ALL SELECT 'time', strftime(ts, '%H:%M:%S.%g') FROM events
+  UNION ALL SELECT 'level', upper(event_type) FROM events UNION ALL SELECT 'user', 'u' || user_id FROM events),
+p AS (SELECT col, count(*) AS n, regexp_extract_all(v, '[0-9]+|[^0-9]+') AS x FROM h GROUP BY col, v),
+l AS (SELECT col, len(x) AS k, sum(n) AS kn FROM p GROUP BY col, len(x)),
+s AS (SELECT col, list(k ORDER BY kn DESC, k)[1] AS mode, max(kn) AS mode_n, sum(kn) AS total FROM l GROUP BY col),
+e AS (SELECT p.col, n, unnest(x[1:mode]) AS part, generate_subscripts(x[1:mode], 1) AS pos FROM p JOIN s ON p.col = s.col),
+bp AS (SELECT col, pos, part, sum(n) AS pn FROM e GROUP BY col, pos, part),
+pv AS (SELECT col, pos, list(part ORDER BY pn DESC, part DESC)[1] AS piv, max(pn) AS piv_n, sum(pn) AS pos_n FROM bp GROUP BY col, pos),
+bw AS (SELECT col, pos, length(part) AS w, sum(pn) AS wn FROM bp GROUP BY col, pos, length(part)),
+wd AS (SELECT col, pos, list(w ORDER BY wn DESC, w DESC)[1] AS width, max(wn) AS width_n FROM bw GROUP BY col, pos),
+j AS (SELECT pv.col, pv.pos, regexp_full_match(piv, '[0-9]+') AS num, piv, piv_n >= 0.95 * pos_n AS agreed,
+  CASE WHEN width_n >= 0.95 * pos_n THEN width ELSE -1 END AS width FROM pv JOIN wd ON pv.col = wd.col AND pv.pos = wd.pos),
+g AS (SELECT col, string_agg(CASE WHEN num THEN '%d' ELSE piv END, '' ORDER BY pos) AS format, bool_and(num OR agreed) AS stable,
+  count(*) FILTER (NOT num) AS texts, count(*) FILTER (num) AS numbers, bool_or(num) FILTER (pos = 1) AS starts,
+  string_agg(CASE WHEN num THEN CAST(width AS VARCHAR) END, ',' ORDER BY pos) AS widths FROM j GROUP BY col),
+r AS (SELECT g.*, stable AND mode_n >= 0.95 * total AND (mode > 1 OR starts) AS regular FROM g JOIN s ON g.col = s.col)
+SELECT col, CASE WHEN regular THEN format ELSE '%s' END AS format, CASE WHEN regular THEN texts ELSE 1 END AS n_strings,
+  CASE WHEN regular THEN numbers ELSE 0 END AS n_numbers, CASE WHEN regular THEN widths ELSE '-1' END AS widths FROM r"""
+
+
+@query("header_formats", HEADER_FORMATS)
 def header_formats(spark, sf):
     f = hd.header_formats(_headers(spark, sf), ["date", "time", "level", "user"])
     return f.withColumn("widths", F.array_join(F.transform("widths", lambda w: w.cast("string")), ","))

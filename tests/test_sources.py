@@ -95,10 +95,12 @@ def test_line_difference_of_uneven_files(lines):
 
 
 def test_codec_sizes(lines):
-    df = lines(["same line"] * 200)
-    got = {r["codec"]: r for r in pf.codec_report(pf.codec_sizes(df, "line_no")).collect()}
-    assert set(got) == {"gzip", "bzip2", "xz"}
-    assert all(r["compression_ratio"] > 5 and 0 < r["space_savings"] < 1 for r in got.values())
+    df = lines([f"line {i % 50} with the same words {i * i % 997}" for i in range(20_000)])
+    got = {r["codec"]: r for r in pf.codec_report(pf.codec_sizes(df, ["chunk_id", "line_no"])).collect()}
+    assert set(got) == {"none", "snappy", "gzip", "zstd"}
+    assert {r["original_bytes"] for r in got.values()} == {df.selectExpr("sum(octet_length(line) + 1)").first()[0]}
+    assert got["zstd"]["encoded_bytes"] < got["none"]["encoded_bytes"] < got["none"]["original_bytes"]
+    assert all(r["compression_ratio"] > 1 and 0 < r["space_savings"] < 1 for r in got.values())
 
 
 def test_streams(spark, tmp_path):
