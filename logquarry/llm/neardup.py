@@ -130,15 +130,14 @@ def _deep_nodes(members: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
 
 
 def _sized(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """Members of nodes that can still give a link: key, rep, n (the node's size) and pivot, one of its members.
+    """Members of nodes that can still give a link: key, rep and n, the node's size. A key holds its path.
 
-    A key holds its path. Without ``comps`` every document is a component of its own, and nodes
-    have a pivot each by their key; with them there is a column ``comp``, and the pivot is the least
-    member, which nodes that overlap mostly share.
+    Without ``comps`` every document is a component of its own; with them there are columns ``comp``, and
+    ``pivot``, the least member, which nodes that overlap mostly share.
     """
     if comps is None:
-        sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot")).where("n > 1")
-        return nodes.join(sizes, "key")
+        # most nodes have one member: what is moved for them is a key and a count
+        return nodes.join(nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     nodes = nodes.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
     sizes = (
         nodes.groupBy("key")
@@ -310,7 +309,9 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     first = s.depths[0]
     sized = scratch.save(_sized(_first_nodes(reps, first, levels), None))
     large = sized.where(F.col("n") > s.node_limit)
-    star = large.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+    # a member of each large node, another one in each
+    pivots = large.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot"))
+    star = large.join(pivots, "key").where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
     comps = _confirmed(scratch, docs, reps, _small_pairs(sized, s.node_limit).union(star), s)
     crowded = _sized(large.select("key", "rep"), comps).select("rep").distinct()
     open_nodes = scratch.save(_sized(_deep_nodes(crowded, reps, s), comps))
