@@ -269,6 +269,23 @@ def encode(
     )
 
 
+def encoded_sizes(encoded: Encoded) -> DataFrame:
+    """``(chunk_id, part, bytes)``: what the parts of a chunk take, numbers and ids in variable-length form
+    and texts with a byte for their end."""
+    end = lambda c: F.octet_length(c) + 1
+    parts = {
+        "values": (encoded.tags, F.col("id_bytes")),
+        "dictionary": (encoded.dictionary, end("value")),
+        "templates": (encoded.templates, end("template")),
+        "line_map": (encoded.line_map, tk.varint_size(F.col("template_id"))),
+    }
+    out = None
+    for name, (df, size) in parts.items():
+        rows = df.groupBy("chunk_id").agg(F.lit(name).alias("part"), F.sum(size).cast("bigint").alias("bytes"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def delta(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], out: str = "delta") -> DataFrame:
     """First value kept, then differences to the row before."""
     w = W.partitionBy(*keys).orderBy(*order)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
 from logquarry.operators import encode as en
+from logquarry.operators import profile as pf
 from logquarry.operators import restore as rs
 from logquarry.operators import tagging as tg
 from logquarry.plans import inputs as inp
@@ -251,3 +252,34 @@ def ipv4_round_trip(spark, sf):
     )
     digits = tk.ipv4_number(address)
     return inp.table(spark, sf, "supplier").select("s_suppkey", tk.ipv4_text(digits).alias("address"), digits.alias("digits"))
+
+
+@query(
+    "size_report",
+    with_(
+        *EVENT_VALUES,
+        """f AS (SELECT v.*, storage_type, min(line_no * 1000 + var_no) OVER (PARTITION BY v.chunk_id, v.tag, stored) AS first_at
+  FROM vals v JOIN kinds k ON v.chunk_id = k.chunk_id AND v.tag = k.tag)""",
+        """e AS (SELECT chunk_id, CASE WHEN storage_type = 'MAPPING' THEN dense_rank() OVER (PARTITION BY chunk_id, tag ORDER BY first_at)
+  WHEN storage_type = 'NUMERIC_DELTA' THEN TRY_CAST(stored AS BIGINT) - coalesce(lag(TRY_CAST(stored AS BIGINT)) OVER (PARTITION BY chunk_id, tag ORDER BY line_no, var_no), 0)
+  ELSE TRY_CAST(stored AS BIGINT) END AS x FROM f)""",
+        "t AS (SELECT chunk_id, line_no, string_agg(CASE WHEN tag = '' THEN text ELSE tag END, '' ORDER BY pos) AS template FROM pieces GROUP BY chunk_id, line_no)",
+        "tf AS (SELECT chunk_id, line_no, template, min(line_no) OVER (PARTITION BY chunk_id, template) AS first FROM t)",
+        "ti AS (SELECT chunk_id, dense_rank() OVER (PARTITION BY chunk_id ORDER BY first) AS x FROM tf)",
+        f"""b AS (SELECT chunk_id, {VARINT.format('x')} AS s FROM e UNION ALL SELECT chunk_id, {VARINT.format('x')} FROM ti
+  UNION ALL SELECT chunk_id, strlen(stored) + 1 FROM (SELECT DISTINCT chunk_id, tag, stored FROM f WHERE storage_type = 'MAPPING')
+  UNION ALL SELECT chunk_id, strlen(template) + 1 FROM (SELECT DISTINCT chunk_id, template FROM t))""",
+        "en AS (SELECT chunk_id, CAST(sum(s) AS BIGINT) AS encoded_bytes FROM b GROUP BY chunk_id)",
+        "og AS (SELECT chunk_id, CAST(sum(strlen(line) + 1) AS BIGINT) AS original_bytes FROM event_lines GROUP BY chunk_id)",
+        select="""SELECT og.chunk_id, original_bytes, encoded_bytes, round(original_bytes / encoded_bytes, 6) AS ratio,
+  round(original_bytes / 1048576 / 2.0, 6) AS mb_per_second FROM og JOIN en ON og.chunk_id = en.chunk_id""",
+    ),
+)
+def size_report(spark, sf):
+    """Bytes of lines and of their encoded parts, for runs of two seconds."""
+    encoded = en.encoded_sizes(en.encode(tagged_events(spark, sf)))
+    none = F.lit(0).cast("bigint")
+    lines = inp.event_lines(spark, sf).select("chunk_id", (F.octet_length("line") + 1).cast("bigint").alias("original_bytes"), none.alias("encoded_bytes"))
+    parts = encoded.select("chunk_id", none.alias("original_bytes"), F.col("bytes").alias("encoded_bytes"))
+    r = pf.run_summary(lines.union(parts), ["chunk_id"], F.lit(2.0))
+    return r.withColumn("ratio", F.round("ratio", 6)).withColumn("mb_per_second", F.round("mb_per_second", 6))

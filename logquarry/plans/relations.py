@@ -355,22 +355,6 @@ def average_row(spark, sf):
     return a.select("flag", F.round("qty", 6).alias("qty"), F.round("tax", 6).alias("tax"))
 
 
-@query(
-    "size_report",
-    with_(
-        inp.DOC_LINES,
-        select="""SELECT chunk_id, CAST(sum(strlen(line) + 1) AS BIGINT) AS original_bytes, CAST(sum(length(line)) AS BIGINT) AS encoded_bytes,
-  round(sum(strlen(line) + 1) / sum(length(line)), 6) AS ratio, round(sum(strlen(line) + 1) / 1048576 / 2.0, 6) AS mb_per_second FROM doc_lines GROUP BY chunk_id""",
-    ),
-)
-def size_report(spark, sf):
-    sizes = inp.doc_lines(spark, sf).select(
-        "chunk_id", (F.octet_length("line") + 1).alias("original_bytes"), F.length("line").alias("encoded_bytes")
-    )
-    r = pf.run_summary(sizes, ["chunk_id"], F.lit(2.0))
-    return r.withColumn("ratio", F.round("ratio", 6)).withColumn("mb_per_second", F.round("mb_per_second", 6))
-
-
 @query(
     "speed_up",
     """WITH r AS (SELECT o_orderpriority AS job, o_custkey % 5 + 1 AS threads, avg(o_totalprice) AS seconds FROM orders GROUP BY 1, 2),
