@@ -99,8 +99,9 @@ def test_codec_sizes(lines):
     got = {r["codec"]: r for r in pf.codec_report(pf.codec_sizes(df, ["chunk_id", "line_no"])).collect()}
     assert set(got) == {"none", "snappy", "gzip", "zstd"}
     assert {r["original_bytes"] for r in got.values()} == {df.selectExpr("sum(octet_length(line) + 1)").first()[0]}
-    assert got["zstd"]["encoded_bytes"] < got["none"]["encoded_bytes"] < got["none"]["original_bytes"]
-    assert all(r["compression_ratio"] > 1 and 0 < r["space_savings"] < 1 for r in got.values())
+    # a table without codec holds the length of each text besides
+    assert got["zstd"]["encoded_bytes"] < got["snappy"]["encoded_bytes"] < got["none"]["encoded_bytes"]
+    assert got["zstd"]["compression_ratio"] > 2 and 0.5 < got["zstd"]["space_savings"] < 1
 
 
 def test_streams(spark, tmp_path):
