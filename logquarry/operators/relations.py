@@ -15,6 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from logquarry.session import task_count
+
 # Characters that may cut a value into fields.
 FIELD_DELIMITERS = "-#><_:;,[]\\/.()"
 
@@ -122,40 +124,63 @@ def _difference(e: Sequence[Form]) -> Column:
     return value
 
 
+_TASK_CELLS = 4_000_000  # values of expressions that one task makes
+
+
+def _value_type(df: DataFrame, catalog: Sequence[Form]) -> str:
+    """``bigint`` where no expression of the columns can leave its range, else a decimal."""
+    sources = sorted({f.source for f in catalog})
+    if any(df.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long") for c in sources):
+        return "decimal(38,6)"
+    ends = df.agg(*[f(c) for c in sources for f in (F.min, F.max)]).first()
+    # a step is a difference of two values, and an expression has up to three forms
+    return "bigint" if all(abs(e) < (1 << 62) // 6 for e in ends if e is not None) else "decimal(38,6)"
+
+
 def relation_scores(df: DataFrame, catalog: Sequence[Form], order: str, triples: bool = True) -> DataFrame:
     """``(expr, score)``: entropy in nats times the number of rows, for every expression.
 
     A row holds its forms as one array, and expressions are made of places in it inside
-    the row, so the plan has the same size for any number of columns. Value counts are
+    the row, so the plan has the same size for any number of columns. Rows are dealt by chunk
+    to as many tasks as their expressions ask for. Value counts are
     aggregated before the sum, so a value that fills most rows is one row.
     ``n*H = n ln n - sum(c ln c)``.
     """
     n_forms = len(catalog)
     sources = sorted({f.source for f in catalog})
     ids = sorted({f.by for f in catalog if f.by is not None})
+    triples = triples and len(sources) > 2
+    per_row = len(expressions(catalog, triples))
+    kind = _value_type(df, catalog)
+    needed = df.select("chunk_id", order, *[c for c in dict.fromkeys([*sources, *ids]) if c != order])
+    dealt = needed.repartition(task_count(df, max(1, _TASK_CELLS // per_row)), "chunk_id")
     source = F.array(*[F.lit(sources.index(f.source)) for f in catalog])
     by = F.array(*[F.lit(-1 if f.by is None else ids.index(f.by)) for f in catalog])
-    wide = with_forms(df, catalog, order).select(F.array(*[F.col(f.name).cast("decimal(38,6)") for f in catalog]).alias("v"))
+    wide = with_forms(dealt, catalog, order).select(F.array(*[F.col(f.name).cast(kind) for f in catalog]).alias("v"))
     places = F.sequence(F.lit(0), F.lit(n_forms - 1))
+    below = lambda c: F.explode(F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)))
+    at = lambda x, c: x[F.col(c)]
     one = wide.select("v", F.explode(places).alias("a"))
-    two = one.select("v", "a", F.explode(places).alias("b")).where(source[F.col("a")] != source[F.col("b")])
-    by_a, by_b = by[F.col("a")], by[F.col("b")]
-    none = F.lit(None).cast("int")
-    value = lambda *at: sum((-F.col("v")[F.col(c)] for c in at[1:]), F.col("v")[F.col(at[0])])
-    cells = one.select("a", none.alias("b"), none.alias("c"), value("a").alias("v")).union(
-        two.where("b < a").where((by_a < 0) | (by_b < 0) | (by_a == by_b)).select("a", "b", none.alias("c"), value("a", "b").alias("v"))
-    )
+    none = F.lit(-1)
+    number = lambda a, b, c: ((F.col(a).cast("bigint") * (n_forms + 1) + (b + 1)) * (n_forms + 1) + (c + 1)).alias("e")
+    value = lambda *of: sum((-at(F.col("v"), c) for c in of[1:]), at(F.col("v"), of[0])).alias("v")
+    two = one.select("v", "a", below("a").alias("b")).where(at(source, "a") != at(source, "b"))
+    two = two.where((at(by, "a") < 0) | (at(by, "b") < 0) | (at(by, "a") == at(by, "b")))
+    cells = one.select(number("a", none, none), value("a")).union(two.select(number("a", F.col("b"), none), value("a", "b")))
     if triples:
-        three = two.where(by_a == by_b).select("v", "a", "b", F.explode(places).alias("c")).where("c < b")
-        fitting = (source[F.col("c")] != source[F.col("a")]) & (source[F.col("c")] != source[F.col("b")]) & (by[F.col("c")] == by[F.col("a")])
-        cells = cells.union(three.where(fitting).select("a", "b", "c", value("a", "b", "c").alias("v")))
+        alike = lambda x, y: (at(source, x) != at(source, y)) & (at(by, x) == at(by, y))
+        first = one.select("v", "a", F.explode(places).alias("b")).where(alike("a", "b"))
+        three = first.select("v", "a", "b", below("b").alias("c")).where(alike("a", "c") & alike("b", "c"))
+        cells = cells.union(three.select(number("a", F.col("b"), F.col("c")), value("a", "b", "c")))
     names = F.array(*[F.lit(f.name) for f in catalog])
-    expr = F.concat_ws("-", *[F.get(names, F.col(c)) for c in "abc"])
-    counts = cells.groupBy("a", "b", "c", "v").agg(F.count(F.lit(1)).alias("n_rows")).select(expr.alias("expr"), F.col("n_rows").alias("c"))
+    counts = cells.groupBy("e", "v").agg(F.count(F.lit(1)).alias("c"))
     n = F.sum("c")
-    return counts.groupBy("expr").agg(
-        (n * F.log(n) - F.sum(F.col("c") * F.log(F.col("c")))).alias("score")
-    )
+    scores = counts.groupBy("e").agg((n * F.log(n) - F.sum(F.col("c") * F.log(F.col("c")))).alias("score"))
+    # one row for each expression
+    base = n_forms + 1
+    of = [F.floor(F.col("e") / base**2), F.floor(F.col("e") / base) % base - 1, F.col("e") % base - 1]
+    expr = F.concat_ws("-", *[F.when(k >= 0, F.get(names, k.cast("int"))) for k in of])
+    return scores.select(expr.alias("expr"), "score")
 
 
 def choose_rules(scores: DataFrame, catalog: Sequence[Form], triples: bool = True) -> list[tuple[Form, ...]]:

@@ -53,3 +53,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def task_count(df: DataFrame, rows: int) -> int:
+    """How many tasks hold about ``rows`` rows each; as many as there are cores at least. Runs ``df`` to count it.
+
+    Given to ``repartition`` as a number, it is not lowered again when small shuffles are put together,
+    which only looks at bytes before the rows are multiplied or sorted.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
