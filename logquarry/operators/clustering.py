@@ -15,10 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logquarry.operators import sequences as sq
-from logquarry.session import cut_lineage
+from logquarry.session import cut_lineage, task_count
 
 Distance = Callable[[Column, Column], Column]
 
+TASK_ROWS = 100_000  # rows that one task compares with the centres
+
 # distances of two items, which are structs with the named fields
 BY_NAME: dict[str, Distance] = {
     "edit": lambda a, b: sq.normalized_edit_distance(a["text"], b["text"]),
@@ -92,7 +94,7 @@ def iterative_clusters(
     whose distance is null stay left over.
     """
     measure = BY_NAME[distance] if isinstance(distance, str) else distance
-    rest = cut_lineage(df.select(*keys, item.alias("item")))
+    rest = cut_lineage(df.select(*keys, item.alias("item")).repartition(task_count(df, TASK_ROWS)))
     done: DataFrame | None = None
     known, empty, round_no = 0, 0, 0
     while empty < max_empty_rounds:

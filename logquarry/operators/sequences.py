@@ -353,22 +353,35 @@ def match_patterns(seqs: DataFrame, patterns: Sequence[Sequence[Sequence[str]]])
 # --- distances between two word arrays or vectors
 
 
+def _gram(x: Column, y: Column) -> Column:
+    """Two texts as one that no other two give; either may be null."""
+    odd = F.when(x.isNull() & y.isNull(), "nn").when(x.isNull(), F.concat(F.lit("ny"), y)).otherwise(F.concat(F.lit("nx"), x))
+    return F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x, y), odd)
+
+
 def ngrams(words: Column, n: int) -> Column:
-    """Distinct n-grams, each an array."""
-    empty = F.expr("cast(array() as array<array<string>>)")
-    return F.when(F.size(words) < n, empty).otherwise(
-        F.array_distinct(
-            F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.slice(words, i, F.lit(n)))
-        )
-    )
+    """Distinct n-grams of an array of texts: a word alone, or the lengths and words of a run as one text.
+
+    Texts are compared by hash; arrays of words would be compared pair by pair.
+    """
+    out = words
+    for k in range(1, n):
+        # the shorter of the two runs to its end, so nothing is looked up once for every n-gram
+        shifted = F.slice(words, F.lit(k + 1), F.greatest(F.size(words) - k, F.lit(0)))
+        out = F.zip_with(F.slice(out, F.lit(1), F.greatest(F.size(words) - k, F.lit(0))), shifted, _gram)
+    return F.when(F.size(words) < n, F.slice(words, F.lit(1), F.lit(0))).otherwise(F.array_distinct(out))
 
 
 def ngram_distance(a: Column, b: Column, n: int) -> Column:
     """Symmetric difference over the sum of sizes; null if there is no n-gram at all."""
-    ga, gb = ngrams(a, n), ngrams(b, n)
-    both = F.size(F.array_intersect(ga, gb))
-    total = F.size(ga) + F.size(gb)
-    return F.when(total > 0, (total - 2 * both) / total)
+
+    def share(g: Column) -> Column:
+        both = F.size(F.array_intersect(g["a"], g["b"]))
+        total = F.size(g["a"]) + F.size(g["b"])
+        return F.when(total > 0, (total - 2 * both) / total)
+
+    # the pair as the one element of an array, so that its n-grams are made once
+    return F.get(F.transform(F.array(F.struct(ngrams(a, n).alias("a"), ngrams(b, n).alias("b"))), share), F.lit(0))
 
 
 def ngram_similarity(a: Column, b: Column, n: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from logquarry.functions.arrays import posexplode_rows
 from logquarry.operators import clustering as cg
 from logquarry.operators import sequences as sq
 from logquarry.plans import inputs as inp
@@ -160,7 +161,7 @@ def line_pairs(spark, sf):
     pairs = F.arrays_zip(
         F.slice("l", F.lit(1), F.size("l") - 1).alias("a"), F.slice("l", F.lit(2), F.size("l") - 1).alias("b")
     )
-    return d.filter(F.size("l") > 1).select("doc_id", F.posexplode(pairs).alias("pos", "p")).select(
+    return posexplode_rows(d.filter(F.size("l") > 1), ["doc_id"], pairs, "pos", "p").select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "p.a", "p.b"
     )
 

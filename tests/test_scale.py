@@ -3,7 +3,12 @@
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from logquarry.operators import clustering as cg
+from logquarry.operators import encode as en
 from logquarry.operators import relations as rl
+from logquarry.operators import sequences as sq
 
 
 def plan(df) -> str:
@@ -28,3 +33,26 @@ def test_relation_scores_of_long_numbers(spark):
     got = {r["expr"]: r["score"] for r in rl.relation_scores(df, [rl.Form("a"), rl.Form("b")], "row_no").collect()}
     for name, values in {"a": big, "b-a": [-2 * v + (k % 2) for k, v in enumerate(big)]}.items():
         assert abs(got[name] - (12 * math.log(12) - sum(c * math.log(c) for c in Counter(values).values()))) < 1e-9
+
+
+def test_ngrams_are_texts_and_stay_apart(spark):
+    pairs = [(["a", "b", "a", "b"], ["b", "a"]), (["1:a", "b"], ["1", ":ab"]), ([None, "x", None, None], ["x", None, ""]), (["", "", ""], [None, None]), ([], ["a"]), ([], [])]
+    pairs += [(["ny", "x"], [None, "x"]), (["x", None], ["nx", "x"])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    assert df.select(sq.ngrams(F.col("a"), 2).alias("g")).schema["g"].dataType.simpleString() == "array<string>"
+    for n in (1, 2, 3):
+        got = {r["i"]: r["d"] for r in df.select("i", sq.ngram_distance(F.col("a"), F.col("b"), n).alias("d")).collect()}
+        for i, (a, b) in enumerate(pairs):
+            ga, gb = ({tuple(x[k : k + n]) for k in range(len(x) - n + 1)} for x in (a, b))
+            total = len(ga) + len(gb)
+            assert got[i] == ((total - 2 * len(ga & gb)) / total if total else None)
+
+
+def test_rows_to_cluster_are_dealt_by_rows(spark, monkeypatch):
+    parts = []
+    keep = cg.cut_lineage
+    monkeypatch.setattr(cg, "TASK_ROWS", 10)
+    monkeypatch.setattr(cg, "cut_lineage", lambda df: parts.append(df.rdd.getNumPartitions()) or keep(df))
+    df = spark.range(300).selectExpr("id", "concat('word ', id % 3) as text")
+    got = cg.iterative_clusters(df, ["id"], F.struct("text"), "edit", 0.1, sample_size=60)
+    assert got.count() == 300 and parts[0] == 30
