@@ -16,23 +16,26 @@ from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
 from logquarry.operators import relations as rel
+from logquarry.session import joined, task_count
 
 TEXT, DELTA, DICT, DICT_DELTA = "text", "delta", "dict", "dict_delta"
 COLUMN = ["chunk_id", "col"]
 FIELD = [*COLUMN, "field"]
 _NUMBER = "^(0|-?[1-9][0-9]{0,17})$"
 _DIGITS = "^[0-9]{1,18}$"
+TASK_VALUES = 100_000  # values of one task, with all their fields
 
 
 @dataclass(frozen=True)
 class Columns:
     """``patterns`` (chunk_id, col, pattern), ``fields`` (.., field, form, width), ``cells`` (.., seq, num, text)
-    and ``words`` (.., dict_id, word)."""
+    and ``words`` (.., dict_id, word), for work in ``tasks`` tasks."""
 
     patterns: DataFrame
     fields: DataFrame
     cells: DataFrame
     words: DataFrame
+    tasks: int
 
 
 def _entropy(value: Column, field: W, same: W) -> Column:
@@ -46,13 +49,14 @@ def _cheaper(before: Column, after: Column) -> Column:
     return F.round(before, 9) >= F.round(F.coalesce(after, F.lit(0.0)), 9)
 
 
-def field_forms(cells: DataFrame, share: float = 0.5) -> DataFrame:
+def field_forms(cells: DataFrame, share: float = 0.5, tasks: int | None = None) -> DataFrame:
     """Adds ``form``, ``width``, ``number``, ``step``, ``dict_id`` and ``id_step`` to cells (chunk_id, col, field, seq, text).
 
     Numbers are whole numbers as written without padding, or digits that all have one width. Steps
     are taken if their weighted entropy is no larger; a dictionary if distinct values are fewer than
-    ``share`` of all.
+    ``share`` of all. Cells are dealt by field to ``tasks`` tasks, or by their number.
     """
+    tasks = tasks or task_count(cells, TASK_VALUES)
     field = W.partitionBy(*FIELD)
     in_order = field.orderBy("seq")
     same = lambda c: W.partitionBy(*FIELD, c)
@@ -60,7 +64,7 @@ def field_forms(cells: DataFrame, share: float = 0.5) -> DataFrame:
         F.coalesce(F.col("text").rlike(_DIGITS), F.lit(False))
     ).over(field)
     plain = F.bool_and(F.coalesce(F.col("text").rlike(_NUMBER), F.lit(False))).over(field)
-    seen = cells.repartition(*FIELD).select(
+    seen = cells.repartition(tasks, *FIELD).select(
         "*",
         F.min("seq").over(same("text")).alias("first_at"),
         F.count(F.lit(1)).over(field).alias("n"),
@@ -98,11 +102,12 @@ def field_forms(cells: DataFrame, share: float = 0.5) -> DataFrame:
 
 def encode_columns(values: DataFrame, share: float = 0.5) -> Columns:
     """Encode ``values`` (chunk_id, col, seq, value); (chunk_id, col, seq) is unique and values are not null."""
+    tasks = task_count(values, TASK_VALUES)
     patterns = rel.column_patterns(values, "value", "seq", COLUMN)
-    cut = values.join(patterns, COLUMN).select(
+    cut = joined(values, patterns, COLUMN, tasks).select(
         *COLUMN, "seq", F.posexplode(rel.split_by_pattern(F.col("value"), F.col("pattern"))).alias("field", "text")
     )
-    judged = field_forms(cut.select(*FIELD, "seq", "text"), share)
+    judged = field_forms(cut.select(*FIELD, "seq", "text"), share, tasks)
     form = F.col("form")
     num = (
         F.when(form == DELTA, F.coalesce("step", "number"))
@@ -115,6 +120,7 @@ def encode_columns(values: DataFrame, share: float = 0.5) -> Columns:
         fields=judged.groupBy(*FIELD).agg(F.first("form").alias("form"), F.first("width").alias("width"), F.count(F.lit(1)).alias("n")),
         cells=judged.select(*FIELD, "seq", num.alias("num"), F.when(form == TEXT, F.col("text")).alias("text")),
         words=words,
+        tasks=tasks,
     )
 
 
@@ -123,15 +129,16 @@ def decode_columns(encoded: Columns) -> DataFrame:
     in_order = W.partitionBy(*FIELD).orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
     form = F.col("form")
     whole = F.when(form.isin(DELTA, DICT_DELTA), F.sum("num").over(in_order)).otherwise(F.col("num"))
-    cells = encoded.cells.join(encoded.fields.select(*FIELD, "form", "width"), FIELD).withColumn("whole", whole)
+    kinds = encoded.fields.select(*FIELD, "form", "width")
+    cells = joined(encoded.cells, kinds, FIELD, encoded.tasks).withColumn("whole", whole)
     padded = F.when(F.col("width").isNull(), F.col("whole").cast("string")).otherwise(tk.left_pad(F.col("whole"), F.col("width")))
+    ids = cells.withColumn("dict_id", F.when(form.isin(DICT, DICT_DELTA), F.col("whole")))
     found = (
-        cells.withColumn("dict_id", F.when(form.isin(DICT, DICT_DELTA), F.col("whole")))
-        .join(encoded.words, [*FIELD, "dict_id"], "left")
+        joined(ids, encoded.words, [*FIELD, "dict_id"], encoded.tasks, "left")
         .select(*FIELD, "seq", F.when(form == DELTA, padded).otherwise(F.coalesce("text", "word")).alias("piece"))
     )
     # a group holds the fields of one value
-    joined = found.groupBy(*COLUMN, "seq").agg(F.array_sort(F.collect_list(F.struct("field", "piece"))).alias("f"))
-    return joined.join(encoded.patterns, COLUMN).select(
+    whole_values = found.repartition(encoded.tasks, *COLUMN, "seq").groupBy(*COLUMN, "seq").agg(F.array_sort(F.collect_list(F.struct("field", "piece"))).alias("f"))
+    return joined(whole_values, encoded.patterns, COLUMN, encoded.tasks).select(
         *COLUMN, "seq", rel.join_by_pattern(F.col("f.piece"), F.col("pattern")).alias("value")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logquarry.functions import tokens as tk
 from logquarry.functions.arrays import posexplode_rows
 from logquarry.operators import tagging as tg
-from logquarry.session import cut_lineage
+from logquarry.session import cut_lineage, joined, task_count
 
 # Delimiters to choose from, and the groups stored without delta.
 DELIMITER_CANDIDATES = [",", " ", "|", ";", "[", "]", "(", ")", "_", "/"]
@@ -122,6 +122,7 @@ def mask_by_delimiters(line: Column, delimiters: list[str]) -> Column:
 
 WORD = "<*>"
 _MOST_DIGITS = 18  # of a number kept as one
+TASK_LINES = 25_000  # lines of one task, with all their values
 
 
 @dataclass(frozen=True)
@@ -177,8 +178,10 @@ def encode_numbers(lines: DataFrame, patterns: tg.Patterns = (), delimiters: Seq
         cut.select(
             "chunk_id", "line_no", blank.alias("statics"), F.col("p.tag").alias("tags"),
             F.filter("p", lambda x: x["tag"] != "").alias("values"),
-        ).repartition("chunk_id")
+        )
     )
+    # a written table does not keep its dealing
+    shaped = shaped.repartition(task_count(shaped, TASK_LINES), "chunk_id")
     by_form = W.partitionBy("chunk_id", "statics", "tags")
     first = shaped.select("*", F.min("line_no").over(by_form).alias("at"))
     numbered = first.withColumn("template_id", F.dense_rank().over(W.partitionBy("chunk_id").orderBy("at")).cast("bigint"))
@@ -211,17 +214,18 @@ def encode_numbers(lines: DataFrame, patterns: tg.Patterns = (), delimiters: Seq
 
 def decode_numbers(encoded: NumberLog) -> DataFrame:
     """``(chunk_id, line_no, line)``: each tag of a line takes the next value of its group."""
-    lines = encoded.line_map.join(encoded.templates, ["chunk_id", "template_id"])
+    tasks = task_count(encoded.line_map, TASK_LINES)
+    lines = joined(encoded.line_map, encoded.templates, ["chunk_id", "template_id"], tasks)
     tags = posexplode_rows(lines, ["chunk_id", "line_no"], F.col("tags"), "pos", "grp").where("grp <> ''")
     placed = W.partitionBy("chunk_id", "grp").orderBy("line_no", "pos")
-    places = tags.withColumn("rank", F.row_number().over(placed).cast("bigint"))
+    places = tags.repartition(tasks, "chunk_id", "grp").withColumn("rank", F.row_number().over(placed).cast("bigint"))
     in_order = W.partitionBy("chunk_id", "grp").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
     num = F.when(F.col("grp").isin(PLAIN_GROUPS), F.col("stored")).otherwise(F.sum("stored").over(in_order))
     no = lambda kind: F.lit(None).cast(kind)
     numbers = encoded.numbers.select("chunk_id", "grp", "rank", F.lit("mask").alias("kind"), F.col("mask_id").alias("id"), num.alias("num"))
     words = encoded.words.select("chunk_id", "grp", "rank", F.lit("word").alias("kind"), F.col("word_id").alias("id"), no("bigint").alias("num"))
     known = encoded.dictionary.select("chunk_id", "grp", "kind", "id", "text")
-    found = numbers.union(words).join(known, ["chunk_id", "grp", "kind", "id"])
+    found = joined(numbers.union(words), known, ["chunk_id", "grp", "kind", "id"], tasks)
     width = F.length(tk.digits(F.col("text")))
     digits = tk.left_pad(F.col("num"), width)
     # most masks are digits only
@@ -229,12 +233,13 @@ def decode_numbers(encoded: NumberLog) -> DataFrame:
     values = found.select("chunk_id", "grp", "rank", F.when(F.col("kind") == "mask", refilled).otherwise(F.col("text")).alias("value"))
     # a group holds the values of one line
     per_line = (
-        places.join(values, ["chunk_id", "grp", "rank"])
+        joined(places, values, ["chunk_id", "grp", "rank"], tasks)
+        .repartition(tasks, "chunk_id", "line_no")
         .groupBy("chunk_id", "line_no")
         .agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("v"))
     )
     whole = F.array_join(F.transform("statics", lambda s, i: F.coalesce(s, F.element_at("v", i))), "")
-    return lines.join(per_line, ["chunk_id", "line_no"], "left").select("chunk_id", "line_no", whole.alias("line"))
+    return joined(lines, per_line, ["chunk_id", "line_no"], tasks, "left").select("chunk_id", "line_no", whole.alias("line"))
 
 
 def number_template_text(statics: Column, tags: Column) -> Column:

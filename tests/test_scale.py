@@ -6,9 +6,13 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from logquarry.operators import clustering as cg
+from logquarry.operators import columns as cl
 from logquarry.operators import encode as en
+from logquarry.operators import numbers as nm
 from logquarry.operators import relations as rl
+from logquarry.operators import restore as rs
 from logquarry.operators import sequences as sq
+from logquarry.operators import tagging as tg
 
 
 def plan(df) -> str:
@@ -56,3 +60,22 @@ def test_rows_to_cluster_are_dealt_by_rows(spark, monkeypatch):
     df = spark.range(300).selectExpr("id", "concat('word ', id % 3) as text")
     got = cg.iterative_clusters(df, ["id"], F.struct("text"), "edit", 0.1, sample_size=60)
     assert got.count() == 300 and parts[0] == 30
+
+
+def test_lines_and_values_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(en, "TASK_LINES", 10)
+    monkeypatch.setattr(rs, "TASK_LINES", 10)
+    monkeypatch.setattr(nm, "TASK_LINES", 10)
+    monkeypatch.setattr(cl, "TASK_VALUES", 20)
+    lines = spark.range(200).selectExpr("id div 5 as chunk_id", "id as line_no", "concat('user ', id % 9, ' paid ', id * id, ' to x', id % 4) as line")
+    want = sorted(map(tuple, lines.collect()))
+    encoded = en.encode(tg.tag_lines(lines))
+    assert en.dealt(lines).rdd.getNumPartitions() == 20 and encoded.line_map.rdd.getNumPartitions() == 20
+    restored = rs.restore_lines(encoded)
+    assert ", 20)" in plan(restored) and sorted(map(tuple, restored.collect())) == want
+    numbers = nm.decode_numbers(nm.encode_numbers(lines))
+    assert ", 20)" in plan(numbers) and sorted(map(tuple, numbers.collect())) == want
+    values = lines.select("chunk_id", F.lit("c").alias("col"), F.col("line_no").alias("seq"), F.col("line").alias("value"))
+    columns = cl.encode_columns(values)
+    assert ", 10)" in plan(columns.cells)
+    assert sorted(map(tuple, cl.decode_columns(columns).collect())) == sorted(map(tuple, values.collect()))
