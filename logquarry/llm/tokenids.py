@@ -105,7 +105,19 @@ def chunks(text: str) -> tuple[str, list[str]]:
     return first, rest
 
 
-_MARKED = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+# signs that the tokenizer's pattern cuts only where letters, digits, marks and line ends meet
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ʯ", r"!-&(-/:-@\[-`{-~"
+_REGULAR = re.compile(rf"[{_LETTERS}0-9{_MARKS}]+(?:\n[{_LETTERS}0-9{_MARKS}]+)*")
+_PART = re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n")
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that byte-level merges have for each byte outside the visible ones, which stand for themselves."""
+    hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+    return {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_SIGNS = _byte_signs()
 
 
 class Encoder:
@@ -117,27 +129,40 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         self.remembered = remembered
-        self.known: dict[str, bytes] = {}
+        self.known = _Remembered(self._chunk)
+        self.parts = _Remembered(self._part)
 
     def _raw(self, parts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _part(self, part: str) -> bytes:
+        """Ids of what the tokenizer's pattern never cuts, by the library's merges alone."""
+        if part[1:].isascii() and part[0] == " ":
+            signs = "Ġ" + part[1:]
+        else:
+            signs = part.encode().decode("latin-1").translate(_SIGNS)
+        return array("I", [t.id for t in self.merge(signs)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk with its blank in front, part by part where it is regular."""
+        if not _REGULAR.fullmatch(chunk):
+            return self._raw([" " + chunk])[0]
+        first, *rest = _PART.findall(chunk)
+        if not rest:
+            return self._part(" " + first)
+        return self.known[first] + b"".join(map(self.parts.__getitem__, rest))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
         cut = [chunks(t) for t in texts]
         known = self.known
-        new = {p for _, rest in cut for p in rest if p not in known}
-        # letters and the marks behind them are never one token
-        parted = {p: m for p in new if (m := _MARKED.fullmatch(p))}
-        plain = [p for p in {m[1] for m in parted.values()} | (new - parted.keys()) if p not in known]
-        known.update(zip(plain, self._raw([" " + p for p in plain]), strict=True))
-        marks = list({m[2] for m in parted.values()})
-        of_marks = dict(zip(marks, self._raw(marks), strict=True))
-        known.update((p, known[m[1]] + of_marks[m[2]]) for p, m in parted.items())
         heads = self._raw([first for first, _ in cut])
         out = [head + b"".join(map(known.__getitem__, rest)) for head, (_, rest) in zip(heads, cut, strict=True)]
+        if len(self.parts) > self.remembered // 4:
+            self.parts.clear()
         if len(known) > self.remembered:
             # what was met first is mostly what is frequent
             for p in list(islice(reversed(known), len(known) - self.remembered // 2)):
@@ -145,6 +170,18 @@ class Encoder:
         return out
 
 
+class _Remembered(dict):
+    """Values of a function, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = made = self.make(key)
+        return made
+
+
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 

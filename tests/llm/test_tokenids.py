@@ -27,6 +27,27 @@ def test_chunks(text):
     assert first + "".join(" " + p for p in rest) == text
 
 
+@needs_file
+def test_regular_chunks_go_to_the_merges_part_by_part():
+    encoder = T.Encoder(PATH, 1000)
+    whole: list[str] = []
+    raw = encoder._raw
+    encoder._raw = lambda parts: (whole.extend(parts), raw(parts))[1]
+    texts = ["in the.\nErhaes was,*** 12a-b_c (x) <|endoftext|> Über.", "it's a ½ don't.\n\nB", ""]
+    found = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+    assert found == [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert sorted(whole) == ["", " don't.\n\nB", " ½", "in", "it's"]
+
+
+@needs_file
+def test_parts_are_what_the_pattern_cuts():
+    rng = random.Random(5)
+    encoder = T.Encoder(PATH, 2000)
+    texts = ["".join(rng.choices("aZsé ßÀʯɐ\n\t'.,;!?<|>_-0189½²Ⅷ日×÷\xa0\xad`~@[]\\^{}\"😀\x1c", k=rng.randint(0, 30))) for _ in range(5000)]
+    for raw, e in zip(encoder.encode(texts), encoder.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == e.ids
+
+
 @needs_file
 def test_chunks_encode_alike():
     rng = random.Random(4)
