@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import Scratch, arrow_batches
+from logquarry.llm.common import Scratch, arrow_batches, short_batches
 
 LONGEST_UNIT = 60  # boundaries of a unit are bits of one long
 _LAST_RANK = 2**19 - 1
@@ -278,6 +279,51 @@ def _frequent(docs: DataFrame, pieces: Pieces, s: Settings) -> list[tuple[str, l
     return [(r["unit"], list(r["ids"])) for r in encode_units(_dealt(top), pieces).collect()]
 
 
+def _pressed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, all first bytes before all second ones and so on, compressed."""
+    planes = np.ascontiguousarray(np.frombuffer(numbers, np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def _unpressed(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel()
+
+
+def _packed_units(batches, rows: int = 300_000):
+    """Rows (block, code, ids) as rows (block, body): codes, sizes and ids of many units of a block in one body."""
+    held: list[pa.RecordBatch] = []
+
+    def settle():
+        block, code = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (0, 1))
+        lists = pa.concat_arrays([b.column(2) for b in held])
+        held.clear()
+        order = pa.array(np.argsort(block, kind="stable"))
+        block, code, lists = block[order], code[order].astype(np.int32), lists.take(order)
+        sizes, values = np.diff(lists.offsets.to_numpy()).astype(np.int32), lists.flatten().to_numpy().astype(np.int32)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        numbers, starts = np.unique(block, return_index=True)
+        ends = [*starts[1:], len(block)]
+        bodies = [_pressed(np.concatenate([np.array([b - a], np.int32), code[a:b], sizes[a:b], values[first[a] : first[b]]])) for a, b in zip(starts, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(bodies, pa.binary())], names=["block", "body"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield settle()
+    if held:
+        yield settle()
+
+
+class _Codes(dict):
+    """Numbers of keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = code = len(self)
+        return code
+
+
 def _index_blocks(docs: DataFrame, known: list[str], pieces: Pieces, s: Settings) -> DataFrame:
     """Documents as codes of units, in blocks of bounded size.
 
@@ -291,43 +337,42 @@ def _index_blocks(docs: DataFrame, known: list[str], pieces: Pieces, s: Settings
 
     def index(batches):
         find = re.compile(cut).findall
-        base = {u: k for k, u in enumerate(shared.value)}
+        known = len(shared.value)
         number = TaskContext.get().partitionId() << 32
-        press = zstandard.ZstdCompressor(level=3)
-        codes: dict[str, int] = dict(base)
+        codes = _Codes(zip(shared.value, range(known), strict=True))
         ids: list[int] = []
         sizes: list[int] = []
-        parts: list[np.ndarray] = []
+        body = array("i")
         chars = 0
 
         def block():
-            body = np.concatenate(parts) if parts else np.empty(0, np.int32)
-            planes = np.ascontiguousarray(body.view(np.uint8).reshape(-1, 4).T).tobytes()
-            rare = list(codes)[len(base) :]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([None], pa.int32()), pa.array([None], pa.string()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([press.compress(planes)], pa.binary())],
+                [pa.array([number]), pa.array([None], pa.int32()), pa.array([None], pa.string()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([_pressed(body)], pa.binary())],
                 schema=schema,
             )
-            for at in range(0, len(rare), 50_000):
-                n = len(rare[at : at + 50_000])
+            for at in range(known, len(codes), 20_000):
+                # the last codes first, and each unit is forgotten with its row
+                some = [codes.popitem()[0] for _ in range(min(20_000, len(codes) - known))][::-1]
+                n, first = len(some), len(codes)
                 none = lambda kind, n=n: pa.nulls(n, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, number)), pa.array(np.arange(at, at + n, dtype=np.int32) + len(base)), pa.array(rare[at : at + n], pa.string()), none(pa.list_(pa.int64())), none(pa.list_(pa.int32())), none(pa.binary())],
+                    [pa.array(np.full(n, number)), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(some, pa.string()), none(pa.list_(pa.int64())), none(pa.list_(pa.int32())), none(pa.binary())],
                     schema=schema,
                 )
 
         for batch in batches:
-            for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = find(" " + t.replace("▁", " ")) if t else []
-                new = codes.setdefault
-                parts.append(np.array([new(u, len(codes)) for u in found], np.int32))
-                ids.append(doc_id)
-                sizes.append(len(found))
-                chars += len(t or "")
-                if chars >= limit:
-                    yield from block()
-                    number += 1
-                    codes, ids, sizes, parts, chars = dict(base), [], [], [], 0
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                for doc_id, t in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                    found = find(" " + t.replace("▁", " ")) if t else []
+                    body.extend(map(codes.__getitem__, found))
+                    ids.append(doc_id)
+                    sizes.append(len(found))
+                    chars += len(t or "")
+                    if chars >= limit:
+                        yield from block()
+                        number += 1
+                        ids, sizes, body, chars = [], [], array("i"), 0
         if ids:
             yield from block()
 
@@ -346,9 +391,11 @@ def encode(docs: DataFrame, pieces: Pieces, settings: Settings | None = None) ->
     spark = docs.sparkSession
     scratch = Scratch(spark)
     frequent = _frequent(docs, pieces, s)
-    indexed = scratch.save(_index_blocks(docs, [u for u, _ in frequent], pieces, s))
+    with short_batches(spark):
+        indexed = scratch.save(_index_blocks(docs, [u for u, _ in frequent], pieces, s))
     rows = indexed.where("code IS NOT NULL").select("block", "code", "unit")
-    rare = scratch.save(rows.join(encode_units(_dealt(rows.select("unit")), pieces), "unit").select("block", "code", "ids"))
+    found = rows.join(encode_units(_dealt(rows.select("unit")), pieces), "unit").select("block", "code", "ids")
+    rare = scratch.save(found.mapInArrow(_packed_units, "block long, body binary"))
     spark._jvm.System.gc()  # lets Spark remove the shuffle files of the tables just written
     flat = np.array([i for _, ids in frequent for i in ids], np.int32)
     shared = spark.sparkContext.broadcast((np.array([len(ids) for _, ids in frequent], np.int64), flat))
@@ -357,20 +404,23 @@ def encode(docs: DataFrame, pieces: Pieces, settings: Settings | None = None) ->
     def assemble(units: pa.Table, blocks: pa.Table) -> pa.Table:
         known_sizes, known_values = shared.value
         known = len(known_sizes)
-        ids = units.column("ids").combine_chunks() if units.num_rows else pa.array([], pa.list_(pa.int32()))
-        if isinstance(ids, pa.ChunkedArray):
-            ids = pa.concat_arrays(ids.chunks)
-        sizes = np.concatenate([known_sizes, np.diff(ids.offsets.to_numpy())]).astype(np.int64)
-        values = np.concatenate([known_values, ids.values.to_numpy()[ids.offsets[0].as_py() if len(ids) else 0 :]]).astype(np.int32)
+        codes, rare_sizes, rare_values = [], [], []
+        for body in units.column("body"):
+            row = _unpressed(body.as_py())
+            n = int(row[0])
+            codes.append(row[1 : n + 1])
+            rare_sizes.append(row[n + 1 : 2 * n + 1])
+            rare_values.append(row[2 * n + 1 :])
+        sizes = np.concatenate([known_sizes, *rare_sizes]).astype(np.int64)
+        values = np.concatenate([known_values, *rare_values]).astype(np.int32)
         starts = np.cumsum(sizes) - sizes
         place = np.arange(len(sizes))
-        place[units.column("code").to_numpy().astype(np.int64)] = np.arange(known, len(sizes))
+        if codes:
+            place[np.concatenate(codes)] = np.arange(known, len(sizes))
         out = []
         for block in blocks.to_batches():
             for doc_ids, counts, body in zip(block.column("doc_ids"), block.column("sizes"), block.column("body"), strict=True):
-                planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body.as_py()), np.uint8)
-                codes = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).ravel() if len(planes) else np.empty(0, np.int32)
-                where = place[codes]
+                where = place[_unpressed(body.as_py())]
                 total = np.concatenate([[0], np.cumsum(sizes[where])])
                 ends = np.concatenate([[0], np.cumsum(counts.values.to_numpy())])
                 flat = np.empty(total[-1], np.int32)

@@ -1,6 +1,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 
 from logquarry.llm import pieces as P
@@ -44,6 +45,28 @@ def test_long_units_fold_alike():
         assert P.merge_long(unit, ranks, pieces.bytes_at) == model.encode(unit[1:])
 
 
+def test_units_go_back_to_their_blocks_in_few_rows():
+    rows = [(b, c, list(range(c % 4))) for c in range(700) for b in (7, 3, 1 << 40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows[at : at + 100], strict=True), (pa.int64(), pa.int32(), pa.list_(pa.int32())), strict=True)], names=["block", "code", "ids"]) for at in range(0, len(rows), 100)]
+    got = []
+    packed = [r for b in P._packed_units(iter(batches), rows=1000) for r in b.to_pylist()]
+    for r in packed:
+        body = P._unpressed(r["body"]).tolist()
+        n, values = body[0], body[2 * body[0] + 1 :]
+        for code, size in zip(body[1 : n + 1], body[n + 1 : 2 * n + 1], strict=True):
+            got.append((r["block"], code, values[:size]))
+            values = values[size:]
+        assert not values
+    assert sorted(got) == sorted(rows)
+    assert len(packed) <= 9
+    assert list(P._packed_units(iter([]))) == []
+
+
+def test_codes_of_units():
+    codes = P._Codes({"a": 0, "b": 1})
+    assert [codes[u] for u in ("b", "c", "a", "d", "c")] == [1, 2, 0, 3, 2]
+
+
 def best_score(unit, rows, lowest):
     best = {0: (0.0, [])}
     for to in range(1, len(unit) + 1):
