@@ -46,6 +46,10 @@ class Scratch:
                 path = jvm.org.apache.hadoop.fs.Path(df.saved_path)
                 path.getFileSystem(conf).delete(path, True)
 
+    def sweep(self) -> None:
+        """Let Spark remove the shuffle files of tables that are written and of queries that are over."""
+        self.spark._jvm.System.gc()
+
 
 def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""

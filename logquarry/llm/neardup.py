@@ -280,13 +280,17 @@ def _confirmed(scratch: Scratch, docs: DataFrame, reps: DataFrame, pairs: DataFr
     documents that are not connected by then are needed.
     """
     likely = scratch.save(_likely(pairs, reps, s))
+    scratch.sweep()
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = scratch.save(docs.select("doc_id", "text").join(ids, "doc_id"))
+    scratch.sweep()
     first = _exact(likely.groupBy("b").agg(F.min("a").alias("a")), texts, s)
     known = scratch.save(components(scratch, first))
+    scratch.sweep()
     rest = _exact(_across(likely, known), texts, s)
     comps = scratch.save(components(scratch, known.select(F.col("root").alias("a"), F.col("node").alias("b")).union(rest)))
     scratch.drop(likely, texts, known)
+    scratch.sweep()
     return comps
 
 
@@ -306,14 +310,17 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     reps = scratch.save(
         base.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"))
     )
+    scratch.sweep()
     levels = branches(s)
     first = s.depths[0]
     sized = scratch.save(_sized(_first_nodes(reps, first, levels), None))
+    scratch.sweep()
     large = sized.where(F.col("n") > s.node_limit)
     star = large.where("rep <> pivot").select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
     comps = _confirmed(scratch, docs, reps, _small_pairs(sized, s.node_limit).union(star), s)
     crowded = _sized(large.select("key", "rep"), comps).select("rep").distinct()
     open_nodes = scratch.save(_sized(_deep_nodes(crowded, reps, s), comps))
+    scratch.sweep()
     if not open_nodes.isEmpty():
         members = open_nodes.select("rep", "comp").distinct()
         groups = components(scratch, _node_edges(open_nodes))
@@ -322,6 +329,7 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
         known = comps.select(F.col("root").alias("a"), F.col("node").alias("b"))
         comps = scratch.save(components(scratch, known.union(links)))
     scratch.drop(sized, open_nodes)
+    scratch.sweep()
     classes = reps.select("d1", "d2", "rep")
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("component"))
     component = F.coalesce("component", "doc_id")

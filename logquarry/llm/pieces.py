@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -324,13 +324,12 @@ class _Codes(dict):
         return code
 
 
-def _index_blocks(docs: DataFrame, known: list[str], pieces: Pieces, s: Settings) -> DataFrame:
+def _index_blocks(docs: DataFrame, shared: Broadcast, pieces: Pieces, s: Settings) -> DataFrame:
     """Documents as codes of units, in blocks of bounded size.
 
-    A block has one row with its documents and one row for each unit outside the ``known``
-    ones: block, code, unit; doc_ids, sizes (units of each document), body (their codes).
+    A block has one row with its documents and one row for each unit outside the list ``shared``
+    of known ones: block, code, unit; doc_ids, sizes (units of each document), body (their codes).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(known)  # at most Settings.frequent units
     cut = pieces.cut()
     limit = s.block_chars
     schema = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("unit", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("body", pa.binary())])
@@ -375,6 +374,7 @@ def _index_blocks(docs: DataFrame, known: list[str], pieces: Pieces, s: Settings
                         ids, sizes, body, chars = [], [], array("i"), 0
         if ids:
             yield from block()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(
         index, "block long, code int, unit string, doc_ids array<long>, sizes array<int>, body binary"
@@ -391,12 +391,14 @@ def encode(docs: DataFrame, pieces: Pieces, settings: Settings | None = None) ->
     spark = docs.sparkSession
     scratch = Scratch(spark)
     frequent = _frequent(docs, pieces, s)
+    known = spark.sparkContext.broadcast([u for u, _ in frequent])  # at most Settings.frequent units
     with short_batches(spark):
-        indexed = scratch.save(_index_blocks(docs, [u for u, _ in frequent], pieces, s))
+        indexed = scratch.save(_index_blocks(docs, known, pieces, s))
+    known.unpersist()
     rows = indexed.where("code IS NOT NULL").select("block", "code", "unit")
     found = rows.join(encode_units(_dealt(rows.select("unit")), pieces), "unit").select("block", "code", "ids")
     rare = scratch.save(found.mapInArrow(_packed_units, "block long, body binary"))
-    spark._jvm.System.gc()  # lets Spark remove the shuffle files of the tables just written
+    scratch.sweep()
     flat = np.array([i for _, ids in frequent for i in ids], np.int32)
     shared = spark.sparkContext.broadcast((np.array([len(ids) for _, ids in frequent], np.int64), flat))
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
