@@ -310,6 +310,8 @@ def near_duplicates(docs: DataFrame, settings: Settings | None = None) -> DataFr
     reps = scratch.save(
         base.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch"))
     )
+    sketched, base = base, scratch.save(base.drop("sketch"))
+    scratch.drop(sketched)
     scratch.sweep()
     levels = branches(s)
     first = s.depths[0]

@@ -119,3 +119,27 @@ def test_node_edges_connect_what_nodes_connect(spark):
         return {frozenset(y for y in root if find(y) == find(x)) for x in root}
 
     assert parts(got) == parts(rows) and len(got) == len(set(got))
+
+
+def test_shuffle_files_and_sketches_do_not_pile_up(spark, monkeypatch):
+    left, swept = {}, []
+    save, drop = Scratch.save, Scratch.drop
+
+    def saving(self, df):
+        saved = save(self, df)
+        left[saved.saved_path] = saved.columns
+        return saved
+
+    def dropping(self, *saved):
+        for df in saved:
+            if df is not None:
+                left.pop(df.saved_path, None)
+        drop(self, *saved)
+
+    monkeypatch.setattr(Scratch, "save", saving)
+    monkeypatch.setattr(Scratch, "drop", dropping)
+    monkeypatch.setattr(Scratch, "sweep", lambda self: swept.append(len(left)))
+    docs = spark.createDataFrame(list(groups(3, n_groups=4).items()), "doc_id long, text string")
+    assert N.near_duplicates(docs, N.Settings(width=2)).count() == 56
+    assert [c for c in left.values() if "sketch" in c] == [["d1", "d2", "rep", "sketch"]]
+    assert len(swept) >= 6
