@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.llm.common import Scratch, arrow_batches, components, raw_texts, raw_words, shingle_set
@@ -136,17 +136,14 @@ def _sized(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
     have a pivot each by their key; with them there is a column ``comp``, and the pivot is the least
     member, which nodes that overlap mostly share.
     """
+    node = Window.partitionBy("key")  # the members are dealt by their key once, for size and pivot alike
     if comps is None:
-        sizes = nodes.groupBy("key").agg(F.count("*").alias("n"), F.min_by("rep", F.xxhash64("rep", "key")).alias("pivot")).where("n > 1")
-        return nodes.join(sizes, "key")
-    nodes = nodes.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
-    sizes = (
-        nodes.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("rep").alias("pivot"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        .where("n > 1 and c0 <> c1")
-        .drop("c0", "c1")
-    )
-    return nodes.join(sizes, "key")
+        pivot = F.min(F.struct(F.xxhash64("rep", "key").alias("order"), F.col("rep").alias("member"))).over(node)["member"]
+        return nodes.select("key", "rep", F.count("*").over(node).alias("n"), pivot.alias("pivot")).where("n > 1")
+    comp = F.coalesce("root", "rep").alias("comp")
+    nodes = nodes.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").select("rep", "key", comp)
+    sizes = [F.count("*").over(node).alias("n"), F.min("rep").over(node).alias("pivot"), F.min("comp").over(node).alias("c0"), F.max("comp").over(node).alias("c1")]
+    return nodes.select("*", *sizes).where("n > 1 and c0 <> c1").drop("c0", "c1")
 
 
 def _node_edges(nodes: DataFrame) -> DataFrame:

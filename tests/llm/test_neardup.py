@@ -143,3 +143,18 @@ def test_shuffle_files_and_sketches_do_not_pile_up(spark, monkeypatch):
     assert N.near_duplicates(docs, N.Settings(width=2)).count() == 56
     assert [c for c in left.values() if "sketch" in c] == [["d1", "d2", "rep", "sketch"]]
     assert len(swept) >= 6
+
+
+def test_nodes_are_dealt_once(spark):
+    """Sizes and pivots of nodes need the members by their key in one shuffle, not two."""
+    rows = [(k, r) for k in range(5) for r in range(k + 1)]
+    nodes = spark.createDataFrame(rows, "key long, rep long")
+    comps = spark.createDataFrame([(r, 0) for r in range(4)], "node long, root long")
+    sized, again = N._sized(nodes, None), N._sized(nodes, comps)
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (sized, again)]
+    assert [p.count("hashpartitioning(key") for p in plans] == [1, 1]
+    got = sized.collect()
+    assert {(r["key"], r["rep"], r["n"]) for r in got} == {(k, r, k + 1) for k, r in rows if k}
+    pivots = {(r["key"], r["pivot"]) for r in got}
+    assert len(pivots) == 4 and all((k, p) in rows for k, p in pivots)
+    assert sorted((r["key"], r["rep"], r["n"], r["pivot"], r["comp"]) for r in again.collect()) == [(4, r, 5, 0, 0 if r < 4 else 4) for r in range(5)]
