@@ -27,7 +27,8 @@ from logquarry.llm.common import Scratch, arrow_batches, short_batches
 
 LONGEST_UNIT = 60  # boundaries of a unit are bits of one long
 _LAST_RANK = 2**19 - 1
-_LETTER = r"[^\W\d_]"
+_LETTER = r"[^\W\d_²³¹¼½¾]"
+_LATIN = "A-Za-z" + "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha())
 
 
 @dataclass(frozen=True)
@@ -49,10 +50,16 @@ class Pieces:
         joined = {c for p, _, _ in self.rows if len(p) > 1 for c in p}
         alone = "".join(re.escape(chr(c)) for c in [*range(32), 127] if chr(c) not in joined)
         # marks that no piece has behind a letter end the unit before them
-        behind = {b for p, _, _ in self.rows for a, b in zip(p, p[1:], strict=False) if re.match(_LETTER, a)}
+        behind = {b for a, b in self.joints() if re.match(_LETTER, a)}
         marks = "".join(re.escape(c) for c in ",.;:!?|%*#&$" if c not in behind)
         ended = rf" *[^ {alone}{marks}]*{_LETTER}(?=[{marks}])|" if marks else ""
-        return ended + f" *[^ {alone}]+|[{alone}]| +"
+        # most words are plain letters alone, which this finds without going back
+        plain = f" *[{_LATIN}]+(?![^ {alone}{marks}])|"
+        return plain + ended + f" *[^ {alone}]+|[{alone}]| +"
+
+    def joints(self) -> set[str]:
+        """Pairs of neighbouring signs in pieces. Between any other two signs a unit may be cut."""
+        return {p[i : i + 2] for p, _, _ in self.rows for i in range(len(p) - 1)}
 
 
 def load(path: str) -> Pieces:
@@ -142,21 +149,31 @@ def _byte_ids(sign: Column, bytes_at: int) -> Column:
 
 def fold_merges(edges: DataFrame, pieces: Pieces) -> DataFrame:
     """Ids of every unit by greedy merging: state is the mask of boundaries that are left."""
-    n = F.length("unit")
     full = F.expr("shiftleft(bigint(1), length(unit) + 1) - 1")
 
-    def merge(mask: Column, _: Column) -> Column:
-        over = F.filter("joins", lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1))
-        return F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(over, F.lit(0))["inner"])), mask)
+    def merge(state: Column, _: Column) -> Column:
+        mask, joins = state["mask"], state["joins"]
+        first = F.slice(F.filter(joins, lambda e: F.bit_count(mask.bitwiseAND(e["inner"])) == 1), 1, 1)
+        # an edge that has lost an end, or has nothing left to merge, is never taken any more
+        live = lambda m: F.filter(joins, lambda e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (m.bitwiseAND(e["inner"]) != 0))
+        masks = F.transform(first, lambda e: mask.bitwiseAND(F.bitwise_not(e["inner"])))
+        after = F.transform(masks, lambda m: F.struct(m.alias("mask"), live(m).alias("joins")))
+        return F.when(F.size(joins) == 0, state).otherwise(F.coalesce(F.get(after, F.lit(0)), state))
 
-    mask = F.when(F.size("joins") == 0, full).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), full, merge))
-    left = (
-        edges.withColumn("all", F.transform("edges", _masks))
-        .withColumn("joins", F.filter("all", lambda e: e["inner"] != 0))
-        .withColumn("mask", mask)
-    )
-    path = F.filter("all", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
-    return left.select("unit", _path_ids(F.transform(path, lambda e: e["edge"]), pieces).alias("ids"))
+    steps = F.sequence(F.lit(1), F.greatest(F.length("unit") - 1, F.lit(1)))
+    mask = F.when(F.size("joins") == 0, full).otherwise(F.aggregate(steps, F.struct(full.alias("mask"), F.col("joins").alias("joins")), merge)["mask"])
+    left = edges.withColumn("joins", F.transform(F.filter("edges", lambda e: _size(e) > 1), _masks)).withColumn("mask", mask)
+    # the mask is bound once; named inside the filter it may be folded again for every edge
+    path = F.get(F.transform(F.array("mask"), lambda m: F.filter("edges", lambda e: _on_path(m, e))), F.lit(0))
+    return left.select("unit", _path_ids(path, pieces).alias("ids"))
+
+
+def _on_path(mask: Column, e: Column) -> Column:
+    """Whether the edge goes from one boundary of the mask to the next."""
+    shift = lambda name, *c: F.call_function(name, *c)
+    one = F.lit(1).cast("bigint")
+    ends = shift("shiftleft", one, _size(e)) + 1
+    return shift("shiftright", mask, _at(e)).bitwiseAND(shift("shiftleft", one, _size(e) + 1) - 1) == ends
 
 
 def fold_scores(edges: DataFrame, pieces: Pieces) -> DataFrame:
@@ -259,7 +276,7 @@ def _dealt(units: DataFrame) -> DataFrame:
     return units.repartition(n, "unit").distinct()
 
 
-def _frequent(docs: DataFrame, pieces: Pieces, s: Settings) -> list[tuple[str, list[int]]]:
+def _frequent(scratch: Scratch, docs: DataFrame, pieces: Pieces, s: Settings) -> list[tuple[str, list[int]]]:
     """The most frequent units of a sample with their ids; at most ``frequent`` of them."""
     share = min(1.0, s.sample / max(docs.count(), 1))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
@@ -275,8 +292,11 @@ def _frequent(docs: DataFrame, pieces: Pieces, s: Settings) -> list[tuple[str, l
             yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), pa.array(count.values(), pa.int64())], names=["unit", "n"])
 
     counted = drawn.select("doc_id", "text").mapInArrow(units, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    top = counted.where((F.col("n") > 1) & (F.length("unit") <= LONGEST_UNIT)).orderBy(F.desc("n"), "unit").limit(s.frequent).select("unit")
-    return [(r["unit"], list(r["ids"])) for r in encode_units(_dealt(top), pieces).collect()]
+    top = scratch.save(counted.where((F.col("n") > 1) & (F.length("unit") <= LONGEST_UNIT)).orderBy(F.desc("n"), "unit").limit(s.frequent))
+    # the most frequent first, so that most codes of documents are small numbers
+    ranked = encode_units(_dealt(top.select("unit")), pieces).join(top, "unit").orderBy(F.desc("n"), "unit").select("unit", "ids").collect()
+    scratch.drop(top)
+    return [(r["unit"], list(r["ids"])) for r in ranked]
 
 
 def _pressed(numbers: np.ndarray) -> bytes:
@@ -316,6 +336,43 @@ def _packed_units(batches, rows: int = 300_000):
         yield settle()
 
 
+class _Cuts:
+    """Cuts units further, between neighbouring signs that no piece holds side by side."""
+
+    between = "\ud800"  # in no text
+
+    def __init__(self, joints: set[str]):
+        signs = {c: k + 1 for k, c in enumerate(sorted(set("".join(joints))))}
+        self.kind = np.zeros(0x110000, np.uint16)
+        self.kind[[ord(c) for c in signs]] = list(signs.values())
+        self.joined = np.zeros((len(signs) + 1,) * 2, bool)
+        for a, b in joints:
+            self.joined[signs[a], signs[b]] = True
+
+    def parts(self, units: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of all units in a row, and their number in each unit. No unit is empty."""
+        if not units:
+            return [], np.empty(0, np.int64)
+        line = np.frombuffer(self.between.join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind, gap = self.kind[line], line == ord(self.between)
+        at = np.flatnonzero(~(self.joined[kind[:-1], kind[1:]] | gap[:-1] | gap[1:])) + 1
+        counts = 1 + np.bincount(np.searchsorted(np.flatnonzero(gap), at), minlength=len(units))
+        cut = np.insert(line, at, ord(self.between))
+        return cut.tobytes().decode("utf-32-le", "surrogatepass").split(self.between), counts
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The runs (start, size) of ``values`` that ``where`` names, end to end."""
+    total = np.concatenate([[0], np.cumsum(sizes[where])])
+    out = np.empty(total[-1], np.int32)
+    for at in range(0, len(where), 500_000):
+        w = where[at : at + 500_000]
+        n = sizes[w]
+        shift = np.repeat(starts[w] - (np.cumsum(n) - n), n)
+        out[total[at] : total[min(at + 500_000, len(where))]] = values[shift + np.arange(len(shift))]
+    return out
+
+
 class _Codes(dict):
     """Numbers of keys in the order in which they are first asked for."""
 
@@ -329,13 +386,15 @@ def _index_blocks(docs: DataFrame, shared: Broadcast, pieces: Pieces, s: Setting
 
     A block has one row with its documents and one row for each unit outside the list ``shared``
     of known ones: block, code, unit; doc_ids, sizes (units of each document), body (their codes).
+    Unknown units are cut further, so a block has fewer and shorter ones.
     """
-    cut = pieces.cut()
+    cut, joints = pieces.cut(), pieces.joints()
     limit = s.block_chars
     schema = pa.schema([("block", pa.int64()), ("code", pa.int32()), ("unit", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("body", pa.binary())])
 
     def index(batches):
         find = re.compile(cut).findall
+        cuts = _Cuts(joints)
         known = len(shared.value)
         number = TaskContext.get().partitionId() << 32
         codes = _Codes(zip(shared.value, range(known), strict=True))
@@ -345,8 +404,15 @@ def _index_blocks(docs: DataFrame, shared: Broadcast, pieces: Pieces, s: Setting
         chars = 0
 
         def block():
+            # the last codes first: units met in this block give way to their parts
+            parts, counts = cuts.parts([codes.popitem()[0] for _ in range(len(codes) - known)][::-1])
+            flat = np.concatenate([np.arange(known), [codes[p] for p in parts]]).astype(np.int32)
+            counts = np.concatenate([np.ones(known, np.int64), counts])
+            met = np.frombuffer(body, np.int32)
+            ends = np.concatenate([[0], np.cumsum(counts[met])])[np.cumsum([0, *sizes])]
+            cut_body = _gathered(flat, np.cumsum(counts) - counts, counts, met)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([None], pa.int32()), pa.array([None], pa.string()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([_pressed(body)], pa.binary())],
+                [pa.array([number]), pa.array([None], pa.int32()), pa.array([None], pa.string()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.diff(ends)], pa.list_(pa.int32())), pa.array([_pressed(cut_body)], pa.binary())],
                 schema=schema,
             )
             for at in range(known, len(codes), 20_000):
@@ -390,7 +456,7 @@ def encode(docs: DataFrame, pieces: Pieces, settings: Settings | None = None) ->
     s = settings or Settings()
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    frequent = _frequent(docs, pieces, s)
+    frequent = _frequent(scratch, docs, pieces, s)
     known = spark.sparkContext.broadcast([u for u, _ in frequent])  # at most Settings.frequent units
     with short_batches(spark):
         indexed = scratch.save(_index_blocks(docs, known, pieces, s))
@@ -425,12 +491,7 @@ def encode(docs: DataFrame, pieces: Pieces, settings: Settings | None = None) ->
                 where = place[_unpressed(body.as_py())]
                 total = np.concatenate([[0], np.cumsum(sizes[where])])
                 ends = np.concatenate([[0], np.cumsum(counts.values.to_numpy())])
-                flat = np.empty(total[-1], np.int32)
-                for at in range(0, len(where), 500_000):
-                    w = where[at : at + 500_000]
-                    n = sizes[w]
-                    shift = np.repeat(starts[w] - (np.cumsum(n) - n), n)
-                    flat[total[at] : total[min(at + 500_000, len(where))]] = values[shift + np.arange(len(shift))]
+                flat = _gathered(values, starts, sizes, where)
                 lists = pa.ListArray.from_arrays(pa.array(total[ends].astype(np.int32)), pa.array(flat))
                 out.append(pa.Table.from_arrays([doc_ids.values, lists], schema=schema))
         return pa.concat_tables(out) if out else schema.empty_table()

@@ -105,3 +105,29 @@ def test_decode_odd_ids(spark):
     rows = [(1, None), (2, []), (3, [0, 0, 999, 10 + 0xC3]), (4, [None])]
     got = dict(P.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), pieces).collect())
     assert got == {1: "", 2: "", 3: "a a�", 4: ""}
+
+
+def test_units_are_cut_where_no_piece_joins():
+    pieces = P.Pieces((("ab", 0, 0.0), ("b.", 1, 0.0), (" a", 2, 0.0), ("x", 3, 0.0), ("世", 4, 0.0)), 10)
+    cuts = P._Cuts(pieces.joints())
+    parts, counts = cuts.parts([" abab.", "x", "ba世世", "ab", "\x00a"])
+    assert parts == [" ab", "ab.", "x", "b", "a", "世", "世", "ab", "\x00", "a"]
+    assert counts.tolist() == [2, 1, 4, 1, 2]
+    assert cuts.parts([])[0] == []
+
+
+@needs_file
+def test_letters_end_before_a_full_stop(spark):
+    import re
+
+    import sentencepiece
+
+    pieces = P.load(PATH)
+    assert re.findall(pieces.cut(), " end. x²") == [" end", ".", " x²"]
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("enstraßñéü.²,'", k=rng.randint(1, 14))) for _ in range(40)) for _ in range(60)]
+    # rare units are cut, and the documents of a block keep their own ones
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = dict(P.encode(docs, pieces, P.Settings(frequent=20, block_chars=3000)).collect())
+    assert got == {i: model.encode(t) for i, t in enumerate(texts)}
