@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logquarry.llm.common import Scratch, arrow_batches, minwise_pair
+from logquarry.llm.common import Scratch, arrow_batches, minwise_pair, sliced
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -269,7 +269,7 @@ def reject_toxic(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             toxic = _probability(shared.value, batch.column(at).to_pylist())[0] >= 0.5
             yield batch.filter(pa.array(~toxic))
 

@@ -53,3 +53,20 @@ def test_null_labels_and_ids(spark):
     docs = spark.createDataFrame([(1, "you idiot"), (None, "you idiot"), (2, "fine")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     assert T.score(docs, T.fit(docs, labels)).count() == 3
+
+
+def test_rejects_by_few_texts_at_a_time(spark):
+    import pyarrow as pa
+
+    from logquarry.llm import common
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(2500))})
+    parts = list(common.sliced(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in parts] == [1000, 1000, 500]
+    assert [v for b in parts for v in b.column("x").to_pylist()] == list(range(2500))
+    texts = ["you idiot", None, "", "a quiet day"]
+    docs = spark.createDataFrame([(i, texts[i % 4]) for i in range(2300)], "doc_id long, text string").coalesce(1)
+    model = T.Model({"idiot ": 9.0})
+    kept = [r["doc_id"] for r in T.reject_toxic(docs, model).collect()]
+    assert kept == [r["doc_id"] for r in T.score(docs, model).where("predicted = 0").collect()]
+    assert kept == [i for i in range(2300) if i % 4]
