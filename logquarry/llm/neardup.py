@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logquarry.llm.common import Scratch, arrow_batches, components, raw_texts, raw_words, shingle_set
@@ -233,9 +233,14 @@ def _least_agreeing(s: Settings) -> int:
     return max(1, int(s.tokens * p - 5 * (s.tokens * p * (1 - p)) ** 0.5))
 
 
+def _tokens_moved() -> Column:
+    """The low bits of the tokens; the high ones of least hashes are mostly zeros."""
+    return F.transform("sketch", lambda x: F.shiftright(F.shiftleft(x, 16), 16).cast("short"))
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
-    """Distinct pairs whose tokens agree often enough."""
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}"))
+    """Distinct pairs whose tokens agree often enough. Half of their bits are compared: that moves half as much and loses no pair."""
+    side = lambda c: reps.select(F.col("rep").alias(c), _tokens_moved().alias(f"s{c}"))
     agreeing = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     return pairs.distinct().join(side("b"), "b").join(side("a"), "a").where(agreeing >= _least_agreeing(s)).select("a", "b")
 

@@ -158,3 +158,17 @@ def test_nodes_are_dealt_once(spark):
     pivots = {(r["key"], r["pivot"]) for r in got}
     assert len(pivots) == 4 and all((k, p) in rows for k, p in pivots)
     assert sorted((r["key"], r["rep"], r["n"], r["pivot"], r["comp"]) for r in again.collect()) == [(4, r, 5, 0, 0 if r < 4 else 4) for r in range(5)]
+
+
+def test_pairs_are_tried_with_half_of_the_bits(spark):
+    rng = random.Random(3)
+    s = N.Settings()
+    draw = lambda: rng.randrange(-(2**31), 2**31)
+    first = [draw() for _ in range(s.tokens)]
+    least = N._least_agreeing(s)
+    rows = [(1, first), (2, first[:least] + [draw() for _ in range(s.tokens - least)]), (3, first[: least - 20] + [draw() for _ in range(s.tokens - least + 20)])]
+    reps = spark.createDataFrame(rows, "rep long, sketch array<int>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 2)], "a long, b long")
+    likely = N._likely(pairs, reps, s)
+    assert likely.collect() == [(1, 2)]
+    assert reps.select(N._tokens_moved().alias("x")).dtypes == [("x", "array<smallint>")]
