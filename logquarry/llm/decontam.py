@@ -14,6 +14,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logquarry.llm.common import Scratch
+
 # The seeds. 1: the word counts, 0: it is ignored.
 MASKS = ("11111", "110100101", "1100010011", "101010011")
 
@@ -63,16 +65,21 @@ def _windows(table: DataFrame, masks: list[str]) -> DataFrame:
     return placed.withColumn("seed", F.explode_outer(seeds)).where("seed IS NOT NULL")
 
 
-def _index(items: DataFrame, s: Settings, lengths: list[int]) -> DataFrame:
-    """Seeds of the items: seed, item_id and the place in the item."""
-    out = _windows(items.where(F.size("toks") > s.short), list(s.masks)).select("seed", "item_id", F.col("at").alias("place"))
+def _index(texts: DataFrame, s: Settings, lengths: list[int]) -> DataFrame:
+    """Seeds of the items' texts: seed, no and the place in the text."""
+    out = _windows(texts.where(F.size("toks") > s.short), list(s.masks)).select("seed", "no", F.col("at").alias("place"))
     for n in lengths:
         seeds = [F.struct(_seed(F.col("toks"), F.lit(place), mask).alias("seed"), F.lit(place).alias("place")) for place, mask in own_masks(n, s)]
-        own = items.where(F.size("toks") == n).select("item_id", F.explode(F.array(*seeds)).alias("x"))
-        out = out.union(own.select("x.seed", "item_id", "x.place"))
+        own = texts.where(F.size("toks") == n).select("no", F.explode(F.array(*seeds)).alias("x"))
+        out = out.union(own.select("x.seed", "no", "x.place"))
     return out.distinct()
 
 
+def few(ids: DataFrame, most: int) -> DataFrame:
+    """``ids``, marked to be sent to all tasks if there are no more than ``most``; they are counted, so they should be cheap."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Items of ``benchmark`` (item_id, text) inside ``docs`` (doc_id, text).
 
@@ -82,29 +89,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None
     a row each; repeated doc_ids are taken as one document.
     """
     s = settings or Settings()
-    items = benchmark.select("item_id", _tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
+    scratch = Scratch(docs.sparkSession)
+    items = benchmark.where("item_id IS NOT NULL").select("item_id", _tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
+    # equal texts are one item until they are found; numbers given on writing stay the same
+    texts = scratch.save(items.select("toks").distinct().withColumn("no", F.monotonically_increasing_id()))
+    members = scratch.save(items.join(texts, "toks").select("item_id", "no"))
     # at most one number for each short length
-    short = [r[0] for r in items.where(F.size("toks") <= s.short).select(F.size("toks")).distinct().collect()]
+    short = [r[0] for r in texts.where(F.size("toks") <= s.short).select(F.size("toks")).distinct().collect()]
     masks = sorted({*s.masks, *(mask for n in short for _, mask in own_masks(n, s))})
-    index = _index(items, s, short)
+    index = scratch.save(_index(texts, s, short))
     parsed = docs.select("doc_id", _tokens(F.col("text")).alias("toks"))
-    item_words = items.withColumnRenamed("toks", "words")
+    words = texts.withColumnRenamed("toks", "words")
     if index.count() <= s.broadcast_rows:
         hits = (
             _windows(parsed, masks)
             .join(F.broadcast(index), "seed")
-            .select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("start"), "toks")
-            .join(F.broadcast(item_words), "item_id")
+            .select("doc_id", "no", (F.col("at") - F.col("place")).alias("start"), "toks")
+            .join(F.broadcast(words), "no")
         )
     else:
-        starts = (
+        # written once: it says which documents are read again, and where
+        starts = scratch.save(
             _windows(parsed, masks)
             .select("doc_id", "at", "seed")
             .join(index, "seed")
-            .select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("start"))
+            .select("doc_id", "no", (F.col("at") - F.col("place")).alias("start"))
             .distinct()
         )
-        hits = starts.join(item_words, "item_id").join(parsed, "doc_id")
+        met = few(starts.select("doc_id").distinct(), s.broadcast_rows)
+        again = docs.select("doc_id", "text").join(met, "doc_id", "left_semi").select("doc_id", _tokens(F.col("text")).alias("toks"))
+        hits = starts.join(words, "no").join(again, "doc_id")
     # no step of the alignment loop below looks at words outside the item's place
     same = F.transform(F.col("words"), lambda w, k: F.coalesce(F.get("toks", F.col("start") + k) == w, F.lit(False)))
     runs = F.aggregate(
@@ -117,12 +131,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None
         lambda acc: acc["best"],
     )
     rated = (
-        hits.select("doc_id", "item_id", "start", F.size("words").alias("item_words"), same.alias("same"))
-        .select("doc_id", "item_id", "start", "item_words", F.size(F.filter("same", lambda x: x)).alias("matched"), runs.alias("longest_run"))
+        hits.select("doc_id", "no", "start", F.size("words").alias("item_words"), same.alias("same"))
+        .select("doc_id", "no", "start", "item_words", F.size(F.filter("same", lambda x: x)).alias("matched"), runs.alias("longest_run"))
         .where((F.col("matched") * 100 >= s.percent * F.col("item_words")) | (F.col("longest_run") >= s.run))
     )
     best = F.max(F.struct("matched", (-F.col("start")).alias("before"), "longest_run", "item_words"))
-    return rated.groupBy("doc_id", "item_id").agg(best.alias("x")).select(
+    of_text = rated.groupBy("doc_id", "no").agg(best.alias("x"))
+    return of_text.join(members, "no").groupBy("doc_id", "item_id").agg(F.max("x").alias("x")).select(
         "doc_id",
         "item_id",
         F.col("x.item_words").cast("bigint").alias("item_words"),
@@ -134,5 +149,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    leaking = find_leaks(docs, benchmark, settings).select("doc_id").distinct()
-    return docs.join(leaking, "doc_id", "left_anti")
+    s = settings or Settings()
+    leaking = Scratch(docs.sparkSession).save(find_leaks(docs, benchmark, s).select("doc_id").distinct())
+    return docs.join(few(leaking, s.broadcast_rows), "doc_id", "left_anti")

@@ -76,3 +76,32 @@ def test_short_items_with_changes(spark):
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
     table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(table, bench).collect()} == want
+
+
+@pytest.mark.parametrize("rows", [2_000_000, 0])
+def test_equal_texts_are_sought_once(case, monkeypatch, rows):
+    docs, bench, want = case
+    sizes, keep = [], D._index
+    monkeypatch.setattr(D, "_index", lambda *a: sizes.append((made := keep(*a)).count()) or made)
+    many = bench.selectExpr("item_id", "text", "explode(sequence(0, 29)) as copy").selectExpr("item_id + 100 * copy as item_id", "text")
+    found = D.find_leaks(docs, many, D.Settings(broadcast_rows=rows)).collect()
+    D.find_leaks(docs, bench, D.Settings(broadcast_rows=rows))
+    assert sizes[0] == sizes[1]
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(d, i + 100 * k) for d, i in want for k in range(30)}
+    assert len(found) == 30 * len(want)
+
+
+def test_an_item_of_two_texts_has_its_best_row(spark):
+    rng = random.Random(5)
+    a, b = words(rng, 20), words(rng, 30)
+    bench = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b)), (None, " ".join(a))], "item_id long, text string")
+    docs = spark.createDataFrame([(7, " ".join(a + b)), (8, " ".join(a))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["item_id"], r["item_words"], r["start"]) for r in D.find_leaks(docs, bench).collect()}
+    assert got == {7: (1, 30, 20), 8: (1, 20, 0)}
+
+
+def test_few_leaking_documents_move_no_text(case):
+    docs, bench, want = case
+    left = D.remove_leaks(docs, bench)
+    assert "BroadcastHashJoin" in left._jdf.queryExecution().executedPlan().toString()
+    assert left.count() == docs.count() - len({d for d, _ in want})
