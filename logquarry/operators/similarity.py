@@ -9,18 +9,21 @@ So no task sees more than a block, and the result does not depend on how lines a
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
 from logquarry.functions.ranks import positions
-from logquarry.operators.templates import words
+from logquarry.operators.templates import is_small, words
 from logquarry.session import cut_lineage
 
 WILDCARD = "<*>"
 CELLS = 1 << 15  # words of a block; its forms are compared with each other
+TASK_FORMS = 50_000  # forms clustered by one task
 SEPARATOR = r"^(\s+|[:,=])$"
 
 
@@ -52,44 +55,79 @@ def merged(template: Column, seq: Column) -> Column:
     return F.zip_with(template, seq, lambda a, b: F.when(a == b, a).otherwise(F.lit(WILDCARD)))
 
 
-def _greedy(rows: pd.DataFrame, threshold: float, separators: bool) -> list[int]:
-    """Cluster number of each row, rows in order; each joins the most similar cluster so far."""
-    import re
+_AT_ONCE = 256  # rows compared with all clusters at a time
+_WILD = 0  # code of a wildcard
 
-    is_sep = re.compile(SEPARATOR).match
-    arrays = np.array(rows["words"].tolist(), dtype=object)
-    n, width = arrays.shape
-    codes = pd.factorize(arrays.ravel())[0].reshape(n, width) + 1
-    wild_code = 0
-    codes[arrays == WILDCARD] = wild_code
-    seps = np.array([[bool(is_sep(w)) for w in row] for row in arrays]) if separators else None
-    templates = np.empty((n, width), dtype=codes.dtype)
-    template_sep = np.zeros((n, width), dtype=bool)
-    used, labels = 0, []
-    for i in range(n):
-        best = -1
+
+def _against(templates: np.ndarray, template_seps: np.ndarray | None, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each template and row: its rank among templates, and whether the row would change the template."""
+    width = codes.shape[1]
+    fixed = templates != _WILD
+    equal = (templates[:, None] == codes[None]) & fixed[:, None]
+    alike = equal.sum(axis=2)
+    changes = alike < fixed.sum(axis=1)[:, None]
+    if template_seps is not None:
+        sep = (template_seps & fixed)[:, None]
+        alike = (equal & ~sep).sum(axis=2)
+        alike[(sep & ~equal).any(axis=2)] = -width
+    # most equal words, then most wildcards, then the oldest cluster
+    return alike * (width + 1) + (width - fixed.sum(axis=1))[:, None], changes
+
+
+def _greedy(codes: np.ndarray, seps: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster number of each row of word codes, rows in order, and the templates of the clusters.
+
+    Each row joins the most similar cluster so far. Rows that neither begin a cluster nor change a
+    template are taken together, so the steps are those that do.
+    """
+    n, width = codes.shape
+    templates = np.empty_like(codes)
+    template_seps = None if seps is None else np.zeros((n, width), dtype=bool)
+    own_seps = lambda of: None if seps is None else template_seps[of]
+    used, labels = 0, np.empty(n, np.int64)
+    for lo in range(0, n, _AT_ONCE):
+        part = codes[lo : lo + _AT_ONCE]
+        m = len(part)
+        ranks, changes = np.empty((used + m, m), np.int64), np.empty((used + m, m), bool)
+        best, top = np.zeros(m, np.int64), np.full(m, np.iinfo(np.int64).min)
         if used:
-            t = templates[:used]
-            wild = t == wild_code
-            equal = (t == codes[i]) & ~wild
-            alike = equal.sum(axis=1)
-            if separators:
-                sep = template_sep[:used] & ~wild
-                alike = (equal & ~sep).sum(axis=1)
-                alike[(sep & ~equal).any(axis=1)] = -width
-            # most equal words, then most wildcards, then the oldest cluster
-            k = int((alike * (width + 1) + wild.sum(axis=1)).argmax())
-            if alike[k] / width >= threshold:
-                best = k
-        if best < 0:
-            templates[used] = codes[i]
-            if separators:
-                template_sep[used] = seps[i]
-            best, used = used, used + 1
-        else:
-            templates[best][templates[best] != codes[i]] = wild_code
-        labels.append(best)
-    return labels
+            ranks[:used], changes[:used] = _against(templates[:used], own_seps(slice(used)), part)
+            best = ranks[:used].argmax(axis=0)
+            top = ranks[best, np.arange(m)]
+        i = 0
+        while i < m:
+            far = top[i:] // (width + 1) / width < threshold
+            if used:
+                step = far | changes[best[i:], np.arange(i, m)]
+                ahead = int(step.argmax()) if step.any() else m - i
+                labels[lo + i : lo + i + ahead] = best[i : i + ahead]
+                i += ahead
+                if i == m:
+                    break
+                new = far[ahead]
+            else:
+                new = True
+            k = used if new else int(best[i])
+            if new:
+                templates[k] = part[i]
+                if seps is not None:
+                    template_seps[k] = seps[lo + i]
+                used += 1
+            else:
+                templates[k][templates[k] != part[i]] = _WILD
+            labels[lo + i] = k
+            i += 1
+            rank, change = _against(templates[k : k + 1], own_seps(slice(k, k + 1)), part[i:])
+            rank = rank[0]
+            ranks[k, i:], changes[k, i:] = rank, change[0]
+            own = (best[i:] == k) & (not new)
+            fell = np.flatnonzero(own & (rank < top[i:])) + i
+            better = own | (rank > top[i:]) | ((rank == top[i:]) & (k < best[i:]))
+            best[i:][better], top[i:][better] = k, rank[better]
+            if len(fell):
+                best[fell] = ranks[:used, fell].argmax(axis=0)
+                top[fell] = ranks[best[fell], fell]
+    return labels, templates[:used]
 
 
 def _block_rows(n_words: Column, cells: int) -> Column:
@@ -104,29 +142,72 @@ _SORTS = (
 )
 
 
-def _round(forms: DataFrame, sort, cells: int, threshold: float, separators: bool) -> DataFrame:
+def _clustered(table: pa.Table, cells: int, threshold: float, separators: bool) -> pa.RecordBatch:
+    """``(words, common)`` of whole blocks, whose rows are together and in order."""
+    is_sep = re.compile(SEPARATOR).match
+    column = table.column("words").combine_chunks()
+    known = column.flatten().dictionary_encode()
+    words = [WILDCARD, *known.dictionary.to_pylist()]
+    codes = known.indices.to_numpy().astype(np.int32) + 1
+    if WILDCARD in words[1:]:
+        codes[codes == words.index(WILDCARD, 1)] = _WILD
+    seps = np.array([bool(is_sep(w)) for w in words])[codes] if separators else None
+    out = np.empty_like(codes)
+    width, block = table.column("n_words").to_numpy(), table.column("block").to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], (width[1:] != width[:-1]) | (block[1:] != block[:-1])]))
+    at = 0
+    for start, end in zip(starts, [*starts[1:], len(width)], strict=True):
+        w = int(width[start])
+        assert end - start <= max(2, cells // w)
+        size = (end - start) * w
+        shape = lambda v: v[at : at + size].reshape(-1, w)  # noqa: B023, E731
+        labels, templates = _greedy(shape(codes), None if seps is None else shape(seps), threshold)
+        out[at : at + size] = templates[labels].ravel()
+        at += size
+    sizes = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+    common = pa.ListArray.from_arrays(pa.array(sizes), pa.array(words, pa.string()).take(pa.array(out)))
+    return pa.RecordBatch.from_arrays([column, common], names=["words", "common"])
+
+
+def _round(forms: DataFrame, n_forms: int, sort, cells: int, threshold: float, separators: bool) -> DataFrame:
     """``(words, common)``: the template of each form (words, n_words, at, size) in its block."""
 
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        assert len(rows) <= max(2, cells // rows["n_words"].iloc[0])
-        rows = rows.sort_values(["chunk_id", "line_no"], ignore_index=True)
-        labels = np.array(_greedy(rows, threshold, separators))
-        arrays = np.array(rows["words"].tolist(), dtype=object)
-        common = np.empty(len(rows), dtype=object)
-        for k in np.unique(labels):
-            own = arrays[labels == k]
-            text = np.where((own == own[0]).all(axis=0), own[0], WILDCARD).tolist()
-            for i in np.flatnonzero(labels == k):
-                common[i] = text
-        rows["common"] = common
-        return rows[["words", "common"]]
+    def cluster(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            width, block = held.column("n_words").to_numpy(), held.column("block").to_numpy()
+            # the last block may go on in the next batch
+            whole = np.flatnonzero((width != width[-1]) | (block != block[-1])) if len(width) else ()
+            if len(whole):
+                yield _clustered(held.slice(0, whole[-1] + 1).combine_chunks(), cells, threshold, separators)
+                held = held.slice(whole[-1] + 1)
+        if held is not None and held.num_rows:
+            yield _clustered(held.combine_chunks(), cells, threshold, separators)
 
     ordered = forms.withColumn("sort", sort(F.col("words")))
     ranked = positions(ordered, ["n_words"], ["sort", "at"])
     one = F.col("size") <= _block_rows(F.col("n_words"), cells)
     block = F.when(one, F.lit(0).cast("bigint")).otherwise(F.floor(F.col("pos") / _block_rows(F.col("n_words"), cells)))
     dealt = ranked.select("words", "n_words", block.alias("block"), "at.chunk_id", "at.line_no")
-    return dealt.groupBy("n_words", "block").applyInPandas(cluster, "words array<string>, common array<string>")
+    tasks = max(forms.sparkSession.sparkContext.defaultParallelism, -(-n_forms // TASK_FORMS))
+    in_order = dealt.repartition(tasks, "n_words", "block").sortWithinPartitions("n_words", "block", F.asc_nulls_last("chunk_id"), F.asc_nulls_last("line_no"))
+    return in_order.select("words", "n_words", "block").mapInArrow(cluster, "words array<string>, common array<string>")
+
+
+def _composed(rounds: list[DataFrame]) -> DataFrame:
+    """``(words, common)`` of the first round, with what the later ones made of its templates.
+
+    A form of a later round is a template of the one before, so the way from behind leaves the first
+    and largest table to the last join.
+    """
+    found = rounds[-1]
+    for named in reversed(rounds[:-1]):
+        step = found.select(F.col("words").alias("common"), F.col("common").alias("next"))
+        small = is_small(step.select(F.array_join(F.concat("common", "next"), " ").alias("t")), "t")
+        found = named.join(F.broadcast(step) if small else step, "common", "left").select("words", F.coalesce("next", "common").alias("common"))
+    return found
 
 
 def _mine(distinct: DataFrame, threshold: float, separators: bool, glue: str, cells: int) -> DataFrame:
@@ -134,7 +215,7 @@ def _mine(distinct: DataFrame, threshold: float, separators: bool, glue: str, ce
     distinct = cut_lineage(distinct)
     at = F.min(F.struct("chunk_id", F.col("first_line_no").alias("line_no"))).alias("at")
     forms = cut_lineage(distinct.groupBy("words").agg(at).withColumn("n_words", F.size("words")))
-    found = forms.select("words", F.col("words").alias("common"))
+    rounds: list[DataFrame] = []
     before: dict[int, list[int]] = {}
     turn = 0
     while True:
@@ -153,15 +234,17 @@ def _mine(distinct: DataFrame, threshold: float, separators: bool, glue: str, ce
             break
         size = F.create_map(*[F.lit(x) for pair in todo.items() for x in pair])
         open_forms = forms.where(F.col("n_words").isin(list(todo))).withColumn("size", size[F.col("n_words")].cast("bigint"))
-        named = cut_lineage(_round(open_forms, _SORTS[turn % len(_SORTS)], cells, threshold, separators))
-        step = named.select(F.col("words").alias("common"), F.col("common").alias("next"))
-        found = cut_lineage(found.join(step, "common", "left").select("words", F.coalesce("next", "common").alias("common")))
+        named = cut_lineage(_round(open_forms, sum(todo.values()), _SORTS[turn % len(_SORTS)], cells, threshold, separators))
+        rounds.append(named)
         merged_forms = forms.join(named, "words").groupBy(F.col("common").alias("words")).agg(F.min("at").alias("at"))
         rest = forms.where(~F.col("n_words").isin(list(todo))).select("words", "at")
         forms = cut_lineage(rest.union(merged_forms).withColumn("n_words", F.size("words")))
         turn += 1
-    named = found.select("words", F.array_join("common", glue).alias("template"))
-    return distinct.join(named, "words").select("chunk_id", "words", "template", "n")
+    if not rounds:
+        return distinct.select("chunk_id", "words", F.array_join("words", glue).alias("template"), "n")
+    named = _composed(rounds).select("words", F.array_join("common", glue).alias("template"))
+    template = F.coalesce("template", F.array_join("words", glue)).alias("template")
+    return distinct.join(named, "words", "left").select("chunk_id", "words", template, "n")
 
 
 def similarity_templates(

@@ -1,7 +1,9 @@
 """Templates by similarity in bounded rounds."""
 
 import random
+import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,52 @@ def test_positions(spark):
         want |= {(k, v): i for i, v in enumerate(sorted(v for x, v in rows if x == k))}
     assert got == want
     assert positions(df.where(F.lit(False)), ["k"], ["v"]).collect() == []
+
+
+def one_by_one(rows, threshold, separators):
+    """The rule, a row at a time: cluster numbers and templates."""
+    found, labels = [], []
+    is_sep = re.compile(sm.SEPARATOR).match
+    for row in rows:
+        ranks = []
+        for t in found:
+            sep = [separators and w != sm.WILDCARD and bool(is_sep(w)) for w in t]
+            alike = sum(a == b != sm.WILDCARD and not x for a, b, x in zip(t, row, sep))
+            if any(x and a != b for a, b, x in zip(t, row, sep)):
+                alike = -len(row)
+            ranks.append((alike, t.count(sm.WILDCARD)))
+        best = max(range(len(found)), key=lambda k: (*ranks[k], -k)) if found else None
+        if best is None or ranks[best][0] / len(row) < threshold:
+            labels.append(len(found))
+            found.append(list(row))
+        else:
+            labels.append(best)
+            found[best] = [a if a == b else sm.WILDCARD for a, b in zip(found[best], row)]
+    return [found[k] for k in labels]
+
+
+def test_blocks_are_clustered_together(monkeypatch):
+    monkeypatch.setattr(sm, "_AT_ONCE", 7)
+    rng = random.Random(3)
+    for _ in range(60):
+        separators, threshold, words, blocks, want = rng.random() < 0.5, rng.choice([0.1, 0.4, 0.6, 0.8]), [], [], []
+        for block in range(3):
+            width = rng.randrange(1, 6)
+            rows = [[rng.choice(["<*>", "a", "b", ":", "=", "c"]) for _ in range(width)] for _ in range(rng.randrange(1, 30))]
+            words += rows
+            blocks += [block] * len(rows)
+            want += one_by_one(rows, threshold, separators)
+        table = pa.table({"words": pa.array(words, pa.list_(pa.string())), "n_words": [len(w) for w in words], "block": blocks})
+        got = sm._clustered(table, 10**6, threshold, separators)
+        assert got["words"].to_pylist() == words and got["common"].to_pylist() == want
+
+
+def test_later_rounds_are_composed_from_behind(spark, monkeypatch):
+    """No table of all forms is written for a later round, and templates of several rounds come together."""
+    written, keep = [], sm.cut_lineage
+    monkeypatch.setattr(sm, "cut_lineage", lambda df: written.append((df.columns, df.count())) or keep(df))
+    rows = [(0, i, f"kind{i % 3} of line n{i} done") for i in range(300)]
+    df = spark.createDataFrame(rows, "chunk_id long, line_no long, line string")
+    got = {r["template"]: r["n_lines"] for r in sm.template_totals(sm.similarity_templates(df, 0.8, cells=40)).collect()}
+    assert got == {f"kind{k} of line <*> done": 100 for k in range(3)}
+    assert [n for columns, n in written if columns == ["words", "common"]].count(300) == 1
