@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from logquarry.session import task_count
+from logquarry.session import drop_written, task_count, written
 
 # Characters that may cut a value into fields.
 FIELD_DELIMITERS = "-#><_:;,[]\\/.()"
@@ -125,6 +125,7 @@ def _difference(e: Sequence[Form]) -> Column:
 
 
 _TASK_CELLS = 4_000_000  # values of expressions that one task makes
+_WAVE_CELLS = 300_000_000  # values of expressions that are counted at once, and are on disk meanwhile
 
 
 def _value_type(df: DataFrame, catalog: Sequence[Form]) -> str:
@@ -143,17 +144,21 @@ def relation_scores(df: DataFrame, catalog: Sequence[Form], order: str, triples:
     A row holds its forms as one array, and expressions are made of places in it inside
     the row, so the plan has the same size for any number of columns. Rows are dealt by chunk
     to as many tasks as their expressions ask for. Value counts are
-    aggregated before the sum, so a value that fills most rows is one row.
+    aggregated before the sum, so a value that fills most rows is one row. Where all values would
+    be more than ``_WAVE_CELLS``, some expressions at a time are counted.
     ``n*H = n ln n - sum(c ln c)``.
     """
     n_forms = len(catalog)
     sources = sorted({f.source for f in catalog})
     ids = sorted({f.by for f in catalog if f.by is not None})
     triples = triples and len(sources) > 2
-    per_row = len(expressions(catalog, triples))
+    listed = expressions(catalog, triples)
+    per_row = len(listed)
     kind = _value_type(df, catalog)
     needed = df.select("chunk_id", order, *[c for c in dict.fromkeys([*sources, *ids]) if c != order])
-    dealt = needed.repartition(task_count(df, max(1, _TASK_CELLS // per_row)), "chunk_id")
+    n_rows = df.count()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-n_rows // max(1, _TASK_CELLS // per_row)))
+    dealt = needed.repartition(tasks, "chunk_id")
     source = F.array(*[F.lit(sources.index(f.source)) for f in catalog])
     by = F.array(*[F.lit(-1 if f.by is None else ids.index(f.by)) for f in catalog])
     wide = with_forms(dealt, catalog, order).select(F.array(*[F.col(f.name).cast(kind) for f in catalog]).alias("v"))
@@ -173,9 +178,10 @@ def relation_scores(df: DataFrame, catalog: Sequence[Form], order: str, triples:
         three = first.select("v", "a", "b", below("b").alias("c")).where(alike("a", "c") & alike("b", "c"))
         cells = cells.union(three.select(number("a", F.col("b"), F.col("c")), value("a", "b", "c")))
     names = F.array(*[F.lit(f.name) for f in catalog])
-    counts = cells.groupBy("e", "v").agg(F.count(F.lit(1)).alias("c"))
-    n = F.sum("c")
-    scores = counts.groupBy("e").agg((n * F.log(n) - F.sum(F.col("c") * F.log(F.col("c")))).alias("score"))
+    if n_rows * per_row <= _WAVE_CELLS:
+        scores = _scored(cells)
+    else:
+        scores = _scores_in_waves(wide, [[catalog.index(f) for f in e] for e in listed], n_forms, n_rows)
     # one row for each expression
     base = n_forms + 1
     of = [F.floor(F.col("e") / base**2), F.floor(F.col("e") / base) % base - 1, F.col("e") % base - 1]
@@ -183,6 +189,37 @@ def relation_scores(df: DataFrame, catalog: Sequence[Form], order: str, triples:
     return scores.select(expr.alias("expr"), "score")
 
 
+def _scored(cells: DataFrame) -> DataFrame:
+    """``(e, score)`` from the values (e, v) of expressions."""
+    counts = cells.groupBy("e", "v").agg(F.count(F.lit(1)).alias("c"))
+    n = F.sum("c")
+    return counts.groupBy("e").agg((n * F.log(n) - F.sum(F.col("c") * F.log(F.col("c")))).alias("score"))
+
+
+def _scores_in_waves(wide: DataFrame, places: Sequence[Sequence[int]], n_forms: int, n_rows: int) -> DataFrame:
+    """``(e, score)`` of the expressions with their forms at ``places`` of ``v``, some at a time.
+
+    The forms are written once; the shuffle of a wave is removed when its scores are written.
+    """
+    spark = wide.sparkSession
+    wide = written(wide)
+    base = n_forms + 1
+    rows = []
+    for e in places:
+        a, b, c = [*e, -1, -1][:3]
+        rows.append(((a * base + b + 1) * base + c + 1, a, b, c))
+    at = lambda c: F.col("v")[F.col(c)]
+    value = F.when(F.col("b") < 0, at("a")).when(F.col("c") < 0, at("a") - at("b")).otherwise(at("a") - at("b") - at("c"))
+    several = max(1, _WAVE_CELLS // n_rows)
+    paths = []
+    for k in range(0, len(rows), several):
+        # a wave's expressions, a row each
+        some = spark.createDataFrame(rows[k : k + several], "e long, a int, b int, c int")
+        paths.append(written(_scored(wide.crossJoin(F.broadcast(some)).select("e", value.alias("v")))).saved_path)
+    drop_written(wide)
+    return spark.read.schema("e long, score double").parquet(*paths)
+
+
 def choose_rules(scores: DataFrame, catalog: Sequence[Form], triples: bool = True) -> list[tuple[Form, ...]]:
     """One expression per column: again and again the lowest score that gives exactly one new column.
 

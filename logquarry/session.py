@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder as compressed columns and read it from there.
+
+    Takes a fraction of the disk of :func:`cut_lineage`, but does not keep the number of partitions.
+    Spark is told to remove the shuffle files of what is written.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved.saved_path = path
+    return saved
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def task_count(df: DataFrame, rows: int) -> int:
     """How many tasks hold about ``rows`` rows each; as many as there are cores at least. Runs ``df`` to count it.
 
