@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from logquarry.functions import tokens as tk
 from logquarry.operators import relations as rel
-from logquarry.session import joined, task_count
+from logquarry.session import joined, task_count, written
 
 TEXT, DELTA, DICT, DICT_DELTA = "text", "delta", "dict", "dict_delta"
 COLUMN = ["chunk_id", "col"]
@@ -101,9 +101,12 @@ def field_forms(cells: DataFrame, share: float = 0.5, tasks: int | None = None)
 
 
 def encode_columns(values: DataFrame, share: float = 0.5) -> Columns:
-    """Encode ``values`` (chunk_id, col, seq, value); (chunk_id, col, seq) is unique and values are not null."""
+    """Encode ``values`` (chunk_id, col, seq, value); (chunk_id, col, seq) is unique and values are not null.
+
+    Patterns and encoded cells are written once: every table is read from them.
+    """
     tasks = task_count(values, TASK_VALUES)
-    patterns = rel.column_patterns(values, "value", "seq", COLUMN)
+    patterns = written(rel.column_patterns(values, "value", "seq", COLUMN))
     cut = joined(values, patterns, COLUMN, tasks).select(
         *COLUMN, "seq", F.posexplode(rel.split_by_pattern(F.col("value"), F.col("pattern"))).alias("field", "text")
     )
@@ -114,11 +117,14 @@ def encode_columns(values: DataFrame, share: float = 0.5) -> Columns:
         .when(form == DICT_DELTA, F.coalesce("id_step", "dict_id"))
         .when(form == DICT, F.col("dict_id"))
     )
-    words = judged.where(form.isin(DICT, DICT_DELTA)).groupBy(*FIELD, "dict_id").agg(F.first("text").alias("word"))
+    kept = F.when(form != DELTA, F.col("text")).alias("text")
+    coded = written(judged.select(*FIELD, "seq", kept, "form", "width", "dict_id", num.alias("num")))
+    dealt = coded.repartition(tasks, *FIELD)
+    words = dealt.where(form.isin(DICT, DICT_DELTA)).groupBy(*FIELD, "dict_id").agg(F.first("text").alias("word"))
     return Columns(
         patterns=patterns,
-        fields=judged.groupBy(*FIELD).agg(F.first("form").alias("form"), F.first("width").alias("width"), F.count(F.lit(1)).alias("n")),
-        cells=judged.select(*FIELD, "seq", num.alias("num"), F.when(form == TEXT, F.col("text")).alias("text")),
+        fields=dealt.groupBy(*FIELD).agg(F.first("form").alias("form"), F.first("width").alias("width"), F.count(F.lit(1)).alias("n")),
+        cells=dealt.select(*FIELD, "seq", "num", F.when(form == TEXT, F.col("text")).alias("text")),
         words=words,
         tasks=tasks,
     )

@@ -79,3 +79,24 @@ def test_lines_and_values_are_dealt_by_rows(spark, monkeypatch):
     columns = cl.encode_columns(values)
     assert ", 10)" in plan(columns.cells)
     assert sorted(map(tuple, cl.decode_columns(columns).collect())) == sorted(map(tuple, values.collect()))
+
+
+def test_relation_scores_in_waves(spark, monkeypatch):
+    df = spark.range(2000).selectExpr("id div 10 as chunk_id", "id as row_no", "id as a", "id % 7 as b", "id * id % 50 as c", "id % 2 as k")
+    catalog = rl.forms(["a", "b", "c"], ["k"])
+    once = {r["expr"]: r["score"] for r in rl.relation_scores(df, catalog, "row_no").collect()}
+    sizes, keep = [], rl.written
+    monkeypatch.setattr(rl, "written", lambda df: sizes.append(df.count() if "score" in df.columns else 0) or keep(df))
+    monkeypatch.setattr(rl, "_WAVE_CELLS", 2000 * 150)
+    got = {r["expr"]: r["score"] for r in rl.relation_scores(df, catalog, "row_no").collect()}
+    assert len(got) == len(once) == len(rl.expressions(catalog)) and all(abs(got[k] - v) < 1e-6 for k, v in once.items())
+    assert max(sizes) == 150 and len(sizes) == 1 - (-len(once) // 150)
+
+
+def test_encoded_cells_are_made_once(spark, monkeypatch):
+    """The tables of encoded columns come from written cells, not from the values again."""
+    lines = spark.range(300).selectExpr("id div 5 as chunk_id", "'c' as col", "id as seq", "concat('a-', id % 3, '/', id) as value")
+    columns = cl.encode_columns(lines)
+    for df in (columns.cells, columns.fields, columns.words, columns.patterns):
+        assert "Range" not in plan(df) and "Window" not in plan(df)
+    assert sorted(map(tuple, cl.decode_columns(columns).collect())) == sorted(map(tuple, lines.collect()))
