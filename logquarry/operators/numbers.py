@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from logquarry.functions import tokens as tk
 from logquarry.functions.arrays import posexplode_rows
 from logquarry.operators import tagging as tg
-from logquarry.session import cut_lineage, joined, task_count
+from logquarry.session import drop_written, joined, task_count, written
 
 # Delimiters to choose from, and the groups stored without delta.
 DELIMITER_CANDIDATES = [",", " ", "|", ";", "[", "]", "(", ")", "_", "/"]
@@ -173,19 +173,23 @@ def encode_numbers(lines: DataFrame, patterns: tg.Patterns = (), delimiters: Seq
     pieces = number_pieces(F.coalesce("line", F.lit("")), patterns, delimiters)
     cut = lines.select("chunk_id", "line_no", pieces.alias("p"))
     blank = F.transform("p", lambda x: F.when(x["tag"] == "", x["text"]))
-    # written once: the template table, the map and the values are read from it
-    shaped = cut_lineage(
+    # written once: lines with their templates, and values, are made from it
+    whole = written(
         cut.select(
             "chunk_id", "line_no", blank.alias("statics"), F.col("p.tag").alias("tags"),
             F.filter("p", lambda x: x["tag"] != "").alias("values"),
         )
     )
     # a written table does not keep its dealing
-    shaped = shaped.repartition(task_count(shaped, TASK_LINES), "chunk_id")
+    tasks = task_count(whole, TASK_LINES)
+    shaped = whole.repartition(tasks, "chunk_id")
     by_form = W.partitionBy("chunk_id", "statics", "tags")
     first = shaped.select("*", F.min("line_no").over(by_form).alias("at"))
     numbered = first.withColumn("template_id", F.dense_rank().over(W.partitionBy("chunk_id").orderBy("at")).cast("bigint"))
-    values = posexplode_rows(shaped, ["chunk_id", "line_no"], F.col("values"), "pos", "v").select(
+    form = F.when(F.col("line_no").eqNullSafe(F.col("at")), F.struct("statics", "tags"))
+    compact = written(numbered.select("chunk_id", "line_no", "template_id", form.alias("form")))
+    # values alone are dealt, without the text
+    values = posexplode_rows(whole.select("chunk_id", "line_no", "values").repartition(tasks, "chunk_id"), ["chunk_id", "line_no"], F.col("values"), "pos", "v").select(
         "chunk_id", "line_no", "pos", F.col("v.tag").alias("grp"), F.col("v.text").alias("text")
     )
     group = W.partitionBy("chunk_id", "grp")
@@ -202,10 +206,17 @@ def encode_numbers(lines: DataFrame, patterns: tg.Patterns = (), delimiters: Seq
     num = F.when(F.col("numeric"), tk.digits(F.col("text")).try_cast("bigint"))
     coded = known.withColumn("num", num)
     step = F.col("num") - F.coalesce(F.lag("num").over(W.partitionBy("chunk_id", "grp", "kind").orderBy("rank")), F.lit(0))
-    stored = coded.withColumn("stored", F.when(F.col("grp").isin(PLAIN_GROUPS), F.col("num")).otherwise(step))
+    stored = written(
+        coded.select(
+            "chunk_id", "grp", "rank", "numeric", "kind", "kept", "id",
+            F.when(F.col("grp").isin(PLAIN_GROUPS), F.col("num")).otherwise(step).alias("stored"),
+        )
+    )
+    drop_written(whole)
+    forms = compact.where("form IS NOT NULL").groupBy("chunk_id", "template_id").agg(F.first("form").alias("form"))
     return NumberLog(
-        line_map=numbered.select("chunk_id", "line_no", "template_id"),
-        templates=numbered.groupBy("chunk_id", "template_id").agg(F.first("statics").alias("statics"), F.first("tags").alias("tags")),
+        line_map=compact.select("chunk_id", "line_no", "template_id"),
+        templates=forms.select("chunk_id", "template_id", "form.statics", "form.tags"),
         numbers=stored.where("numeric").select("chunk_id", "grp", "rank", "stored", F.col("id").alias("mask_id")),
         words=stored.where("NOT numeric").select("chunk_id", "grp", "rank", F.col("id").alias("word_id")),
         dictionary=stored.groupBy("chunk_id", "grp", "kind", "id").agg(F.first("kept").alias("text"), F.count(F.lit(1)).alias("n")),
@@ -215,8 +226,9 @@ def encode_numbers(lines: DataFrame, patterns: tg.Patterns = (), delimiters: Seq
 def decode_numbers(encoded: NumberLog) -> DataFrame:
     """``(chunk_id, line_no, line)``: each tag of a line takes the next value of its group."""
     tasks = task_count(encoded.line_map, TASK_LINES)
-    lines = joined(encoded.line_map, encoded.templates, ["chunk_id", "template_id"], tasks)
-    tags = posexplode_rows(lines, ["chunk_id", "line_no"], F.col("tags"), "pos", "grp").where("grp <> ''")
+    # fixed text comes last, so it is moved once
+    tagged = joined(encoded.line_map, encoded.templates.drop("statics"), ["chunk_id", "template_id"], tasks)
+    tags = posexplode_rows(tagged, ["chunk_id", "line_no"], F.col("tags"), "pos", "grp").where("grp <> ''")
     placed = W.partitionBy("chunk_id", "grp").orderBy("line_no", "pos")
     places = tags.repartition(tasks, "chunk_id", "grp").withColumn("rank", F.row_number().over(placed).cast("bigint"))
     in_order = W.partitionBy("chunk_id", "grp").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -239,7 +251,8 @@ def decode_numbers(encoded: NumberLog) -> DataFrame:
         .agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("v"))
     )
     whole = F.array_join(F.transform("statics", lambda s, i: F.coalesce(s, F.element_at("v", i))), "")
-    return joined(lines, per_line, ["chunk_id", "line_no"], tasks, "left").select("chunk_id", "line_no", whole.alias("line"))
+    filled = joined(encoded.line_map, per_line, ["chunk_id", "line_no"], tasks, "left")
+    return joined(filled, encoded.templates.drop("tags"), ["chunk_id", "template_id"], tasks).select("chunk_id", "line_no", whole.alias("line"))
 
 
 def number_template_text(statics: Column, tags: Column) -> Column:

@@ -100,3 +100,21 @@ def test_encoded_cells_are_made_once(spark, monkeypatch):
     for df in (columns.cells, columns.fields, columns.words, columns.patterns):
         assert "Range" not in plan(df) and "Window" not in plan(df)
     assert sorted(map(tuple, cl.decode_columns(columns).collect())) == sorted(map(tuple, lines.collect()))
+
+
+def test_tagged_lines_are_written_small_and_dropped(spark):
+    """Encoded tables are compressed columns, and what they are made from is gone."""
+    import os
+
+    from logquarry.session import ensure_checkpoint_dir
+
+    top = ensure_checkpoint_dir(spark).removeprefix("file:")
+    lines = spark.range(2000).selectExpr("id div 100 as chunk_id", "id as line_no", "concat('some words of a long line that comes again ', id % 3, ' and more ', id) as line")
+    raw = lines.selectExpr("sum(length(line))").first()[0]
+    for encode, decode in ((lambda d: en.encode(tg.tag_lines(d)), rs.restore_lines), (nm.encode_numbers, nm.decode_numbers)):
+        before = {d for d, _, _ in os.walk(top)}
+        encoded = encode(lines)
+        made = [f"{d}/{f}" for d, _, files in os.walk(top) if d not in before for f in files]
+        assert made and all(f.endswith((".parquet", ".crc", "_SUCCESS")) for f in made)
+        assert sum(map(os.path.getsize, made)) < raw and len({os.path.dirname(f) for f in made}) == 2
+        assert sorted(map(tuple, decode(encoded).collect())) == sorted(map(tuple, lines.collect()))
